@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, simhash, warc
+from . import ann, bpe, decontaminate, line_dedup, quality, simhash, suffix_dedup, toxicity, url_lists, warc
 from .common import table
 
 
@@ -22,6 +22,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), window=200).drop("kept")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.remainder(3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -34,6 +49,31 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.remainder(5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on a day of 2024 that follows from the page_id; the list has dated entries for
+    about half of the hosts, by a hash of the host."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
+    hosts = captures.select(url_lists.host_of().alias("pattern")).where("pattern is not null").distinct()
+    digit = lambda i: F.ascii(F.substring(F.md5("pattern"), i, 1))
+    day = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days.cast("int"))
+    start = digit(2) * 3 - 140
+    turns = F.array(
+        F.struct(F.lit("add").alias("action"), day(start).alias("effective")),
+        F.struct(F.lit("remove").alias("action"), day(start + digit(3)).alias("effective")),
+        F.struct(F.lit("add").alias("action"), day(start + digit(3) + digit(4)).alias("effective")),
+    )
+    entries = hosts.where(digit(1) % 2 == 0).select("pattern", F.explode(turns).alias("e")).select("pattern", "e.action", "e.effective")
+    return url_lists.evaluate(captures, entries)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
 
@@ -48,7 +88,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op5_decontaminate": op5_decontaminate,
+    "op6_passage_quality": op6_passage_quality,
+    "op7_url_lists": op7_url_lists,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
@@ -77,6 +122,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n_hit,
   CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
   coalesce(words.n_hit, 0) > 0 AND 20 * coalesce(words.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op7_url_lists": r"""
+WITH c AS (
+  SELECT page_id, CAST(date '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
+    nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '') AS host
+  FROM pages
+),
+p AS (SELECT DISTINCT host AS pattern, md5(host) AS m FROM c WHERE host IS NOT NULL),
+n AS (
+  SELECT pattern, ascii(substr(m, 2, 1)) * 3 - 140 AS a, ascii(substr(m, 3, 1)) AS b, ascii(substr(m, 4, 1)) AS d
+  FROM p WHERE ascii(substr(m, 1, 1)) % 2 = 0
+),
+iv AS (
+  SELECT pattern, date '2024-01-01' + CAST(a AS INTEGER) AS valid_from, date '2024-01-01' + CAST(a + b AS INTEGER) AS valid_to FROM n
+  UNION ALL SELECT pattern, date '2024-01-01' + CAST(a + b + d AS INTEGER), NULL FROM n
+),
+m AS (
+  SELECT c.page_id, iv.pattern, iv.valid_from FROM c JOIN iv
+  ON (c.host = iv.pattern OR ends_with(c.host, '.' || iv.pattern)) AND c.fetched >= iv.valid_from AND (iv.valid_to IS NULL OR c.fetched < iv.valid_to)
+),
+best AS (SELECT page_id, arg_max(pattern, length(pattern)) AS pattern, arg_max(valid_from, length(pattern)) AS listed_since FROM m GROUP BY page_id)
+SELECT c.page_id, c.host, c.fetched, best.page_id IS NOT NULL AS blocked, best.pattern, CAST(best.listed_since AS DATE) AS listed_since
+FROM c LEFT JOIN best ON c.page_id = best.page_id
 """,
     "op9_line_dedup": """
 WITH l AS (

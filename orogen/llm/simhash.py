@@ -188,3 +188,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id, once, where the id repeats.
+
+    Rows with a null doc_id belong to no component and stay.
+    """
+    found = near_duplicates(docs, width, budget)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return kept
+    # Rows of a repeated id are rare, so only they are sorted against each other.
+    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    double = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    return single.unionByName(double.dropDuplicates(["doc_id"]))
