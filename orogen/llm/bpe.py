@@ -146,10 +146,9 @@ class Codec:
         fresh = [p for p in pieces if p not in self.known]
         if len(self.known) + len(fresh) > _MET:
             self._forget()
-            fresh = pieces
+            fresh = list(pieces)
         if fresh:
             # A sequence of ready words is one call; word numbers tell which tokens belong to which.
-            fresh = list(fresh)
             coded = self.tokenizer.encode_batch([fresh[i : i + 500] for i in range(0, len(fresh), 500)], is_pretokenized=True, add_special_tokens=False)
             words = np.concatenate([np.array(e.word_ids, np.int64) + 500 * i for i, e in enumerate(coded)])
             length = np.bincount(words, minlength=len(fresh))
@@ -234,20 +233,22 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: encoded, then decoded from the ids alone."""
+def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row, on request ``ids`` too: encoded, then decoded from the
+    ids alone. Cases as in :func:`encode`."""
 
     def build(ids, texts):
         own = codec(path, pattern)
         coded = own.encode([t.decode() for t in texts])
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array([len(c) for c in coded], pa.int64()),
-                pa.array([hashlib.sha256(c.astype("<u4").tobytes()).hexdigest() for c in coded], pa.string()),
-                pa.array([hashlib.sha256(own.decode(c)).hexdigest() for c in coded], pa.string()),
-            ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-    return _map(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", build)
+        columns = [
+            ids,
+            pa.array([len(c) for c in coded], pa.int64()),
+            pa.array([hashlib.sha256(c.astype("<u4").tobytes()).hexdigest() for c in coded], pa.string()),
+            pa.array([hashlib.sha256(own.decode(c)).hexdigest() for c in coded], pa.string()),
+        ]
+        if with_ids:
+            columns.append(pa.array([c.astype(np.int32) for c in coded], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    return _map(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, build)
