@@ -97,8 +97,8 @@ def signature(z: np.ndarray, config: SignatureConfig, note=lambda entry: None) -
     return np.concatenate(out, axis=1)
 
 
-def embed(patches: DataFrame, config: SignatureConfig) -> DataFrame:
-    """``patch_id, embedding, failed`` (entries of slots that became zeros) of each patch, other columns left out."""
+def embed(patches: DataFrame, config: SignatureConfig, keep: tuple[str, ...] = ("patch_id",)) -> DataFrame:
+    """The columns ``keep`` of each patch with its ``embedding`` and ``failed`` (entries of slots that became zeros)."""
     if wrong := validate(config):
         raise ValueError("; ".join(wrong))
 
@@ -107,9 +107,11 @@ def embed(patches: DataFrame, config: SignatureConfig) -> DataFrame:
             for at, z in stack_of(frame):
                 failed: list[str] = []
                 values = signature(z, config, failed.append).astype(np.float32)
-                yield pd.DataFrame({"patch_id": frame["patch_id"].iloc[at].to_numpy(), "embedding": list(values), "failed": [failed] * len(at)})
+                yield frame[list(keep)].iloc[at].assign(embedding=list(values), failed=[failed] * len(at))
 
-    return patches.select("patch_id", "h", "w", "data").mapInPandas(run, "patch_id long, embedding array<float>, failed array<string>")
+    kept = patches.select(*keep)
+    schema = kept.withColumns({"embedding": F.expr("cast(array() as array<float>)"), "failed": F.expr("cast(array() as array<string>)")}).schema
+    return patches.select(*keep, *[c for c in ("h", "w", "data") if c not in keep]).mapInPandas(run, schema)
 
 
 def diagnostics(embedded: DataFrame) -> DataFrame:
