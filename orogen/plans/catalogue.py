@@ -247,6 +247,17 @@ w AS (SELECT c.patch_id, c.y, c.x, c.mn, c.rg, n.z, exp(-CAST(f.d2 AS DOUBLE) /
 b AS (SELECT patch_id, y, x, sum(w * z) / sum(w) / 255 * max(rg) + max(mn) AS z FROM w GROUP BY patch_id, y, x)"""
 
 
+def _rolling_ball(radius: int) -> str:
+    """Erosion less a bowl's heights, then dilation with them; the centre, of height 0, is left out."""
+    offsets = [(y, x, radius - max(radius**2 - x * x - y * y, 0) ** 0.5) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if x or y]
+    fold = lambda v: v % 16 if v % 16 < 8 else 15 - v % 16
+    cells = lambda sign: [(y, x, fold(y + sign * dy), fold(x + sign * dx), float(h)) for y in range(8) for x in range(8) for dy, dx, h in offsets]
+    return f"""{_values('fe', 'y, x, ny, nx, h', cells(1))},
+{_values('fd', 'y, x, ny, nx, h', cells(-1))},
+er AS (SELECT s.patch_id, f.y, f.x, min(s.z - f.h) AS z FROM p8 AS s JOIN fe AS f ON s.y = f.ny AND s.x = f.nx GROUP BY s.patch_id, f.y, f.x),
+b AS (SELECT s.patch_id, f.y, f.x, max(s.z + f.h) AS z FROM er AS s JOIN fd AS f ON s.y = f.ny AND s.x = f.nx GROUP BY s.patch_id, f.y, f.x)"""
+
+
 def _decomposition(name: str, params: dict, sql: str | None) -> None:
     @query(f"decomp_{name}", sql, ("p8",))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +297,7 @@ for _name, _params, _sql in [
     ("tophat_combined", {"size": 2}, _spot(f"{_two_sided},\n{_join('o', 'c', '(p.z - u.z) - (v.z - p.z)')}", "b.z")),
     ("anisotropic_diffusion", {"iterations": 2, "kappa": 0.2}, _spot(_diffusion(2, 0.2, 0.1))),
     ("guided", {"radius": 1}, _spot(_guided(1, 0.01))),
-    ("rolling_ball", {"radius": 3}, None),
+    ("rolling_ball", {"radius": 3}, _spot(_rolling_ball(3))),
     ("wavelet_biorthogonal", {}, _spot(_separable(linear.wavelet_trend_matrix(8, "bior3.5", 3)))),
 ]:
     _decomposition(_name, _params, _sql)
@@ -296,9 +307,42 @@ def _up_sql(matrix: np.ndarray) -> str:
     return f"WITH {_separable(matrix)}\nSELECT patch_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, {r('z')} AS z FROM b"
 
 
-def _fft_matrix() -> np.ndarray:
-    """Interpolation by zero-padding along one axis; complex, so the SQL has its two parts apart."""
-    return UPSAMPLERS.run("fft_zeropad", np.eye(8)[:, :, None] * np.ones((1, 1, 8)))[:, :, 0].T
+def _fft_sql() -> str:
+    """Zero-padding along one axis is a complex matrix, so both axes give the difference of two real products."""
+    k = np.arange(8)
+    forward = np.exp(-2j * np.pi * np.outer(k, k) / 8)
+    backward = np.exp(2j * np.pi * np.outer(np.arange(16), np.where(k < 4, k, k - 8)) / 16) / 8
+    whole = backward @ forward
+    return f"""WITH {_separable(whole.real, 'p8', '1')},
+{_separable(whole.imag, 'p8', '2')}
+SELECT b1.patch_id, CAST(b1.y AS BIGINT) AS y, CAST(b1.x AS BIGINT) AS x, {r('b1.z - coalesce(b2.z, 0)')} AS z FROM b1 LEFT JOIN b2 ON b1.patch_id = b2.patch_id AND b1.y = b2.y AND b1.x = b2.x"""
+
+
+def _regularized_sql() -> str:
+    """Ten linear steps from a linear start are one matrix over all cells."""
+    zoom, lap = linear.zoom_matrix(8, 2.0, 3), linear.laplace_matrix(16)
+    whole = np.kron(zoom, zoom)
+    step = np.eye(256) - 0.01 * (np.kron(lap, np.eye(16)) + np.kron(np.eye(16), lap))
+    known = [(2 * y) * 16 + 2 * x for y in range(8) for x in range(8)]
+    for _ in range(10):
+        whole = step @ whole
+        whole[known] = np.eye(64)
+    rows = [(o // 16, o % 16, i // 8, i % 8, float(whole[o, i])) for o in range(256) for i in range(64) if abs(whole[o, i]) > 1e-15]
+    return f"""WITH {_values('hat', 'y, x, iy, ix, w', rows)}
+SELECT p.patch_id, CAST(h.y AS BIGINT) AS y, CAST(h.x AS BIGINT) AS x, {r('sum(h.w * p.z)')} AS z FROM p8 AS p JOIN hat AS h ON p.y = h.iy AND p.x = h.ix GROUP BY p.patch_id, h.y, h.x"""
+
+
+def _edge_sql() -> str:
+    bilinear = linear.zoom_matrix(8, 2.0, 1)
+    return f"""WITH gr AS (SELECT patch_id, y, x, {shared_sql.gradient('z', shared_sql.BY_Y)} AS dy, {shared_sql.gradient('z', shared_sql.BY_X)} AS dx FROM p8),
+gy AS (SELECT patch_id, y, x, dy AS z FROM gr), gx AS (SELECT patch_id, y, x, dx AS z FROM gr),
+{_separable(linear.zoom_matrix(8, 2.0, 3), 'p8', '1')},
+{_separable(linear.lanczos_matrix(8, 2), 'p8', '2')},
+{_separable(bilinear, 'gy', '3')},
+{_separable(bilinear, 'gx', '4')},
+st AS (SELECT u.patch_id, u.y, u.x, sqrt(u.z * u.z + v.z * v.z) AS s FROM b3 AS u JOIN b4 AS v ON u.patch_id = v.patch_id AND u.y = v.y AND u.x = v.x),
+sh AS (SELECT patch_id, y, x, s / (max(s) OVER (PARTITION BY patch_id) + 1e-10) AS s FROM st)
+SELECT sh.patch_id, CAST(sh.y AS BIGINT) AS y, CAST(sh.x AS BIGINT) AS x, {r('b1.z * (1 - s) + b2.z * s')} AS z FROM sh JOIN b1 ON b1.patch_id = sh.patch_id AND b1.y = sh.y AND b1.x = sh.x JOIN b2 ON b2.patch_id = sh.patch_id AND b2.y = sh.y AND b2.x = sh.x"""
 
 
 def _upsampler(name: str, sql: str | None) -> None:
@@ -311,12 +355,12 @@ _window = lambda w: linear.stuffed_matrix(8, 2, np.sinc(np.arange(-8, 9) / 2) *
 _t = np.abs(np.arange(-8, 9) / 2)
 _mitchell = np.where(_t < 1, (7 * _t**3 - 12 * _t**2 + 16 / 3) / 6, np.where(_t < 2, (-7 / 3 * _t**3 + 12 * _t**2 - 20 * _t + 32 / 3) / 6, 0.0))
 for _name, _matrix in {
-    "bicubic": linear.zoom_matrix(8, 2.0, 3), "lanczos": linear.lanczos_matrix(8, 2), "bspline": linear.zoom_matrix(8, 2.0, 2), "fft_zeropad": None,
+    "bicubic": linear.zoom_matrix(8, 2.0, 3), "lanczos": linear.lanczos_matrix(8, 2), "bspline": linear.zoom_matrix(8, 2.0, 2), "fft_zeropad": _fft_sql(),
     "nearest": linear.zoom_matrix(8, 2.0, 0), "bilinear": linear.zoom_matrix(8, 2.0, 1), "quadratic": linear.zoom_matrix(8, 2.0, 2), "quartic": linear.zoom_matrix(8, 2.0, 4), "quintic": linear.zoom_matrix(8, 2.0, 5),
     "sinc_hamming": _window(np.hamming(17)), "sinc_blackman": _window(np.blackman(17)), "cubic_catmull_rom": linear.not_a_knot_matrix(8, 16), "cubic_mitchell": linear.stuffed_matrix(8, 2, _mitchell),
-    "edge_directed": None, "regularized": None,
+    "edge_directed": _edge_sql(), "regularized": _regularized_sql(),
 }.items():
-    _upsampler(_name, None if _matrix is None else _up_sql(_matrix))
+    _upsampler(_name, _matrix if isinstance(_matrix, str) else _up_sql(_matrix))
 
 
 # --- signatures -------------------------------------------------------------------------------------------------
