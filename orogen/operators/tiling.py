@@ -54,10 +54,12 @@ def dense_ids(boxes: DataFrame) -> DataFrame:
 
 
 def patch_cells(cells: DataFrame, patch_size: int, overlap: int = 0, min_valid: float = 0.8, pad_partial: bool = True) -> DataFrame:
-    """``patch_id, y, x, z``: all cells of each patch; partial patches are completed, gaps and padding take its mean."""
+    """``patch_id, y, x, z``: all cells of each patch. Partial patches are completed, and their gaps and padding take
+    their mean; full ones keep their gaps."""
     boxes = tile(cells, patch_size, overlap, min_valid, pad_partial)
     axis = F.sequence(F.lit(0).cast("long"), F.lit(patch_size - 1).cast("long"))
-    grid = boxes.select("patch_id", "y_start", "x_start", "mean", F.explode(axis).alias("y")).withColumn("x", F.explode(axis))
+    partial = (F.col("h") < patch_size) | (F.col("w") < patch_size)
+    grid = boxes.select("patch_id", "y_start", "x_start", F.when(partial, F.col("mean")).alias("mean"), F.explode(axis).alias("y")).withColumn("x", F.explode(axis))
     known = cells.select(F.col("y").alias("gy"), F.col("x").alias("gx"), "z")
     joined = grid.join(known, (F.col("gy") == F.col("y_start") + F.col("y")) & (F.col("gx") == F.col("x_start") + F.col("x")), "left")
     return joined.select("patch_id", "y", "x", F.coalesce("z", "mean").alias("z"))

@@ -104,7 +104,7 @@ def patch_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "patch_padfill_mean",
     _tiles_sql("evt_raster", 16, 0, 0.88, True) + f"""
-SELECT t.patch_id, a.i AS y, b.i AS x, {r('coalesce(e.z, t.m)')} AS z FROM t CROSS JOIN range(16) AS a(i) CROSS JOIN range(16) AS b(i)
+SELECT t.patch_id, a.i AS y, b.i AS x, {r('coalesce(e.z, CASE WHEN t.h < 16 OR t.w < 16 THEN t.m END)')} AS z FROM t CROSS JOIN range(16) AS a(i) CROSS JOIN range(16) AS b(i)
 LEFT JOIN evt_raster AS e ON e.y = t.y_start + a.i AND e.x = t.x_start + b.i""",
     ("evt_raster",),
 )
