@@ -103,6 +103,24 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _TOKENS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, u.j, substr(h, 1024 * u.j + 1, 1422) AS s FROM d, unnest(range(0, (length(h) // 2 - 200) // 512 + 1)) AS u(j) WHERE length(h) >= 400),
+w AS (SELECT doc_id, 512 * j + u.t AS i, md5(substr(s, 2 * u.t + 1, 400)) AS k FROM blocks, unnest(range(0, least(512, length(s) // 2 - 199))) AS u(t)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE k IN (SELECT k FROM twice)),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, g, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+kept AS (
+  SELECT gaps.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS k,
+    sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM gaps JOIN d ON d.doc_id = gaps.doc_id JOIN (SELECT doc_id, max(b) AS last FROM gaps GROUP BY doc_id) AS e ON e.doc_id = gaps.doc_id GROUP BY gaps.doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.k, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
     "op5_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_TOKENS} AS w FROM benchmark WHERE item_id IS NOT NULL),
