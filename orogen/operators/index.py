@@ -49,6 +49,10 @@ class Index:
             raise ValueError(f"patch {patch_id} is not in the index")
         return self.query(own, k)
 
+    def pick(self, seed: int = 0) -> int:
+        """Some patch of the index, the same for the same seed."""
+        return self.vectors.orderBy(F.xxhash64(F.lit(seed), "patch_id")).select("patch_id").first()["patch_id"]
+
     def stats(self) -> DataFrame:
         return self.vectors.agg(F.count("*").alias("n_patches"), F.max(F.size("embedding")).alias("embedding_dim")).select(
             "n_patches", "embedding_dim", F.lit(self.space).alias("space"), F.lit(self.m).alias("m"), F.lit(self.norm is not None).alias("normalized"), F.lit(True).alias("is_built")

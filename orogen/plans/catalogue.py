@@ -12,7 +12,7 @@ from .. import config as cfg
 from ..functions import decomposition as dec
 from ..functions import linear
 from ..functions.registry import DECOMPOSITIONS, TEXTURE, UPSAMPLERS
-from ..operators import embed, tiling, vectors
+from ..operators import coords, embed, overlay, tiling, vectors
 from ..sources import fixtures as fx
 from . import shared_sql
 from .shared_sql import r
@@ -526,3 +526,41 @@ def api_query_by_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..api import Service
 
     return Service.over(spark, sf_dir).query_by_coords(x=1_950_100.0, y=759_900.0, k=10)
+
+
+# --- overlays: DataFrame operators, checked by the SQL of the same names ------------------------------------------
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of patch 7 by Manhattan distance, on a grid of overlapping places."""
+    index = fx.vec_index(spark, sf_dir)
+    found = vectors.knn(index, index.where("patch_id = 7").select(F.col("patch_id").alias("query_id"), "embedding"), 10, "l1")
+    local = F.col("patch_id") % fx.PER_TILE
+    return found.select("patch_id", "rank", "distance", (F.floor(local / 5) * 12).cast("long").alias("y_start"), ((local % 5) * 12).cast("long").alias("x_start"), F.lit(16).alias("patch_size"))
+
+
+QUERIES |= {
+    "heatmap_labels": lambda spark, sf_dir: overlay.heatmap(_hits(spark, sf_dir), 8.0),
+    "fade_mask": lambda spark, sf_dir: overlay.fade(_hits(spark, sf_dir), spark.range(1).select(F.lit(64).alias("height"), F.lit(64).alias("width")), 8.0),
+    "box_colors": lambda spark, sf_dir: overlay.boxes(_hits(spark, sf_dir), 7).select("patch_id", F.col("rank").alias("rnk"), "color"),
+    "similarity_colormap": lambda spark, sf_dir: overlay.colormap(spark),
+}
+
+
+# --- coordinates: likewise --------------------------------------------------------------------------------------
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coords.tile_pixels(fx.cust_points(spark, sf_dir), fx.corpus_tiles(spark, sf_dir), fx.corpus_meta(spark, sf_dir))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = coords.boxes(fx.corpus_patches(spark, sf_dir), fx.corpus_tiles(spark, sf_dir), fx.corpus_meta(spark, sf_dir))
+    return own.withColumn("center_x", (F.col("x_min") + F.col("x_max")) / 2).withColumn("center_y", (F.col("y_min") + F.col("y_max")) / 2)
+
+
+QUERIES |= {
+    "point_to_tile_pixel": lambda spark, sf_dir: _located(spark, sf_dir).select("c_custkey", "tile_id", "py", "px"),
+    "point_to_patch": lambda spark, sf_dir: coords.patch_ids(_located(spark, sf_dir), fx.corpus_patches(spark, sf_dir)).select("c_custkey", "patch_id"),
+    "patch_bbox": _boxes,
+}
