@@ -32,7 +32,7 @@ def remaining(listed: DataFrame, done: DataFrame | None) -> DataFrame:
 def build(spark: SparkSession, source: str, out: str, config: SignatureConfig, patch_size: int = 64, overlap: int = 0, min_valid: float = 0.8, resume: bool = True, dry_run: bool = False, max_tiles: int | None = None, pattern: str = "*_dem.npy") -> DataFrame:
     """Embed the tiles under ``source`` that have no checkpoint yet and save an index of all to ``out/index``.
 
-    Returns one row per tile with its patches, first global id and patches with failures; a dry run only lists the
+    Returns (and saves to ``out/tiles``) one row per tile with its patches, first global id and patches with failures; a dry run only lists the
     tiles that would be worked on. Diagnostics come from the saved rows, so a resumed build counts all of its tiles.
     """
     found = dem.files(spark, source, pattern).withColumn("tile_id", F.regexp_extract("path", r"([^/]+?)(_dem)?\.[^./]+$", 1))
@@ -50,7 +50,8 @@ def build(spark: SparkSession, source: str, out: str, config: SignatureConfig, p
     saved = number(spark.read.parquet(store).join(found.select("tile_id"), "tile_id", "left_semi"))
     meta = saved.drop("embedding", "failed").withColumn("patch_size", F.lit(patch_size))
     Index.build(saved, meta, config.normalize, config.space, config.to_dict()).save(f"{out}/index")
-    return tiles(saved)
+    tiles(saved).write.mode("overwrite").parquet(f"{out}/tiles")
+    return spark.read.parquet(f"{out}/tiles")
 
 
 def number(saved: DataFrame) -> DataFrame:

@@ -62,3 +62,8 @@ def feed_kill(patches: DataFrame, base: SignatureConfig | None = None, feeds=(0.
 def best(found: DataFrame) -> DataFrame:
     """The variant of the largest ratio, the first by name of equals."""
     return found.orderBy(F.desc("ratio"), "variant").limit(1)
+
+
+def save(found: DataFrame, path: str) -> None:
+    """Results of a sweep as JSON lines; a sweep has a row per variant, so one file."""
+    found.coalesce(1).write.mode("overwrite").json(path)

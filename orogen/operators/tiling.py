@@ -31,6 +31,14 @@ def shape_of(cells: DataFrame) -> DataFrame:
     return cells.agg((F.max("y") + 1).cast("long").alias("height"), (F.max("x") + 1).cast("long").alias("width"))
 
 
+def describe(cells: DataFrame) -> DataFrame:
+    """Shape, range, mean, population spread and missing cells of a raster, in one aggregate."""
+    return cells.agg(
+        (F.max("y") + 1).cast("long").alias("height"), (F.max("x") + 1).cast("long").alias("width"), F.min("z").alias("min_z"), F.max("z").alias("max_z"),
+        F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("std_z"), (F.count("*") - F.count("z")).alias("n_missing"),
+    )
+
+
 def tile(cells: DataFrame, patch_size: int = 64, overlap: int = 0, min_valid: float = 0.8, pad_partial: bool = True) -> DataFrame:
     """``patch_id, row, col, y_start, x_start, h, w, valid_fraction, mean`` of the patches with enough valid cells."""
     stride = patch_size - overlap

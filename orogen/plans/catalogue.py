@@ -547,7 +547,7 @@ QUERIES |= {
 }
 
 
-# --- coordinates: likewise --------------------------------------------------------------------------------------
+# --- coordinates and raster info: likewise --------------------------------------------------------------------------------------
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,7 +559,17 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("center_x", (F.col("x_min") + F.col("x_max")) / 2).withColumn("center_y", (F.col("y_min") + F.col("y_max")) / 2)
 
 
+def _described(raster: str, digits: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = tiling.describe(fx.VIEWS[raster](spark, sf_dir))
+        return found.select("height", "width", rounded("min_z"), rounded("max_z"), rounded("mean_z", digits), rounded("std_z", digits), "n_missing")
+
+    return run
+
+
 QUERIES |= {
+    "dem_info": _described("emb_raster", 6),
+    "dem_info_nodata": _described("evt_raster", 4),
     "point_to_tile_pixel": lambda spark, sf_dir: _located(spark, sf_dir).select("c_custkey", "tile_id", "py", "px"),
     "point_to_patch": lambda spark, sf_dir: coords.patch_ids(_located(spark, sf_dir), fx.corpus_patches(spark, sf_dir)).select("c_custkey", "patch_id"),
     "patch_bbox": _boxes,
