@@ -257,7 +257,8 @@ _STAGED = "kind string, " + _ANCHOR + ", n long, mixed boolean"
 
 def _stage_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over one sorted partition: occurrences of repeated contexts ('cover'), one of each context of an anchor that has
-    several ('one'), and for the first and last context of the partition its rows ('edge') and a summary ('sum')."""
+    several ('one'), and for the first and last context of the partition a summary ('sum'), with its row where the
+    partition has no second one ('edge')."""
     table = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
@@ -274,9 +275,9 @@ def _stage_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge = np.zeros(len(starts), bool)
     edge[[0, -1]] = True
     for kind, rows in (
-        ("cover", np.flatnonzero(((n > 1) & ~edge)[run])),
+        ("cover", np.flatnonzero((n > 1)[run])),
         ("one", starts[mixed & ~edge]),
-        ("edge", np.flatnonzero(edge[run])),
+        ("edge", np.flatnonzero(((n == 1) & edge)[run])),
         ("sum", starts[edge]),
     ):
         part = table.take(pa.array(rows)).add_column(0, "kind", pa.array([kind] * len(rows), pa.string()))
