@@ -97,6 +97,12 @@ def signature(z: np.ndarray, config: SignatureConfig, note=lambda entry: None) -
     return np.concatenate(out, axis=1)
 
 
+def spread(patches: DataFrame) -> DataFrame:
+    """Kernels are bound by the processor, so an input of fewer partitions than cores is dealt out; others stay put."""
+    cores = patches.sparkSession.sparkContext.defaultParallelism
+    return patches if patches.isStreaming or patches.rdd.getNumPartitions() >= cores else patches.repartition(cores)
+
+
 def embed(patches: DataFrame, config: SignatureConfig, keep: tuple[str, ...] = ("patch_id",)) -> DataFrame:
     """The columns ``keep`` of each patch with its ``embedding`` and ``failed`` (entries of slots that became zeros)."""
     if wrong := validate(config):
@@ -111,7 +117,7 @@ def embed(patches: DataFrame, config: SignatureConfig, keep: tuple[str, ...] = (
 
     kept = patches.select(*keep)
     schema = kept.withColumns({"embedding": F.expr("cast(array() as array<float>)"), "failed": F.expr("cast(array() as array<string>)")}).schema
-    return patches.select(*keep, *[c for c in ("h", "w", "data") if c not in keep]).mapInPandas(run, schema)
+    return spread(patches.select(*keep, *[c for c in ("h", "w", "data") if c not in keep])).mapInPandas(run, schema)
 
 
 def diagnostics(embedded: DataFrame) -> DataFrame:
@@ -132,6 +138,6 @@ def grids(patches: DataFrame, registry: Registry, name: str, **params) -> DataFr
                 yield pd.DataFrame({"patch_id": frame["patch_id"].iloc[at].to_numpy(), "width": out[0].shape[2]} | {c: list(o.reshape(len(at), -1)) for c, o in zip(names, out, strict=True)})
 
     schema = "patch_id long, width int, " + ", ".join(f"{c} array<double>" for c in names)
-    made = patches.select("patch_id", "h", "w", "data").mapInPandas(run, schema)
+    made = spread(patches.select("patch_id", "h", "w", "data")).mapInPandas(run, schema)
     cells = made.select("patch_id", "width", F.posexplode(F.arrays_zip(*names)).alias("i", "c"))
     return cells.select("patch_id", F.floor(F.col("i") / F.col("width")).cast("long").alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), *[F.col(f"c.{c}") for c in names])

@@ -112,12 +112,12 @@ def separability(vectors: DataFrame, group: str = "tile_group") -> DataFrame:
     The mean over pairs of unit vectors follows from sums of vectors: the pairs of a set share the squared length of
     its sum. So one grouped sum per group stands for the square of its rows, and no pair is ever made.
     """
-    n = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) + 1e-12
-    unit = vectors.select(F.col(group).alias("g"), F.transform("embedding", lambda v: v / n).alias("u"))
-    size, own = F.count("*"), F.sum(dot(F.col("u"), F.col("u")))
-    per_dim = unit.select("g", F.posexplode("u").alias("d", "v")).groupBy("g", "d").agg(F.sum("v").alias("s"))
+    square = dot(F.col("embedding"), F.col("embedding"))
+    # Lengths are columns below the explode, so they are taken once per vector and not once per number.
+    sized = vectors.select(F.col(group).alias("g"), (F.sqrt(square) + 1e-12).alias("length"), square.alias("square"), "embedding")
+    per_dim = sized.select("g", "length", F.posexplode("embedding").alias("d", "v")).groupBy("g", "d").agg(F.sum(F.col("v") / F.col("length")).alias("s"))
     squared = per_dim.groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    counts = unit.groupBy("g").agg(size.alias("n"), own.alias("own"))
+    counts = sized.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("square") / (F.col("length") * F.col("length"))).alias("own"))
     within = counts.join(squared, "g").agg(
         F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n_within"), F.sum((F.col("ss") - F.col("own")) / 2).alias("dots_within"), F.sum("n").alias("n"), F.sum("own").alias("own")
     )
