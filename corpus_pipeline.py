@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from orogen.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
 from orogen.llm.common import materialize, table
 from orogen.llm.queries import tokenizer
 
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    return simhash.without_near_duplicates(docs, width=3, budget=2)
+    """One document of each group of near copies (0.8 or more of their five-word shingles), that of the smallest doc_id."""
+    return near_copies.without_near_copies(docs, width=5, least=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

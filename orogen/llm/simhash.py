@@ -196,7 +196,11 @@ def without_near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) ->
     Rows with a null doc_id belong to no component and stay.
     """
     found = near_duplicates(docs, width, budget)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return without_ids(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids ``__gone``; of the rows of an id that is left, one."""
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
