@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SpanHasher, byte_class, slices, text_or_empty, utf8, word_spans
-from .toxicity import sample_ids
+from .common import ASCII_LOWER, SpanHasher, byte_class, slices, utf8, word_spans
+from .toxicity import sample_ids, sampled_texts
 
 PASSAGE = 64
 SKETCH = 48
@@ -149,7 +149,7 @@ class AttentionModel:
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", max_rows: int = MAX_ROWS) -> AttentionModel | None:
     """Learn from labelled rows for which ``usable`` holds; None without any.
 
-    Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts.
+    Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts, of several rows one.
     """
     ids = sample_ids(labels, label, usable, max_rows)
 
@@ -172,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", max_
         model.fit(bags, frame["y"].to_numpy(float))
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
-    bags = rows.select("id", "y", "text").mapInArrow(encode, "id long, y int, bag binary")
+    bags = sampled_texts(docs, ids).mapInArrow(encode, "id long, y int, bag binary")
     found = bags.groupBy(F.lit(0).alias("one")).applyInPandas(lambda f: learn(f), "model binary").first()  # a bounded sample in one task
     return pickle.loads(found["model"]) if found else None
 

@@ -122,10 +122,21 @@ def sample_ids(labels: DataFrame, label: str, usable, max_rows: int) -> DataFram
     return one.orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
 
+def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, y, text``: one row for each of ``ids`` that ``docs`` has, of several rows that of the least text hash.
+
+    Repeats are dropped where they are, so no task gets more rows of an id than there are partitions.
+    """
+    # The ids are at most max_rows pairs of numbers, so they go to the texts and not the other way round.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
+    one = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("id", "y", "least.text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_rows: int = MAX_ROWS, learner: Ftrl | None = None) -> Model:
     """Learn from labelled rows for which ``usable`` holds; without any, every score is 0.5.
 
-    Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts.
+    Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts, of several rows one.
     """
     learner = learner or Ftrl()
     ids = sample_ids(labels, label, usable, max_rows)
@@ -153,9 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_ro
             model = train([rows[i] for i in order], np.array([labels[i] for i in order], float), learner)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    # The ids are at most max_rows pairs of numbers, so they go to the texts and not the other way round.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
-    packed = rows.select("id", "y", "text").mapInArrow(extract, "id long, y int, x binary")
+    packed = sampled_texts(docs, ids).mapInArrow(extract, "id long, y int, x binary")
     found = packed.repartition(1).mapInArrow(learn, "model binary").first()
     return pickle.loads(found["model"]) if found else Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
 
