@@ -68,11 +68,11 @@ def rounded(name: str, digits: int = 6):
 # --- tiling -----------------------------------------------------------------------------------------------------
 
 
-def _tiles_sql(raster: str, size: int, overlap: int, least: float, partial: bool) -> str:
+def _tiles_sql(raster: str, size: int, overlap: int, least: float, partial: bool, ranges: str = "range(0, 300) AS a(i), range(0, 3000) AS b(i)") -> str:
     stride = size - overlap
     count = lambda n: f"(({n} - {overlap}) // {stride}" + (f" + CASE WHEN ({n} - {overlap}) % {stride} > 0 THEN 1 ELSE 0 END)" if partial else ")")
     return f"""WITH sh AS (SELECT max(y) + 1 AS hh, max(x) + 1 AS ww FROM {raster}),
-gr AS (SELECT a.i AS r, b.i AS c FROM sh, range(0, 300) AS a(i), range(0, 3000) AS b(i) WHERE a.i < {count('hh')} AND b.i < {count('ww')}),
+gr AS (SELECT a.i AS r, b.i AS c FROM sh, {ranges} WHERE a.i < {count('hh')} AND b.i < {count('ww')}),
 bx AS (SELECT gr.r, gr.c, count(*) AS n, count(z) AS v, avg(z) AS m, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w
   FROM gr JOIN {raster} AS e ON e.y >= gr.r * {stride} AND e.y < gr.r * {stride} + {size} AND e.x >= gr.c * {stride} AND e.x < gr.c * {stride} + {size} GROUP BY gr.r, gr.c),
 kp AS (SELECT *, 1.0 - CAST(n - v AS DOUBLE) / n AS vf FROM bx WHERE 1.0 - CAST(n - v AS DOUBLE) / n >= {least}),
@@ -148,6 +148,27 @@ _patch_at("patch_at_coords", 0)
 _patch_at("patch_at_coords_overlap", 4)
 
 
+def _points_of(spark: SparkSession, sf_dir: str, shape: DataFrame) -> DataFrame:
+    """Points on all rows of a raster and a few beyond its edges, as far as there are customers."""
+    key = F.col("c_custkey")
+    points = fx.read(spark, sf_dir, "customer").crossJoin(F.broadcast(shape))
+    return points.select((key % (F.col("height") + 20) - 5).alias("y"), ((key * 17 + F.floor(key / (F.col("height") + 20))) % (F.col("width") + 6) - 3).alias("x")).distinct()
+
+
+def _patch_at_whole(name: str, overlap: int) -> None:
+    sql = _tiles_sql("emb_raster", 16, overlap, 0.8, True, "unnest(range(0, hh)) AS a(i), unnest(range(0, ww)) AS b(i)") + """, p AS (SELECT DISTINCT c_custkey % (hh + 20) - 5 AS y, (c_custkey * 17 + c_custkey // (hh + 20)) % (ww + 6) - 3 AS x FROM customer CROSS JOIN sh)
+SELECT p.y, p.x, min(t.patch_id) AS patch_id FROM p LEFT JOIN t ON p.y >= t.y_start AND p.y < t.y_start + 16 AND p.x >= t.x_start AND p.x < t.x_start + 16 GROUP BY p.y, p.x"""
+
+    @query(name, sql, ("emb_raster",))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raster = fx.emb_raster(spark, sf_dir)
+        return tiling.patch_at(_points_of(spark, sf_dir, tiling.shape_of(raster)), tiling.tile(raster, 16, overlap), 16, overlap)
+
+
+_patch_at_whole("patch_at_coords_whole", 0)
+_patch_at_whole("patch_at_coords_overlap_whole", 4)
+
+
 @query("feature_snr", f"""WITH q AS (SELECT patch_id, quantile_cont(abs(z), 0.95) AS t FROM p8 GROUP BY patch_id)
 SELECT p.patch_id, {r('coalesce(stddev_pop(z) FILTER (abs(z) >= t) / nullif(stddev_pop(z) FILTER (abs(z) < t), 0), 0)')} AS feature_snr FROM p8 AS p JOIN q ON p.patch_id = q.patch_id GROUP BY p.patch_id""", ("p8",))
 def feature_snr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,8 @@ SELECT patch_id, rnk, CASE WHEN patch_id = 7 THEN '#00ff00' ELSE concat('#ff', s
     "similarity_colormap": """SELECT i AS label, CAST(CASE WHEN i = 0 THEN 0 ELSE floor(255 * ((i - 1) / CAST(99 AS DOUBLE))) END AS BIGINT) AS r, CAST(CASE WHEN i = 0 THEN 0 ELSE floor(100 * (1 - abs(2 * ((i - 1) / CAST(99 AS DOUBLE)) - 1))) END AS BIGINT) AS g,
   CAST(CASE WHEN i = 0 THEN 0 ELSE floor(255 * (1 - (i - 1) / CAST(99 AS DOUBLE))) END AS BIGINT) AS b, CAST(CASE WHEN i = 0 THEN 0 ELSE 180 END AS BIGINT) AS a FROM nums WHERE i <= 100""",
     "display_click_to_pixel": "SELECT c_custkey, CAST(least(greatest(floor((c_custkey % 500) * (500 / CAST(400 AS DOUBLE))), 0), 499) AS BIGINT) AS py, CAST(least(greatest(floor((c_custkey % 97) * (64 / CAST(90 AS DOUBLE))), 0), 63) AS BIGINT) AS px FROM customer",
+    "display_click_to_pixel_whole": """WITH sh AS (SELECT max(y) + 1 AS hh, max(x) + 1 AS ww FROM emb_raster)
+SELECT c_custkey, CAST(least(greatest(floor((c_custkey % 500) * (hh / CAST(400 AS DOUBLE))), 0), hh - 1) AS BIGINT) AS py, CAST(least(greatest(floor((c_custkey % 97) * (ww / CAST(90 AS DOUBLE))), 0), ww - 1) AS BIGINT) AS px FROM customer CROSS JOIN sh""",
     "variant_best": """WITH v AS (SELECT CAST(label AS BIGINT) AS variant, CAST(count(*) AS DOUBLE) AS score FROM embeddings GROUP BY label), b AS (SELECT max(CASE WHEN variant = 0 THEN score END) AS vanilla FROM v)
 SELECT variant, score, round((score / vanilla - 1) * 100, 6) + 0.0 AS gain_pct FROM (SELECT variant, score, row_number() OVER (ORDER BY score DESC, variant) AS o FROM v) AS t CROSS JOIN b WHERE o = 1""",
     "fk_grid_pivot": """WITH g AS (SELECT CAST(tile % 4 AS BIGINT) AS f, CAST(patch_id % 4 AS BIGINT) AS k, z AS s FROM p8 WHERE y = 0 AND x = 0)
