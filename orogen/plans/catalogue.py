@@ -323,6 +323,10 @@ for _name, _params, _sql in [
 ]:
     _decomposition(_name, _params, _sql)
 
+#: At the operators' own sizes, which SQL would unroll into a join per step or a row per offset; tests hold them to brute force.
+for _name in ("anisotropic_diffusion", "rolling_ball"):
+    query(f"decomp_{_name}_default")(lambda spark, sf_dir, name=_name: embed.grids(fx.patches(spark, sf_dir), DECOMPOSITIONS, name).select("patch_id", "y", "x", rounded("trend"), rounded("residual")))
+
 
 def _up_sql(matrix: np.ndarray) -> str:
     return f"WITH {_separable(matrix)}\nSELECT patch_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, {r('z')} AS z FROM b"
@@ -407,6 +411,7 @@ def _residuals(**changes) -> cfg.SignatureConfig:
 _signature("residuals", _residuals())
 _signature("residuals_bidirectional", _residuals(bidirectional=True))
 _signature("residuals_turing", _residuals(turing=True, turing_iterations=10))
+_signature("residuals_turing_default", _residuals(turing=True))
 
 
 @query("residuals_failures")
