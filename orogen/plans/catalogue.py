@@ -12,7 +12,7 @@ from .. import config as cfg
 from ..functions import decomposition as dec
 from ..functions import linear
 from ..functions.registry import DECOMPOSITIONS, TEXTURE, UPSAMPLERS
-from ..operators import coords, embed, overlay, tiling, vectors
+from ..operators import coords, embed, evaluate, overlay, tiling, vectors
 from ..sources import fixtures as fx
 from . import shared_sql
 from .shared_sql import r
@@ -422,6 +422,21 @@ def residuals_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.diagnostics(embed.embed(small, config))
 
 
+@query("sweep_variant_best")
+def sweep_variant_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residual variant that tells tiles apart best, over all patches."""
+    return evaluate.best(evaluate.variants(fx.patches(spark, sf_dir))).select("variant", rounded("ratio"), "dim", rounded("gain_pct", 4), rounded("cost"))
+
+
+@query("diagnostics_by_tile")
+def diagnostics_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of the configuration of residuals_failures, tile by tile."""
+    small = fx.patches(spark, sf_dir).select("patch_id", "tile", F.lit(3).alias("h"), F.lit(3).alias("w"), F.slice("data", 1, 9).alias("data"))
+    config = _residuals(decomposition_methods=["gaussian"], upsampling_methods=["bilinear", "cubic_catmull_rom"], bidirectional=True)
+    entries = embed.embed(small, config, ("patch_id", "tile")).select("patch_id", "tile", F.explode("failed").alias("entry"))
+    return entries.groupBy("tile", "entry").agg(F.countDistinct("patch_id").alias("n_patches"))
+
+
 @query("lbp_hist_stats")
 def lbp_hist_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = cfg.preset("texture")
