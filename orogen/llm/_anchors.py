@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import SpanHasher, mix
+from .common import SpanHasher
 
 GRAM = 32
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, hasher: SpanHasher) -> dict[str, np.ndarray]:
     """For each anchor: its ``row``, the first and last start (``lo``, ``hi``, in ``data``) of the windows it stands for,
-    its place ``at``, a hash ``gram`` of the anchor and a hash ``context`` of the bytes from ``lo`` to ``hi + window``.
+    its place ``at``, and a hash ``gram`` of the anchor.
 
     The anchor of a window is the gram in it with the least hash, the leftmost of equals. Needs data under 2**24 bytes.
     """
@@ -19,7 +19,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, hasher: SpanHash
     starts = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True) if b - a >= window] or [np.zeros(0, np.int64)])
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return {k: empty for k in ("row", "lo", "hi", "at", "gram", "context")}
+        return {k: empty for k in ("row", "lo", "hi", "at")} | {"gram": empty.astype(np.uint64)}
     if n >= 1 << 24:
         raise ValueError("anchors are taken of less than 2**24 bytes at a time")
     prefix = hasher.prefix(data)
@@ -38,5 +38,4 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, hasher: SpanHash
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.append(first[1:], len(at)) - 1
     lo, hi, at = starts[first], starts[last], at[first]
-    context = mix(hasher.spans(prefix, lo, hi + window) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
-    return {"row": np.searchsorted(offsets, lo, side="right") - 1, "lo": lo, "hi": hi, "at": at, "gram": gram[at], "context": context}
+    return {"row": np.searchsorted(offsets, lo, side="right") - 1, "lo": lo, "hi": hi, "at": at, "gram": gram[at]}

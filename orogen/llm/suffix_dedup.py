@@ -3,18 +3,23 @@
 A byte goes if a string of ``window`` bytes that covers it starts anywhere else. Windows are dealt by content:
 
 1. Every window has a content-defined anchor, so equal windows share the anchor's hash and their place around it. An
-   anchor stands for a run of windows, its *context* is the bytes under them. Contexts are range-partitioned by anchor
-   and context hash, which cuts even the hottest anchor across tasks; a context met twice is repeated throughout.
-2. Different contexts of one anchor meet as text. Aligned at the anchor, the bytes to its right form a trie, those to
-   its left another, and a context is the string of trie nodes on its two paths. Windows of two contexts are equal
-   exactly where these strings share a substring across the anchor.
+   anchor stands for a run of windows, its *context* is the bytes under them. Contexts are range-partitioned by anchor,
+   digest (128 bits) and row, which cuts even the hottest anchor across tasks.
+2. Contexts of one anchor meet as text, if it has two occurrences or more; of equal ones two meet, and those after them
+   have the verdict of these (the job fails if the text of these two does not bear out that the digests are equal).
+   Aligned at the anchor, the bytes to its right form a trie, those to its left another, and a context is the string of
+   trie nodes on its two paths. Windows of two contexts are equal exactly where these strings share a substring across
+   the anchor.
 3. A suffix array over the node strings of many anchors shows how far each suffix repeats elsewhere. It is built by
    grouping: suffixes are gathered by their Lyndon prefix in descending order of groups, through pointers to the
    previous smaller suffix, after which one ascending pass emits the order; nothing is renamed or sorted recursively.
 
-Scale: what is shuffled is a few dozen bytes per anchor (one for some 70 bytes of text), the text itself compressed,
-and one context each of those anchors whose contexts differ. Anchors with more than ``GROUP`` different contexts are
-settled window by window through grouped counts instead, so no task holds an unbounded group.
+An anchor with more than ``group`` contexts is dealt anew: its windows go by their distance from it, and the bytes that
+all windows of about one distance hold are their new, finer anchor. Rounds take ever fewer distances together; where
+it is one, the anchor is the window itself and has but one context. So no task holds an unbounded group.
+
+Scale: what is shuffled is some sixty bytes per anchor (one for some 70 bytes of text, three for a run of repeats of
+up to a hundred bytes, however long), the text itself compressed, and the contexts that meet.
 """
 
 from __future__ import annotations
@@ -24,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import anchors
-from .common import MIN_LONG, SpanHasher, materialize, slices, text_or_empty, utf8
+from .common import SpanHasher, materialize, slices, text_or_empty, utf8
 
 WINDOW = 200
-GROUP = 20_000
+GROUP = 1_000
 _CHUNK_BYTES = 1_000_000
 _BATCH = 5_000
+#: Distances from a full anchor that are taken together, from round to round; the last tells single windows apart.
+_WIDTHS = (43, 11, 3, 1)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -204,121 +212,159 @@ def settle(contexts: list[tuple[int, bytes, int, int]], window: int) -> Iterator
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_key: the doc_id (null: below all others); row_key tells texts of one doc_id apart."""
+    """``row1, row2``: a 128-bit digest of doc_id (null: apart from all others) and text, which rows of one kind share."""
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)).alias("doc_key"), F.hash(text).alias("row_key"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    digest = [F.xxhash64(F.lit(seed), doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), text).alias(f"row{seed}") for seed in (1, 2)]
+    return docs.select(doc_id.alias("doc_id"), *digest, text.alias("text"))
+
+
+#: An occurrence of a context: hash of its anchor, digests of its bytes and of its row, its first byte, the place of the
+#: anchor in it, its number of windows, and whether it stands for further copies that follow one another.
+_ANCHOR = "gram long, same1 long, same2 long, row1 long, row2 long, lo int, at int, windows int, more boolean"
+_NAMES = [c.split(" ")[0] for c in _ANCHOR.split(", ")]
+_ORDER = ["gram", "same1", "same2", "row1", "row2", "lo"]
 
 
-_ANCHOR = "gram long, context long, doc_key long, row_key int, lo int, at int, windows int"
+def _digests(data: np.ndarray, lo: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Rows of two halves of the 128-bit digest of each byte range."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(lo.tolist(), stop.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
-def _find_anchors(docs: DataFrame, window: int) -> DataFrame:
+def occurrences(data: np.ndarray, offsets: np.ndarray, window: int, hasher: SpanHasher, chunk: int = _CHUNK_BYTES) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of ``_ANCHOR`` but for the row's digest, with ``row`` (its number), a bounded piece of bytes at a time.
+
+    A row of more than ``chunk`` bytes is taken in pieces that share no window start. Of contexts that repeat one after
+    another, as in a run of one letter, the first two are listed and one more stands for the others.
+    """
+    for a, b in slices(offsets, chunk):
+        base, size = offsets[a], offsets[b] - offsets[a]
+        for start in range(0, max(size - window + 1, 1), chunk) if size > chunk else (0,):
+            stop = min(start + chunk + window - 1, size) if size > chunk else size
+            piece = data[base + start : base + stop]
+            own = np.array([0, len(piece)]) if size > chunk else offsets[a : b + 1] - base
+            found = anchors(piece, own, window, hasher)
+            row, lo, hi = found["row"], found["lo"], found["hi"]
+            same = _digests(piece, lo, hi + window)
+            again = np.zeros(len(lo), bool)
+            again[1:] = (found["gram"][1:] == found["gram"][:-1]) & (same[1:] == same[:-1]).all(axis=1) & (row[1:] == row[:-1]) & (lo[1:] == hi[:-1] + 1)
+            heads = np.flatnonzero(~again)
+            nth = np.arange(len(lo)) - np.repeat(heads, np.diff(np.append(heads, len(lo))))
+            last = np.repeat(np.append(heads[1:], len(lo)) - 1, np.diff(np.append(heads, len(lo))))
+            keep = np.flatnonzero(nth <= 2)
+            hi = np.where(nth == 2, hi[last], hi)
+            first = own[row] - start
+            yield {
+                "row": row[keep] + a, "gram": found["gram"][keep].view(np.int64), "same1": same[keep, 0], "same2": same[keep, 1], "lo": (lo - first)[keep].astype(np.int32),
+                "at": (found["at"] - lo)[keep].astype(np.int32), "windows": (hi - lo + 1)[keep].astype(np.int32), "more": nth[keep] == 2,
+            }
+
+
+def _find_anchors(docs: DataFrame, window: int, chunk: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, _CHUNK_BYTES):
-                found = _blocks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, hasher)
-                row = pa.array(found["row"] + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["gram"].view(np.int64)), pa.array(found["context"].view(np.int64)), batch.column("doc_key").take(row), batch.column("row_key").take(row), *[pa.array(found[c].astype(np.int32)) for c in ("lo", "at", "windows")]],
-                    ["gram", "context", "doc_key", "row_key", "lo", "at", "windows"],
-                )
-
-    return _keyed(docs).where(F.octet_length("text") >= window).select("doc_key", "row_key", "text").mapInArrow(run, _ANCHOR)
-
-
-def _blocks(data: np.ndarray, offsets: np.ndarray, window: int, hasher: SpanHasher) -> dict[str, np.ndarray]:
-    """Anchors with places relative to their row; a row beyond the hasher's reach is taken in overlapping blocks."""
-    limit = 1 << 23
-    if len(data) < limit:
-        found = anchors(data, offsets, window, hasher)
-        base = offsets[found["row"]]
-        return {"gram": found["gram"], "context": found["context"], "row": found["row"], "lo": found["lo"] - base, "at": found["at"] - found["lo"], "windows": found["hi"] - found["lo"] + 1}
-    # One long row: a block's windows end where the next block's start, and anchors at a seam just stand for fewer.
-    parts = []
-    for start in range(0, len(data) - window + 1, limit - window):
-        piece = data[start : start + limit - 1]
-        found = anchors(piece, np.array([0, len(piece)]), window, hasher)
-        keep = found["lo"] < limit - window
-        hi = np.minimum(found["hi"], limit - window - 1)
-        whole = keep & (hi == found["hi"])
-        cut = np.flatnonzero(keep & ~whole)
-        context = found["context"].copy()
-        for i in cut:
-            own = anchors(piece[found["lo"][i] : hi[i] + window], np.array([0, hi[i] + window - found["lo"][i]]), window, hasher)
-            context[i] = own["context"][0]
-        parts.append({"gram": found["gram"][keep], "context": context[keep], "row": found["row"][keep], "lo": found["lo"][keep] + start, "at": (found["at"] - found["lo"])[keep], "windows": (hi - found["lo"] + 1)[keep]})
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
-
-_STAGED = "kind string, " + _ANCHOR + ", n long, mixed boolean"
-
-
-def _stage_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over one sorted partition: occurrences of repeated contexts ('cover'), one of each context of an anchor that has
-    several ('one'), and for the first and last context of the partition a summary ('sum'), with its row where the
-    partition has no second one ('edge')."""
-    table = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    gram, context = table.column("gram").to_numpy(), table.column("context").to_numpy()
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
-    run = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    n = np.diff(np.append(starts, len(gram)))
-    own = gram[starts]
-    mixed = np.zeros(len(starts), bool)
-    mixed[1:] |= own[1:] == own[:-1]
-    mixed[:-1] |= own[1:] == own[:-1]
-    edge = np.zeros(len(starts), bool)
-    edge[[0, -1]] = True
-    for kind, rows in (
-        ("cover", np.flatnonzero((n > 1)[run])),
-        ("one", starts[mixed & ~edge]),
-        ("edge", np.flatnonzero(((n == 1) & edge)[run])),
-        ("sum", starts[edge]),
-    ):
-        part = table.take(pa.array(rows)).add_column(0, "kind", pa.array([kind] * len(rows), pa.string()))
-        part = part.append_column("n", pa.array(n[run[rows]].astype(np.int64))).append_column("mixed", pa.array(mixed[run[rows]]))
-        yield from part.to_batches()
-
-
-_SPAN = "doc_key long, row_key int, start int, stop int"
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``doc_key, row_key, start, stop``: runs of window starts (``stop`` included) whose windows occur elsewhere too."""
-    order = ["gram", "context", "doc_key", "row_key", "lo"]
-    dealt = _find_anchors(docs, window).repartitionByRange(*order).sortWithinPartitions(*order)
-    staged = materialize(dealt.mapInArrow(_stage_runs, _STAGED), "anchors")
-    # The first and last context of each partition, so at most two rows per partition whatever the input.
-    sums = staged.where("kind = 'sum'").groupBy("gram", "context").agg(
-        F.sum("n").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc_key", "row_key", "lo", "at", "windows")).alias("o")
-    )
-    several = sums.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("contexts"), F.max("mixed").alias("any"))
-    sums = sums.join(F.broadcast(several), F.col("gram") == F.col("g")).select("gram", "context", "n", "o", (F.col("any") | (F.col("contexts") > 1)).alias("mixed"))
-    whole = ["doc_key", "row_key", F.col("lo").alias("start"), (F.col("lo") + F.col("windows") - 1).alias("stop")]
-    twice = sums.where("n > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
-    edges = staged.where("kind = 'edge'").join(F.broadcast(twice), (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c"))).select(*whole)
-    ones = staged.where("kind = 'one'").select("gram", "n", "doc_key", "row_key", "lo", "at", "windows")
-    ones = ones.union(sums.where("mixed").select("gram", "n", "o.*"))
-    hot = ones.groupBy("gram").count().where(F.col("count") > group).select(F.col("gram").alias("g"))
-    ones = ones.join(hot, F.col("gram") == F.col("g"), "left").withColumn("hot", F.col("g").isNotNull()).drop("g")
-    texts = materialize(_contexts(docs, ones, window), "contexts")
-    return staged.where("kind = 'cover'").select(*whole).union(edges).union(_by_suffix_array(texts.where("not hot"), window)).union(_by_window(texts.where("hot"), window))
+            for found in occurrences(data, offsets, window, hasher, chunk):
+                row = pa.array(found.pop("row"))
+                found |= {c: batch.column(c).take(row) for c in ("row1", "row2")}
+                yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in _NAMES], _NAMES)
 
+    return _keyed(docs).where(F.octet_length("text") >= window).select("row1", "row2", "text").mapInArrow(run, _ANCHOR)
 
-def _contexts(docs: DataFrame, ones: DataFrame, window: int) -> DataFrame:
-    """The bytes of one occurrence of each context: the columns of ``ones``, and ``bytes``."""
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """``kind`` and the columns of ``rows`` over partitions sorted by context.
+
+    Of the occurrences of a context the first two of a partition meet as text ('one'), if there are two or the anchor
+    has another context; those after them share the verdict ('cover'), and ``sure`` tells that there are such. A lone
+    context whose anchor may go on in the next partition is an 'edge', and 'sum' names the partition's first and last
+    anchor.
+    """
+
+    def settle(table: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        gram, same1, same2, more = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "same1", "same2", "more"))
+        new_gram = np.append(True, gram[1:] != gram[:-1])
+        new = new_gram | np.append(True, (same1[1:] != same1[:-1]) | (same2[1:] != same2[:-1]))
+        run, group = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
+        single = ~more
+        n = np.bincount(run, single)
+        nth = np.cumsum(single) - 1
+        nth = nth - (np.cumsum(n) - n).astype(np.int64)[run]
+        contexts = np.bincount(group[new])
+        meets = (n[run] > 1) | (contexts[group] > 1)
+        edge = (first & (group == 0)) | (last & (group == group[-1]))
+        further = more | (nth > 1)
+        sure = np.bincount(run, further)[run] > 0
+        sums = np.flatnonzero(new_gram & edge)
+        kinds = (("cover", further), ("one", ~further & meets), ("edge", ~further & ~meets & edge))
+        for kind, rows in [*((k, np.flatnonzero(x)) for k, x in kinds), ("sum", sums)]:
+            part = table.take(pa.array(rows)).add_column(0, "kind", pa.array([kind] * len(rows), pa.string()))
+            yield from part.append_column("sure", pa.array(sure[rows] & (n[run[rows]] > 1))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        first = True
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([_pack(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["k1", "k2", "packed"])
+            if not batch.num_rows:
+                continue
+            gram = batch.column("gram").to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))
+            if cut or (held and held[-1].column("gram")[-1].as_py() != gram[0]):
+                yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks(), first, False)
+                held, first = [], False
+            held.append(batch.slice(cut))
+        if held:
+            yield from settle(pa.Table.from_batches(held).combine_chunks(), first, True)
+
+    schema = "kind string, " + ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", sure boolean"
+    return materialize(rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(run, schema), name)
+
+
+def _meeting(staged: DataFrame) -> DataFrame:
+    """The occurrences that meet as text, those at the edges of partitions included if their anchor goes on."""
+    # At most two anchors per partition whatever the input.
+    several = staged.where("kind = 'sum'").groupBy(F.col("gram").alias("g")).count().where("count > 1").select("g")
+    edges = staged.where("kind = 'edge'").join(F.broadcast(several), F.col("gram") == F.col("g")).drop("g")
+    return staged.where("kind = 'one'").union(edges).drop("kind", "more", "same1", "same2")
+
+
+_SPAN = "row1 long, row2 long, start int, stop int"
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk: int = _CHUNK_BYTES) -> DataFrame:
+    """``row1, row2, start, stop``: runs of window starts (``stop`` included) whose windows occur elsewhere too."""
+    whole = ["row1", "row2", F.col("lo").alias("start"), (F.col("lo") + F.col("windows") - 1).alias("stop")]
+    # Written first, as finding ranges for the shuffle would otherwise take all anchors twice.
+    staged = _dealt(materialize(_find_anchors(docs, window, chunk), "anchors"), "staged")
+    spans = staged.where("kind = 'cover'").select(*whole)
+    texts = materialize(_contexts(docs, _meeting(staged), window), "contexts")
+    for width in _WIDTHS:
+        full = texts.groupBy(F.col("gram").alias("g")).count().where(F.col("count") > group).select("g").checkpoint()
+        if full.isEmpty():
+            break
+        # The contexts of a full anchor are dealt anew, by the bytes that windows of about the same place share.
+        hot = texts.join(full, F.col("gram") == F.col("g"), "left_semi")
+        spans = spans.union(_by_suffix_array(texts.join(full, F.col("gram") == F.col("g"), "left_anti"), window))
+        staged = _dealt(materialize(_pieces(hot, window, width), f"pieces-{width}"), f"staged-{width}")
+        spans = spans.union(staged.where("kind = 'cover'").select(*whole))
+        texts = _meeting(staged)
+    return spans.union(_by_suffix_array(texts, window))
+
+
+def _contexts(docs: DataFrame, ones: DataFrame, window: int) -> DataFrame:
+    """The columns of ``ones``, and the ``bytes`` of each context."""
+    own = ["gram", "sure", "lo", "at", "windows"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
+            keys = list(zip(batch.column("row1").to_pylist(), batch.column("row2").to_pylist(), strict=True))
+            # Rows of one kind follow one another, and one of them will do.
+            fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else before)]
+            before = keys[-1] if keys else before
+            batch = batch.take(pa.array(fresh, pa.int64()))
             wanted = batch.column("wanted")
             row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
             flat = wanted.flatten()
@@ -326,17 +372,25 @@ def _contexts(docs: DataFrame, ones: DataFrame, window: int) -> DataFrame:
             lo, windows = flat.field("lo").to_numpy(), flat.field("windows").to_numpy()
             cuts = [texts[r][a : a + w + window - 1] for r, a, w in zip(row.tolist(), lo.tolist(), windows.tolist(), strict=True)]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("gram"), flat.field("n"), flat.field("hot"), batch.column("doc_key").take(take), batch.column("row_key").take(take), flat.field("lo"), flat.field("at"), flat.field("windows"), pa.array(cuts, pa.binary())],
-                ["gram", "n", "hot", "doc_key", "row_key", "lo", "at", "windows", "bytes"],
-            )
+            columns = [*[flat.field(c) for c in own], batch.column("row1").take(take), batch.column("row2").take(take), pa.array(cuts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "row1", "row2", "bytes"])
+
+    wanted = ones.groupBy("row1", "row2").agg(F.collect_list(F.struct(*own)).alias("wanted"))
+    rows = _packed(docs).where(F.octet_length("text") >= window).select(F.col("row1").alias("k1"), F.col("row2").alias("k2"), "text")
+    packed = rows.mapInArrow(_shrink, "k1 long, k2 long, packed binary")
+    joined = wanted.join(packed, (F.col("row1") == F.col("k1")) & (F.col("row2") == F.col("k2"))).select("row1", "row2", "wanted", "packed")
+    return joined.mapInArrow(cut, "gram long, sure boolean, lo int, at int, windows int, row1 long, row2 long, bytes binary")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).withColumn("text", F.col("text").cast("binary"))
+
 
-    wanted = ones.groupBy("doc_key", "row_key").agg(F.collect_list(F.struct("gram", "n", "hot", "lo", "at", "windows")).alias("wanted"))
-    rows = _keyed(docs).where(F.octet_length("text") >= window).select(F.col("doc_key").alias("k1"), F.col("row_key").alias("k2"), F.col("text").cast("binary").alias("text"))
-    packed = rows.mapInArrow(shrink, "k1 long, k2 int, packed binary")
-    # A text that stands in several rows is cut more than once; its contexts are taken once again where they meet.
-    joined = wanted.join(packed, (F.col("doc_key") == F.col("k1")) & (F.col("row_key") == F.col("k2")))
-    return joined.select("doc_key", "row_key", "wanted", "packed").mapInArrow(cut, "gram long, n long, hot boolean, doc_key long, row_key int, lo int, at int, windows int, bytes binary")
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column compressed, and named ``packed``."""
+    for batch in batches:
+        packed = pa.array([_pack(t.as_buffer()) for t in batch.columns[-1]], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*batch.schema.names[:-1], "packed"])
 
 
 def _pack(text) -> bytes:
@@ -348,62 +402,67 @@ def _unpack(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _by_suffix_array(texts: DataFrame, window: int) -> DataFrame:
-    """Repeated windows of contexts that occur once, found next to the other contexts of their anchor."""
-
-    def settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        unique: dict[tuple, dict] = {(r["gram"], r["doc_key"], r["row_key"], r["lo"]): r for r in rows}
-        rows = list(unique.values())
-        found = [
-            (rows[k]["doc_key"], rows[k]["row_key"], rows[k]["lo"] + a, rows[k]["lo"] + b)
-            for k, a, b in settle([(r["gram"], r["bytes"], r["at"], r["windows"]) for r in rows], window)
-            if rows[k]["n"] == 1
-        ]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_key", "row_key", "start", "stop"])
+def _pieces(texts: DataFrame, window: int, width: int) -> DataFrame:
+    """The windows of contexts by their distance from the anchor, ``width`` distances together, as contexts of a finer
+    anchor: the bytes that all windows of these distances hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        names = [*_NAMES, "bytes"]
         for batch in batches:
+            out: list[tuple] = []
             for row in batch.to_pylist():
-                if len(held) >= _BATCH and row["gram"] != held[-1]["gram"]:
-                    yield from settled(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from settled(held)
+                data, at, windows = row["bytes"], row["at"], row["windows"]
+                for cell in range((at - windows + 1) // width, at // width + 1):
+                    far, near = min(at, cell * width + width - 1), max(at - windows + 1, cell * width)
+                    core = data[at - cell * width : at - (cell * width + width - 1) + window]
+                    piece = data[at - far : at - near + window]
+                    gram = xxhash.xxh3_64_intdigest(core, seed=cell * 256 + width)
+                    same = xxhash.xxh3_128_digest(piece + bytes([far - cell * width, near - cell * width]))
+                    halves = [int.from_bytes(x, "little", signed=True) for x in (gram.to_bytes(8, "little"), same[:8], same[8:])]
+                    out.append((*halves, row["row1"], row["row2"], row["lo"] + at - far, far, far - near + 1, False, piece))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return texts.mapInArrow(run, _ANCHOR + ", bytes binary")
 
-    dealt = texts.drop("hot").repartition("gram").sortWithinPartitions("gram", "doc_key", "row_key", "lo")
-    return dealt.mapInArrow(run, _SPAN)
 
-
-def _by_window(texts: DataFrame, window: int) -> DataFrame:
-    """The same for anchors of very many contexts: windows are hashed one by one and counted with map-side sums."""
+def _by_suffix_array(texts: DataFrame, window: int) -> DataFrame:
+    """The windows of contexts that occur in another context of their anchor, or in another place."""
+
+    def settled(rows: dict[tuple, tuple]) -> Iterator[pa.RecordBatch]:
+        own = list(rows.values())
+        found, count = [], [0] * len(own)
+        for k, a, b in settle([(r[0], r[6], r[4], r[5]) for r in own], window):
+            found.append((own[k][1], own[k][2], own[k][3] + a, own[k][3] + b))
+            count[k] += b - a + 1
+        if wrong := [r for r, n in zip(own, count, strict=True) if r[7] and n != r[5]]:
+            raise ValueError(f"contexts of one digest differ: {wrong[0][:4]}")
+        if found:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["row1", "row2", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
+        held: dict[tuple, tuple] = {}
+        last = None
         for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                lo = np.arange(row["windows"])
-                h = hasher.spans(hasher.prefix(data), lo, lo + window).view(np.int64)
-                same = [[row[c]] * len(lo) for c in ("gram", "n", "doc_key", "row_key")]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(same, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], pa.array((row["lo"] + lo).astype(np.int32)), pa.array(h)], ["gram", "n", "doc_key", "row_key", "start", "hash"])
-
-    windows = texts.mapInArrow(run, "gram long, n long, doc_key long, row_key int, start int, hash long").distinct()
-    often = windows.groupBy(F.col("gram").alias("g"), F.col("hash").alias("h")).agg(F.count("*").alias("many")).where("many > 1")
-    hit = windows.where("n = 1").join(often, (F.col("gram") == F.col("g")) & (F.col("hash") == F.col("h")))
-    return hit.select("doc_key", "row_key", "start", F.col("start").alias("stop"))
+            columns = [batch.column(c).to_pylist() for c in ("gram", "row1", "row2", "lo", "at", "windows", "bytes", "sure")]
+            for row in zip(*columns, strict=True):
+                if len(held) >= _BATCH and row[0] != last:
+                    yield from settled(held)
+                    held = {}
+                last = row[0]
+                held[row[:4]] = row
+        if held:
+            yield from settled(held)
 
+    return texts.repartition("gram").sortWithinPartitions("gram", "row1", "row2", "lo").mapInArrow(run, _SPAN)
 
-def _with_spans(docs: DataFrame, window: int, group: int) -> DataFrame:
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([_pack(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["doc_id", "doc_key", "row_key", "packed"])
 
-    spans = repeated_windows(docs, window, group).groupBy(F.col("doc_key").alias("k1"), F.col("row_key").alias("k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = _keyed(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(shrink, "doc_id long, doc_key long, row_key int, packed binary")
-    return rows.join(spans, (F.col("doc_key") == F.col("k1")) & (F.col("row_key") == F.col("k2")), "left").select("doc_id", "packed", "spans")
+def _with_spans(docs: DataFrame, window: int, group: int, chunk: int) -> DataFrame:
+    spans = repeated_windows(docs, window, group, chunk).groupBy(F.col("row1").alias("k1"), F.col("row2").alias("k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = _packed(docs).mapInArrow(_shrink, "doc_id long, row1 long, row2 long, packed binary")
+    return rows.join(spans, (F.col("row1") == F.col("k1")) & (F.col("row2") == F.col("k2")), "left").select("doc_id", "packed", "spans")
 
 
 def covered(size: int, spans: list[dict] | None, window: int) -> np.ndarray:
@@ -415,7 +474,7 @@ def covered(size: int, spans: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk: int = _CHUNK_BYTES) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that are left).
 
     Rows that repeat are repeats of each other, of the same doc_id or not; a null doc_id stays null. A null or empty
@@ -436,4 +495,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> Da
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return _with_spans(docs, window, group).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _with_spans(docs, window, group, chunk).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
