@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by inner product over randomly rotated one-bit codes.
 
 Vectors are assigned to cells of a coarse k-means, and the residual to the cell's centre is rotated and kept as one
-bit per dimension with two correction scalars (its length, and its inner product with its own code). From the bits the
-inner product with a query is estimated together with an error bound; in each block only vectors whose upper bound
-reaches the k-th best lower bound are ranked again on the original vectors, in double precision.
-
-Scale: cells grow in number with the square root of the table (fitted on ``sample`` rows, which also caps them at an
-eighth of that). How many cells a query probes is measured on the sample, as the least number that meets ``recall``
-there against brute force: few where the vectors have clusters, most of them where they have none. Near cells share a
-block of at most ``BLOCK`` vectors and a larger cell has several, a block meets its queries ``QUERY_BLOCK`` at a time,
-and what travels back is ``k`` rows for each query and block.
+bit per dimension with two correction scalars (its length, and its inner product with its own code). A query is
+rotated too and kept as ``PLANES`` bit planes, so the inner product of a code with it is a few popcounts of packed bits;
+the scalars turn it into an estimate of the inner product of the vectors with an error bound. Vectors whose upper bound
+reaches the query's k-th best lower bound are ranked again on the original vectors.
+
+Scale: of equal vectors only the ``k + 1`` smallest ids are searched, as no more can be among the nearest. A query's
+k-th best inner product with the sample bounds its k-th best of the table from below: cells that can't reach it by
+their centre and radius aren't probed, and of the others as many as the sample needed for ``recall``; vectors that can't
+reach it aren't ranked again, and what scores less isn't returned. A block holds at most ``BLOCK`` vectors, near cells
+share one, and it meets its own queries ``QUERY_BLOCK`` at a time, so that vectors are copied only where that many
+queries want them (one copy of a vector for 8,192 estimates of it). Vectors travel with their codes: of 64 components
+without clusters the bounds leave a tenth of a block to be ranked again, and those pairs would outweigh the vectors.
+A block returns at most ``k`` rows per query. Cells are the square root of the table in number, an eighth of ``sample``
+at most (2,048): from some four million vectors on cells grow instead, and so does the work per query, unless
+``sample`` is raised. Where vectors have no clusters, a query meets most of the codes.
 """
 
 from __future__ import annotations
@@ -19,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +35,15 @@ SAMPLE = 16_384
 RECALL = 0.97
 BLOCK = 4_096
 QUERY_BLOCK = 8_192
-_STEP = 256
+PLANES = 6
+_STEP = 128
 #: Standard deviations of the estimate's error that the bounds allow for.
 EPSILON = 2.5
 
 
 @dataclass(frozen=True)
 class Coder:
-    """Cell centres, one rotation, and the width of the packed codes."""
+    """Cell centres, one rotation, and the packed codes."""
 
     centres: np.ndarray
     rotation: np.ndarray
@@ -46,24 +52,67 @@ class Coder:
     def dim(self) -> int:
         return self.centres.shape[1]
 
+    @property
+    def words(self) -> int:
+        return -(-self.dim // 64)
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         return np.argmin((self.centres**2).sum(axis=1) - 2 * x @ self.centres.T, axis=1)
 
+    def packed(self, bits: np.ndarray) -> np.ndarray:
+        """Rows of 64-bit words of rows of bits."""
+        wide = np.zeros((len(bits), self.words * 64), bool)
+        wide[:, : self.dim] = bits
+        return np.packbits(wide, axis=1).view(np.uint64)
+
     def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed bits, residual length, and inner product of the unit residual with its code."""
         residual = x - self.centres[cell]
         length = np.sqrt((residual**2).sum(axis=1))
         turned = residual @ self.rotation.T / np.maximum(length, 1e-30)[:, None]
         fit = np.abs(turned).sum(axis=1) / math.sqrt(self.dim)
-        return np.packbits(turned >= 0, axis=1), length, np.where(length > 0, np.maximum(fit, 1e-6), 1.0)
+        return self.packed(turned >= 0), length, np.where(length > 0, np.maximum(fit, 1e-6), 1.0)
 
     def bounds(self, bits: np.ndarray, length: np.ndarray, fit: np.ndarray, cell: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products (vectors by queries) and how far they may be off."""
-        signs = (np.unpackbits(bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1) / math.sqrt(self.dim)
-        turned = (q @ self.rotation.T).astype(np.float32)
-        estimate = (self.centres @ q.T).astype(np.float32)[cell] + (signs @ turned.T) * (length / fit).astype(np.float32)[:, None]
-        spread = length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit * EPSILON / math.sqrt(max(self.dim - 1, 1))
-        return estimate, spread.astype(np.float32)[:, None] * np.sqrt((q**2).sum(axis=1)).astype(np.float32)[None, :]
+        """Estimated inner products (queries by vectors) and how far they may be off."""
+        turned = q @ self.rotation.T
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / (2**PLANES - 1), 1e-30)
+        level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+        # The query's coordinates that a code has set, by popcounts of the code with each plane of their levels.
+        inside = np.zeros((len(q), len(bits)))
+        for plane in range(PLANES):
+            mask = self.packed((level >> plane) & 1)
+            for w in range(self.words):
+                inside += np.bitwise_count(bits[None, :, w] & mask[:, None, w]) * float(1 << plane)
+        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        chosen = low[:, None] * ones + step[:, None] * inside
+        whole = low * self.dim + step * level.sum(axis=1)
+        product = (2 * chosen - whole[:, None]) / math.sqrt(self.dim)
+        estimate = (q @ self.centres.T)[:, cell] + product * (length / fit)
+        norm = np.sqrt((q**2).sum(axis=1))
+        spread = length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / math.sqrt(max(self.dim - 1, 1))
+        rounding = np.outer(step / math.sqrt(12), length / fit)
+        return estimate, EPSILON * np.sqrt(np.outer(norm, spread) ** 2 + rounding**2)
+
+
+@dataclass(frozen=True)
+class Fit:
+    """What a bounded sample gives: the coder, how many cells to probe, and the sample itself."""
+
+    coder: Coder
+    near: int
+    x: np.ndarray
+    ids: np.ndarray
+
+    def floor(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best inner product of each query with others of the sample, less than any k-th best of the table."""
+        if len(self.x) <= k:
+            return np.full(len(q), -np.inf)
+        product = q @ self.x.T
+        product[own[:, None] == self.ids[None, :]] = -np.inf
+        least = np.partition(product, len(self.x) - k, axis=1)[:, len(self.x) - k]
+        return least - 1e-9 * (1 + np.abs(least))
 
 
 def kmeans(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -87,12 +136,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (widest["d"] if widest else 0))
 
 
-def fit(rows: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> tuple[Coder, int] | None:
-    """Centres from at most ``sample`` rows, in the order of a hash of the id, and the cells to probe; None without rows."""
+def fit(rows: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> Fit | None:
+    """Learn from at most ``sample`` rows, in the order of a hash of the id; None without rows."""
     n = rows.count()
     if not n:
         return None
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas().drop_duplicates("vec_id")
     x = np.stack(drawn["v"].to_numpy())
     cells = max(1, min(round(math.sqrt(n)), len(x) // 8))
     rng = np.random.default_rng(3)
@@ -103,7 +152,8 @@ def fit(rows: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> tuple[C
     nearest = np.argsort(-product, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     place = np.argsort(np.argsort(-(q @ coder.centres.T), axis=1, kind="stable"), axis=1)
     needed = np.sort(np.take_along_axis(place, coder.assign(x)[nearest], axis=1).ravel())
-    return coder, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1 if len(needed) else 1
+    near = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1 if len(needed) else 1
+    return Fit(coder, near, x, drawn["vec_id"].to_numpy())
 
 
 def pack(coder: Coder, size: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,90 +176,129 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
 
 
-_RESULT = "query_id long, vec_id long, score double"
-_EMPTY = "query_id long, rank int, vec_id long, score double"
+_CODE = "cell int, vec_id long, v array<double>, bits binary, length double, fit double"
+_ASK = "block long, query_id long, floor double, q array<double>"
+_SCORE = "query_id long, vec_id long, score double"
+_RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: for rows where ``is_query`` holds, the ``k`` nearest found of all others.
 
-    Nearness is the largest inner product; ties go to the smaller vec_id. Vectors that are null, zero, of another
-    length than most, or hold null or non-finite components take no part, and neither do rows without an id. Rows that
-    repeat a vec_id are one query and one candidate, which has its best score. With fewer than k candidates all are
-    returned: a query goes on to further cells until those it has seen hold enough.
+    Nearness is the largest inner product, summed in double precision in the order of the components, so that equal
+    vectors have equal scores; ties go to the smaller vec_id. Vectors that are null, zero, of another length than most,
+    or hold null or non-finite components take no part, and neither do rows without an id. Rows that repeat a vec_id
+    are one query and one candidate, which has its best score. With fewer than k candidates all are returned: a query
+    goes on to further cells until those it has seen hold enough. Other columns are ignored, whatever their names.
     """
     rows = usable(vectors)
-    fitted_on = fit(rows, k, recall, sample)
-    if fitted_on is None:
-        return vectors.sparkSession.createDataFrame([], _EMPTY)
-    coder, near = fitted_on
-    dim = coder.dim
+    fitted = fit(rows, k, recall, sample)
+    if fitted is None:
+        return vectors.sparkSession.createDataFrame([], _RESULT)
+    coded = materialize(codes(rows, fitted.coder, k), "codes")
+    best = scored(coded, rows.where(is_query), fitted, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def codes(rows: DataFrame, coder: Coder, k: int) -> DataFrame:
+    """A row per vector, but of equal vectors those of the ``k + 1`` smallest ids."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v"), dim)
+            x = _matrix(batch.column("v"), coder.dim)
             cell = coder.assign(x)
             bits, length, fitted = coder.encode(x, cell)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), batch.column("vec_id"), batch.column("v"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(fitted)],
-                ["cell", "vec_id", "v", "bits", "length", "fit"],
-            )
+            packed = pa.array([b.tobytes() for b in bits], pa.binary())
+            columns = [pa.array(cell.astype(np.int32)), batch.column("vec_id"), batch.column("v"), packed, pa.array(length), pa.array(fitted)]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "vec_id", "v", "bits", "length", "fit"])
+
+    hashed = rows.distinct().withColumns({"same1": F.xxhash64("v"), "same2": F.xxhash64(F.lit(1), "v")})
+    order = Window.partitionBy("same1", "same2").orderBy("vec_id")
+    return hashed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).select("vec_id", "v").mapInArrow(code, _CODE)
 
-    coded = materialize(rows.mapInArrow(code, "cell int, vec_id long, v array<double>, bits binary, length double, fit double"), "codes")
+
+def scored(coded: DataFrame, queries: DataFrame, fitted: Fit, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: from each block that a query probes up to ``k`` of the nearest."""
+    coder, dim = fitted.coder, fitted.coder.dim
     # One row per cell: at most an eighth of the sample.
-    held = coded.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).toPandas()
-    size, asked = np.zeros(len(coder.centres), np.int64), int(held["q"].sum())
-    size[held["cell"]] = held["n"]
-    block = max(256, min(BLOCK, math.ceil(size.sum() / 24)))
-    first, many = pack(coder, size, block)
+    held = coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("length").alias("radius")).toPandas()
+    size, radius = np.zeros(len(coder.centres), np.int64), np.zeros(len(coder.centres))
+    size[held["cell"]], radius[held["cell"]] = held["n"], held["radius"]
+    first, many = pack(coder, size, max(256, min(BLOCK, math.ceil(size.sum() / 24))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
+            block = first[cell] + (ids * 0x9E3779B1 >> 16) % many[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], ["block", *batch.schema.names])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column("v"), dim)
-            order = np.argsort(-(q @ coder.centres.T), axis=1, kind="stable")
+            q, own = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
+            floor, norm = fitted.floor(q, own, k), np.sqrt((q**2).sum(axis=1))
+            centre = q @ coder.centres.T
+            order = np.argsort(-centre, axis=1, kind="stable")
             seen = np.cumsum(size[order], axis=1)
-            count = np.minimum(np.maximum(near, (seen < k + 1).sum(axis=1) + 1), order.shape[1])
-            row, visits = [], []
+            count = np.minimum(np.maximum(fitted.near, (seen < k + 1).sum(axis=1) + 1), order.shape[1])
+            reach = centre + norm[:, None] * radius + 1e-9 * (1 + norm[:, None]) >= floor[:, None]
+            row, visits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(len(q)):
                 cell = order[i, : count[i]]
-                cell = cell[size[cell] > 0]
-                own = np.unique(np.concatenate([first[cell], *[first[c] + np.arange(1, many[c]) for c in cell[many[cell] > 1]]]))
-                row.append(np.full(len(own), i))
-                visits.append(own)
-            take = pa.array(np.concatenate([*row, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*visits, np.zeros(0, np.int64)])), batch.column("vec_id").take(take), batch.column("v").take(take)], ["block", "query_id", "q"])
-
-    slots = max(1, math.ceil(asked / QUERY_BLOCK))
-    at = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("cell") + 1)
-    dealt = coded.withColumn("block", (at(first) + F.pmod(F.xxhash64("vec_id"), at(many))).cast("long"))
-    side = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    asks = coded.where(is_query).select("vec_id", "v").mapInArrow(probe, "block long, query_id long, q array<double>")
-    asks = asks.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(slots)).cast("int"))
-
-    def rank(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+                cell = cell[(size[cell] > 0) & reach[i, cell]]
+                blocks = np.unique(np.concatenate([first[cell], *[first[c] + np.arange(1, many[c]) for c in cell[many[cell] > 1]]]))
+                row.append(np.full(len(blocks), i))
+                visits.append(blocks)
+            at = np.concatenate(row)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(visits)), batch.column("vec_id").take(take), pa.array(floor[at]), batch.column("v").take(take)], ["block", "query_id", "floor", "q"])
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if len(vectors) and len(queries):
-            x, ids = np.stack(vectors["v"].to_numpy()), vectors["vec_id"].to_numpy()
-            bits = np.frombuffer(b"".join(vectors["bits"]), np.uint8).reshape(len(ids), -1)
-            length, fitted, cell = (vectors[c].to_numpy() for c in ("length", "fit", "cell"))
-            q, owners = np.stack(queries["q"].to_numpy()), queries["query_id"].to_numpy()
+        if left.num_rows and right.num_rows:
+            ids, cell, length, fit = (left.column(c).to_numpy() for c in ("vec_id", "cell", "length", "fit"))
+            x = _matrix(left.column("v").combine_chunks(), dim)
+            bits = np.frombuffer(b"".join(left.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+            q, owners, floors = _matrix(right.column("q").combine_chunks(), dim), right.column("query_id").to_numpy(), right.column("floor").to_numpy()
+            # One more than k, as the query itself may be among them, and one for each row that repeats an id.
+            place = len(ids) - (k + 1 + len(ids) - len(np.unique(ids)))
             for lo in range(0, len(q), _STEP):
-                estimate, off = coder.bounds(bits, length, fitted, cell, q[lo : lo + _STEP])
-                high = (estimate + off).T
-                low = (estimate - off).T
-                # One more than k, as the query itself may be among them.
-                floor = np.partition(low, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] if len(ids) > k + 1 else np.full(len(low), -np.inf)
-                for j in range(len(low)):
-                    own = owners[lo + j]
-                    again = np.flatnonzero((high[j] >= floor[j]) & (ids != own))
-                    score = x[again] @ q[lo + j]
-                    best = np.lexsort((ids[again], -score))[:k]
-                    out.append((np.full(len(best), own), ids[again][best], score[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
+                estimate, off = coder.bounds(bits, length, fit, cell, q[lo : lo + _STEP])
+                least = floors[lo : lo + _STEP]
+                if place >= 0:
+                    least = np.maximum(least, np.partition(estimate - off, place, axis=1)[:, place])
+                again = estimate + off >= least[:, None]
+                for j in range(len(again)):
+                    own = np.flatnonzero(again[j] & (ids != owners[lo + j]))
+                    out.append(_best(x, ids, own, q[lo + j], floors[lo + j], k, owners[lo + j]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table(columns, names=["query_id", "vec_id", "score"])
+
+    asks = materialize(queries.select("vec_id", "v").distinct().mapInArrow(probe, _ASK), "probes")
+    slots = asks.groupBy(F.col("block").alias("b")).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("slots"))
+    side = coded.mapInArrow(place, "block long, " + _CODE).join(slots, F.col("block") == F.col("b"))
+    side = side.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("b", "slots")
+    asks = asks.join(slots, F.col("block") == F.col("b")).withColumn("slot", F.pmod(F.xxhash64("query_id"), F.col("slots")).cast("int")).drop("b", "slots")
     keys = ["block", "slot"]
-    found = side.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(lambda a, b: rank(a, b), _RESULT)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return side.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(lambda left, right: nearest(left, right), _SCORE)
+
+
+def _best(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, floor: float, k: int, owner: int) -> tuple:
+    """The ``k`` nearest of the rows ``own``. A product in blocks tells which can be among them, up to its rounding."""
+    rough = x[own] @ q
+    if len(own) > k:
+        floor = max(floor, np.partition(rough, len(own) - k)[len(own) - k])
+    slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
+    own = own[rough >= floor - slack]
+    score = dot(x[own], q)
+    best = np.lexsort((ids[own], -score))
+    fewer = best[: k + len(own) - len(np.unique(ids[own]))]  # rows that repeat an id count once
+    return np.full(len(fewer), owner), ids[own][fewer], score[fewer]
+
+
+def dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products with the rows of ``x``, added up from the first component to the last whatever the number of rows."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * q[d]
+    return out
