@@ -18,19 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, materialize, text_or_empty, utf8
+from .common import MIN_LONG, fresh, materialize, text_or_empty, utf8
 
 BLANK = b" \t\n\r\x0b\x0c"
 _KEYED = "h1 long, h2 long, doc_key long, row_key long, n_lines int, positions array<int>"
 _STAGED = "kind string, h1 long, h2 long, doc_key long, row_key long, n_lines int, positions array<int>, n_docs long"
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
+def _with_keys(docs: DataFrame, doc_key: str, row_key: str) -> DataFrame:
     """doc_key: the doc_id, a null one as one document below all others; row_key tells texts of one doc_id apart."""
-    return docs.withColumns({
-        "__doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)),
-        "__row_key": F.xxhash64(text_or_empty()),
-    })
+    return docs.withColumns({doc_key: F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)), row_key: F.xxhash64(text_or_empty())})
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -60,7 +57,8 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 ["h1", "h2", "doc_key", "row_key", "n_lines", "positions"],
             )
 
-    return _with_keys(docs).select(F.col("__doc_key").alias("doc_key"), F.col("__row_key").alias("row_key"), text_or_empty().alias("text")).mapInArrow(run, _KEYED)
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    return _with_keys(rows, "doc_key", "row_key").select("doc_key", "row_key", "text").mapInArrow(run, _KEYED)
 
 
 def _stream_runs(min_docs: int):
@@ -146,10 +144,12 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> bytes:
     return b"\n".join([lines[i] for i in np.flatnonzero(keep)])
 
 
-def _joined(docs: DataFrame, bitmaps: DataFrame, columns: list) -> DataFrame:
-    maps = bitmaps.select(F.col("doc_key").alias("__k1"), F.col("row_key").alias("__k2"), F.col("n_dropped").alias("__dropped"), F.col("keep").alias("__keep"))
-    rows = _with_keys(docs).select(*columns, "__doc_key", "__row_key")
-    return rows.join(maps, (F.col("__doc_key") == F.col("__k1")) & (F.col("__row_key") == F.col("__k2")), "left").drop("__doc_key", "__row_key", "__k1", "__k2")
+def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs`` and, as the last two columns, the number of lines that a row loses and its bitmap."""
+    doc_key, row_key, k1, k2, dropped, keep = fresh(docs, "doc_key", "row_key", "k1", "k2", "dropped", "keep")
+    maps = bitmaps.select("doc_key", "row_key", "n_dropped", "keep").toDF(k1, k2, dropped, keep)
+    rows = _with_keys(docs, doc_key, row_key)
+    return rows.join(maps, (F.col(doc_key) == F.col(k1)) & (F.col(row_key) == F.col(k2)), "left").drop(doc_key, row_key, k1, k2)
 
 
 def digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -160,31 +160,29 @@ def digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFram
             data, offsets = utf8(batch.column("text"))
             whole, at = data.tobytes(), offsets.tolist()
             texts = [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            shas = [hashlib.sha256(kept_lines(t, m)).hexdigest() for t, m in zip(texts, batch.column("__keep").to_pylist(), strict=True)]
+            shas = [hashlib.sha256(kept_lines(t, m)).hexdigest() for t, m in zip(texts, batch.columns[-1].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), batch.column("__dropped").fill_null(0).cast(pa.int64()), pa.array(shas, pa.string())],
+                [batch.column("doc_id"), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), batch.columns[-2].fill_null(0).cast(pa.int64()), pa.array(shas, pa.string())],
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    rows = _joined(docs, keep_bitmaps(docs, min_chars, min_docs), [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")])
+    rows = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), keep_bitmaps(docs, min_chars, min_docs))
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with its repeated lines taken out of ``text``, all columns kept and ``n_chars`` (where there) renewed."""
     names, at = docs.columns, docs.columns.index("text")
-    kept = docs.select(*[F.col(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 None if t is None else t if m is None else kept_lines(t.encode(), m).decode()
-                for t, m in zip(batch.column(at).to_pylist(), batch.column("__keep").to_pylist(), strict=True)
+                for t, m in zip(batch.column(at).to_pylist(), batch.columns[-1].to_pylist(), strict=True)
             ]
             arrays = list(batch.columns[: len(names)])
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = _joined(kept, keep_bitmaps(docs, min_chars, min_docs), [F.col(c) for c in names])
-    out = rows.mapInArrow(run, docs.schema)
+    out = _joined(docs, keep_bitmaps(docs, min_chars, min_docs)).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

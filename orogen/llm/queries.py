@@ -41,10 +41,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
-        F.col("n_words").cast("long").alias("n_words"),
+        F.col("contamination.n_words").cast("long").alias("n_words"),
         decontaminate.n_hit().alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated().alias("contaminated"),
     )
 
