@@ -4,7 +4,7 @@ A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded as
 sketch of its words, put through a learned layer, and weighed by gated attention; the score is that of the weighted
 sum. Only document labels are learned from.
 
-Scale: the fit sees a bounded sample (``max_rows`` labelled rows, chosen by hash) whose texts are encoded where they
+Scale: the fit sees a bounded sample (``max_rows`` labelled rows and ``max_bytes`` of their text, chosen by hash) whose texts are encoded where they
 are; the encoded bags are fitted in one task. Scoring is one map-side pass with a model of a few kilobytes.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, SpanHasher, byte_class, slices, utf8, word_spans
-from .toxicity import sample_ids, sampled_texts
+from .toxicity import MAX_BYTES, sample_ids, sampled_texts
 
 PASSAGE = 64
 SKETCH = 48
@@ -146,9 +146,11 @@ class AttentionModel:
                     self.p[k] = self.p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", max_rows: int = MAX_ROWS) -> AttentionModel | None:
+def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> AttentionModel | None:
     """Learn from labelled rows for which ``usable`` holds; None without any.
 
+    The sample is bounded by ``max_rows`` rows and ``max_bytes`` of text (an encoded passage takes about its text's size).
+
     Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts, of several rows one.
     """
     ids = sample_ids(labels, label, usable, max_rows)
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", max_
         model.fit(bags, frame["y"].to_numpy(float))
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    bags = sampled_texts(docs, ids).mapInArrow(encode, "id long, y int, bag binary")
+    bags = sampled_texts(docs, ids, max_bytes).mapInArrow(encode, "id long, y int, bag binary")
     found = bags.groupBy(F.lit(0).alias("one")).applyInPandas(lambda f: learn(f), "model binary").first()  # a bounded sample in one task
     return pickle.loads(found["model"]) if found else None
 

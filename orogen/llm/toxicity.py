@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Scale: the fit sees a bounded sample (``max_rows`` labelled rows, chosen by hash), whose features are extracted where
+Scale: the fit sees a bounded sample (``max_rows`` labelled rows and ``max_bytes`` of their text, chosen by hash), whose features are extracted where
 the texts are; FTRL is sequential, so one task runs it, over at most that sample. Features of fewer than ``MIN_DOCS``
 sampled documents are left out and L1 leaves few weights of the others, so the model that every task gets is a small
 sparse array however large the hash space. Scoring is one map-side pass.
@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SpanHasher, mix, slices, text_or_empty, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, materialize, mix, slices, text_or_empty, utf8, word_spans
 
 BITS = 24
 MIN_DOCS = 3
 MAX_ROWS = 12_000
+MAX_BYTES = 96_000_000
 _CHUNK_BYTES = 1_000_000
 _MASK = (1 << BITS) - 1
 #: Words apart of the pairs that are features, besides single words and three words in a row.
@@ -122,20 +123,28 @@ def sample_ids(labels: DataFrame, label: str, usable, max_rows: int) -> DataFram
     return one.orderBy(F.xxhash64("id"), "id").limit(max_rows)
 
 
-def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sampled_texts(docs: DataFrame, ids: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``id, y, text``: one row for each of ``ids`` that ``docs`` has, of several rows that of the least text hash.
 
-    Repeats are dropped where they are, so no task gets more rows of an id than there are partitions.
+    Repeats are dropped where they are, so no task gets more rows of an id than there are partitions. In the order of a
+    hash of the id whole texts are taken as long as they come to ``max_bytes`` at most (and one in any case).
     """
     # The ids are at most max_rows pairs of numbers, so they go to the texts and not the other way round.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
     one = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
-    return one.select("id", "y", "least.text")
+    texts = materialize(one.select("id", "y", "least.text"), "sample")
+    # One window over a row of two numbers for each sampled id.
+    so_far = Window.orderBy(F.xxhash64("id"), "id")
+    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size"))
+    few = sizes.withColumns({"nth": F.row_number().over(so_far), "total": F.sum("size").over(so_far)}).where((F.col("nth") == 1) | (F.col("total") <= max_bytes))
+    return texts.join(F.broadcast(few.select("id")), "id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_rows: int = MAX_ROWS, learner: Ftrl | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_rows: int = MAX_ROWS, learner: Ftrl | None = None, max_bytes: int = MAX_BYTES) -> Model:
     """Learn from labelled rows for which ``usable`` holds; without any, every score is 0.5.
 
+    The sample is bounded by ``max_rows`` rows and ``max_bytes`` of text (some five features of four bytes a word).
+
     Labels other than 0 and 1 are left out; of several labels of one doc_id the largest counts, of several rows one.
     """
     learner = learner or Ftrl()
@@ -164,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_ro
             model = train([rows[i] for i in order], np.array([labels[i] for i in order], float), learner)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    packed = sampled_texts(docs, ids).mapInArrow(extract, "id long, y int, x binary")
+    packed = sampled_texts(docs, ids, max_bytes).mapInArrow(extract, "id long, y int, x binary")
     found = packed.repartition(1).mapInArrow(learn, "model binary").first()
     return pickle.loads(found["model"]) if found else Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
 
