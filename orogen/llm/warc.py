@@ -2,11 +2,12 @@
 
 A monolithic archive is one gzip stream over many records, which cannot be read from the middle. The normaliser
 inflates such a file once as a stream, rewrites every record as a gzip member of its own and writes a sidecar index
-of member offsets, after which any record is one seek and one small inflate.
+of member offsets, after which any record is one slice and one small inflate.
 
-Scale: pages are dealt by payload digest, so writers see plain rows and keep one open stream each; an archive is
-closed at ``max_bytes`` of records. Files live in the shared folder under names unique to a task attempt, and only
-names that a finished task returned are used again, so a lost executor leaves nothing but unused files.
+Scale: which page responds and which revisit it is settled on ids and digests; payloads are dealt once, by page. Writers
+keep one open stream each and close an archive at ``max_bytes`` of records. Archives are rows (path, content, index) of
+tables in the shared folder, which Spark writes and commits on any storage that it can reach; ``read_files`` takes
+archives from any such storage, and ``write_files`` puts archives and sidecars out as files.
 """
 
 from __future__ import annotations
@@ -20,39 +21,51 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize
 
 VERSION = b"WARC/1.1"
+MAX_BYTES = 16 << 20
 _IO = 1 << 18
-#: Fixed so that the same pages always make the same bytes.
-_DATE = "2024-01-01T00:00:00Z"
-
-
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit has an empty block and the size and digest of the payload that it stands for."""
-    block = payload if kind == "response" else b""
-    head = [
-        ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
-        ("WARC-Date", _DATE),
-        ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
-        ("WARC-Payload-Length", str(len(payload))),
-        ("Content-Type", "text/html; charset=utf-8"),
-        ("Content-Length", str(len(block))),
-    ]
+_SALT = 16
+#: Fixed so that the same pages always make the same bytes: the tables have no fetch time.
+DATE = "2024-01-01T00:00:00Z"
+_SOFTWARE = b"software: orogen\r\nformat: WARC File Format 1.1\r\n"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}/sha256:{digest}').urn}>"
+
+
+def _record(head: list[tuple[str, str]], block: bytes) -> bytes:
+    lines = "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", str(len(block)))])
+    return VERSION + b"\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str, date: str = DATE) -> bytes:
+    """The record that opens an archive."""
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _record(head, _SOFTWARE)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, date: str = DATE) -> bytes:
+    """The record of a page: an HTTP response with its header lines, or a revisit with header lines alone.
+
+    The digest and length of the payload are given for both; ``X-Page-ID`` holds the page's id where it has one.
+    """
+    digest = hashlib.sha256(payload).hexdigest()
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date)]
     if url is not None:
-        head.insert(1, ("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
+        head.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
+    head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
+    if page_id is not None:
+        head.append(("X-Page-ID", str(page_id)))
     if kind == "revisit":
-        head.append(("WARC-Refers-To", f"<urn:page:{refers_to}>"))
-        head.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+        head += [("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _record(head, http + (payload if kind == "response" else b""))
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -107,126 +120,138 @@ def with_roles(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """``page_id, url, payload, kind, refers_to``: of equal payloads of ``min_bytes`` or more, the smallest page_id is
     the response and the others revisit it. Rows that repeat the smallest page_id are responses all; rows with a null
     page_id revisit like any other, and are responses where no other row holds their payload."""
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"),
-    ).withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.octet_length("payload") >= min_bytes)
-    shared = long.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
-    joined = rows.join(shared.select(F.col("digest").alias("d"), "first"), F.col("digest") == F.col("d"), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select(
-        "page_id", "url", "payload",
-        F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(revisit, F.col("first")).alias("refers_to"),
-    )
-
-
-def write_monolithic(rows: DataFrame, folder: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """Write records to archives that are one gzip stream each; returns their ``path`` and ``n_records``."""
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    keys = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", F.sha2("payload", 256).alias("digest"))
+    shared = keys.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
+    # Ids meet their response in salted groups, as a third of all pages may hold one payload.
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(_SALT)))
+    firsts = shared.select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALT - 1).cast("long"))).alias("s"))
+    again = salted.join(firsts, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    # Pages meet their verdict under their own id; the digest goes along for ids that several payloads have.
+    known = again.select(F.coalesce("page_id", F.xxhash64("digest")).alias("k1"), F.col("digest").alias("k2"), F.col("first").alias("refers_to")).distinct()
+    digest = F.sha2("payload", 256)
+    keyed = rows.withColumns({"digest": digest, "key": F.coalesce("page_id", F.xxhash64(digest))})
+    joined = keyed.join(known, (F.col("key") == F.col("k1")) & (F.col("digest") == F.col("k2")) & (F.octet_length("payload") >= min_bytes), "left")
+    # A null id may have the key of another page's id, so a page never refers to itself.
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to"))
+    return joined.select("page_id", "url", "payload", F.when(refers.isNotNull(), "revisit").otherwise("response").alias("kind"), refers.alias("refers_to"))
+
+
+_ARCHIVE = "path string, content binary, n_records long"
+
+
+def write_monolithic(rows: DataFrame, max_bytes: int = MAX_BYTES, date: str = DATE) -> DataFrame:
+    """Archives of one gzip stream each: their ``path`` (a name), ``content`` and ``n_records`` (of pages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        done: list[tuple[str, int]] = []
+        out: list[bytes] = []
+        engine, name, n, size = None, "", 0, 0
+
+        def closed() -> pa.RecordBatch:
+            out.append(engine.flush())
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary()), pa.array([n], pa.int64())], ["path", "content", "n_records"])
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "kind", "refers_to")]
+            for row in zip(*columns, strict=True):
+                if engine is None:
+                    engine, name, n, size = zlib.compressobj(6, zlib.DEFLATED, 31), f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out[:] = [engine.compress(info(name, date))]
+                body = record(*[x.as_py() for x in row], date)
+                out.append(engine.compress(body))
+                n, size = n + 1, size + len(body)
+                if size >= max_bytes:
+                    yield closed()
+                    engine = None
+        if engine is not None:
+            yield closed()
+
+    return materialize(rows.select("page_id", "url", "payload", "kind", "refers_to").mapInArrow(run, _ARCHIVE), "archives")
+
+
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Archives (``path, content``) from files on any storage that Spark reads."""
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
+_NORMAL = "path string, content binary, index string, n_records long"
 
-        def close() -> None:
-            if state:
-                state["out"].write(state["gzip"].flush())
-                state["out"].close()
-                done.append((state["path"], state["n"]))
-                state.clear()
 
+def normalize(archives: DataFrame) -> DataFrame:
+    """Each archive of ``path, content`` with one gzip member per record, and its sidecar ``index``.
+
+    The index has a JSON line per record: record_id, kind, offset, length; ``n_records`` counts them all. An archive that
+    is truncated or holds anything but records fails its task; a record may be larger than ``max_bytes``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if not state:
-                    path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    store, local = _store(path)
-                    state |= {"path": path, "out": store.open_output_stream(local, compression=None), "gzip": zlib.compressobj(6, zlib.DEFLATED, 31), "n": 0, "bytes": 0}
-                body = record(row["page_id"], row["url"], row["payload"], row["kind"], row["refers_to"])
-                state["out"].write(state["gzip"].compress(body))
-                state["n"] += 1
-                state["bytes"] += len(body)
-                if state["bytes"] >= max_bytes:
-                    close()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "n_records"])
-
-    _create(rows, folder)
-    return materialize(rows.mapInArrow(run, "path string, n_records long"), "archives")
-
-
-def _create(df: DataFrame, folder: str) -> None:
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-
-
-def normalize(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each monolithic archive of ``path`` with one gzip member per record and a ``.idx`` file beside it.
-
-    Returns ``path, index_path, n_records`` of the new archives. The index has a JSON line per record: record_id,
-    kind, offset, length. An archive that is truncated or holds anything but records fails its task.
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                members, lines, offset = [], [], 0
+                for body in records(inflate(pa.BufferReader(content.as_buffer()))):
+                    head = parse_head(body[: body.index(b"\r\n\r\n")])
+                    members.append(_member(body))
+                    lines.append(json.dumps({"record_id": head["warc-record-id"], "kind": head["warc-type"], "offset": offset, "length": len(members[-1])}))
+                    offset += len(members[-1])
+                columns = [pa.array([path.as_py()]), pa.array([b"".join(members)], pa.binary()), pa.array(["\n".join(lines)]), pa.array([len(lines)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "content", "index", "n_records"])
+
+    # An archive is a unit of work of bounded size, so archives are dealt out evenly over all cores.
+    dealt = archives.select("path", "content").repartition(archives.sparkSession.sparkContext.defaultParallelism)
+    return materialize(dealt.mapInArrow(run, _NORMAL), "normalized")
+
+
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """Put normalised archives out as files in ``folder``, each with its ``.idx`` beside it; returns their paths.
+
+    The folder is any that pyarrow's file systems open from the executors (local, hdfs, s3, gs). Names are unique to a
+    task attempt, so only those that are returned count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(base)
         for batch in batches:
-            for source in batch.column("path").to_pylist():
-                name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                store, local = _store(source)
-                target, out_path = _store(name)
-                offset = n = 0
-                with store.open_input_stream(local, compression=None) as stream, target.open_output_stream(out_path, compression=None) as out, target.open_output_stream(f"{out_path}.idx") as index:
-                    for body in records(inflate(stream)):
-                        head = parse_head(body[: body.index(b"\r\n\r\n")])
-                        member = _member(body)
-                        out.write(member)
-                        index.write(json.dumps({"record_id": head["warc-record-id"], "kind": head["warc-type"], "offset": offset, "length": len(member)}).encode() + b"\n")
-                        offset += len(member)
-                        n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{name}.idx"]), pa.array([n], pa.int64())], ["path", "index_path", "n_records"])
-
-    _create(archives, folder)
-    # A file is a unit of work of bounded size, so files are dealt out evenly over all cores.
-    dealt = archives.select("path").repartition(archives.sparkSession.sparkContext.defaultParallelism)
-    return materialize(dealt.mapInArrow(run, "path string, index_path string, n_records long"), "normalized")
+            names = [f"{uuid.uuid4().hex}.warc.gz" for _ in range(batch.num_rows)]
+            for name, content, index in zip(names, batch.column("content"), batch.column("index"), strict=True):
+                for suffix, data in (("", content.as_buffer()), (".idx", index.as_buffer())):
+                    with store.open_output_stream(f"{base}/{name}{suffix}", compression=None) as out:
+                        out.write(data)
+            paths = [f"{folder}/{name}" for name in names]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([f"{p}.idx" for p in paths], pa.string()), batch.column("n_records")], ["path", "index_path", "n_records"])
+
+    return materialize(archives.select("content", "index", "n_records").mapInArrow(run, "path string, index_path string, n_records long"), "files")
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """Read every record of normalised archives by its index entry, checking size and digest of responses."""
-
-    def page(urn: str) -> int | None:
-        number = urn.removeprefix("<urn:page:").removesuffix(">")
-        return int(number) if number else None
+    """Read every page's record of normalised archives by its index entry, checking size and digest of responses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for batch in batches:
-            for path, index_path in zip(batch.column("path").to_pylist(), batch.column("index_path").to_pylist(), strict=True):
-                store, local = _store(path)
-                entries = store.open_input_stream(_store(index_path)[1]).read().splitlines()
-                found = []
-                with store.open_input_file(local) as file:
-                    for entry in map(json.loads, entries):
-                        file.seek(entry["offset"])
-                        body = zlib.decompress(file.read(entry["length"]), 31)
-                        end = body.index(b"\r\n\r\n")
-                        head = parse_head(body[:end])
-                        size, digest = int(head["warc-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")
-                        if head["warc-type"] == "response":
-                            payload = body[end + 4 : -4]
-                            if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-                                raise ValueError(f"{path}: payload of {head['warc-record-id']} does not match its digest")
-                        refers = head.get("warc-refers-to")
-                        found.append({"page_id": page(head["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": head["warc-type"], "refers_to": page(refers) if refers else None})
+            for content, index in zip(batch.column("content"), batch.column("index").to_pylist(), strict=True):
+                data, found = memoryview(content.as_buffer()), []
+                for entry in map(json.loads, index.split("\n") if index else []):
+                    if entry["kind"] not in ("response", "revisit"):
+                        continue
+                    body = zlib.decompress(data[entry["offset"] : entry["offset"] + entry["length"]], 31)
+                    end = body.index(b"\r\n\r\n")
+                    head = parse_head(body[:end])
+                    size, digest = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")
+                    if head["warc-type"] == "response":
+                        payload = body[body.index(b"\r\n\r\n", end + 4) + 4 : -4]
+                        if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
+                    page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
+                    found.append({"page_id": page and int(page), "payload_bytes": size, "payload_digest": digest, "record_type": head["warc-type"], "refers_to": refers and int(refers)})
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    dealt = archives.select("path", "index_path").repartition(archives.sparkSession.sparkContext.defaultParallelism)
-    return dealt.mapInArrow(run, _READ)
+    return archives.select("content", "index").mapInArrow(run, _READ)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -235,6 +260,4 @@ def archive_pages(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     A null html is an empty payload, a null url leaves the target header out; rows that repeat are records of their
     own. Columns other than page_id, url and html are ignored. An empty table writes no archive and has no rows.
     """
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    archives = write_monolithic(with_roles(pages, min_bytes), f"{folder}/monolithic")
-    return read_records(normalize(archives, f"{folder}/members"))
+    return read_records(normalize(write_monolithic(with_roles(pages, min_bytes))))
