@@ -2,7 +2,7 @@
 
 A ranks file (base64 token, rank) is turned into a byte-level BPE model: every byte has a printable stand-in
 character, and every way to split a token into two others is a merge of that token's rank. Texts are cut by the
-pattern first and each match is encoded separately, a repeated one once as long as a bounded memory holds. Offsets come from the byte lengths of the tokens and a map from
+pattern first and each match is encoded separately, a repeated one once as long as a bounded memory holds (long ones aren't kept). Offsets come from the byte lengths of the tokens and a map from
 bytes to characters of the text, so a token may start or end inside a character.
 
 Scale: one map-side pass and no shuffle. The model is built once per Python worker from the vocabulary file, whose
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty, utf8
 
 _CHUNK_BYTES = 1_000_000
-#: Matches that a worker remembers at most (beyond those of one slice of rows).
+#: Matches that a worker remembers at most (beyond those of one slice of rows), and characters of the longest of them.
 _MET = 600_000
+_LONG = 48
 
 
 def byte_characters() -> list[str]:
@@ -147,6 +148,7 @@ class Codec:
         if len(self.known) + len(fresh) > _MET:
             self._forget()
             fresh = list(pieces)
+        fresh.sort(key=lambda p: len(p) > _LONG)  # so that the long ones stand last and can be taken off again
         if fresh:
             # A sequence of ready words is one call; word numbers tell which tokens belong to which.
             coded = self.tokenizer.encode_batch([fresh[i : i + 500] for i in range(0, len(fresh), 500)], is_pretokenized=True, add_special_tokens=False)
@@ -157,6 +159,15 @@ class Codec:
             self.met_length = np.concatenate([self.met_length, length])
             self.met_ids = np.concatenate([self.met_ids, *[np.array(e.ids, np.uint32) for e in coded]])
 
+    def _forget_long(self, pieces: np.ndarray) -> None:
+        long = [p for p in pieces if len(p) > _LONG]
+        if long:
+            for p in long:
+                del self.known[p]
+            n = len(self.known)
+            self.met_ids = self.met_ids[: self.met_start[n]].copy()
+            self.met_start, self.met_length = self.met_start[:n].copy(), self.met_length[:n].copy()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a match that was met before isn't encoded again."""
         found = self.cut(texts)
@@ -167,6 +178,7 @@ class Codec:
         ends = np.cumsum(length)
         ids = self.met_ids[np.repeat(self.met_start[index] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
         stops = np.concatenate([[0], ends])[np.cumsum([len(f) for f in found], dtype=np.int64)]
+        self._forget_long(pieces)
         return np.split(ids, stops[:-1]) if len(texts) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
