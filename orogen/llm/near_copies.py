@@ -5,7 +5,8 @@ spread. So the links of the SimHash trie self-join are candidates, and so are pa
 prefixes: with shingles in one fixed order, the first ``n - ceil(least * n) + 1`` of a document hold the first one that
 a near copy shares with it. Pairs of the second kind must also have parity sketches that are near enough: a shingle
 that only one side holds turns over one bit of the sketch, so the bits that differ are never more than such shingles.
-Neither filter loses a near copy, and what passes is confirmed on the words themselves.
+Neither filter loses a near copy. What passes is compared by sketches as long as the texts, which bound it likewise,
+and confirmed on the words themselves.
 
 Scale: about a fifth of the shingles is shuffled once, as hashes, range-partitioned down to the document so that no
 shingle is too frequent for a task; those that one document alone holds are dropped. Frequent shingles, known from a
@@ -76,12 +77,28 @@ def prefix_size(size: int, least: float) -> int:
     return min(size - int(np.ceil(least * size - _EPS)) + 1, size)
 
 
-_PROFILE = "node long, size int, set1 long, set2 long, fp long, parity binary, tokens array<long>"
+def parity_sketch(shingles: np.ndarray, bits: int) -> bytes:
+    """A bit for each remainder of the shingles: whether an odd number of them has it."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide(size: int) -> int:
+    """Bits of a sketch for the pairs that are left: as many as shingles, rounded up to a power of two."""
+    return max(PARITY, 1 << (size - 1).bit_length())
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes that a wider one contains."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
+
+
+_PROFILE = "node long, size int, set1 long, set2 long, fp long, parity binary, wide binary, tokens array<long>"
 
 
 def profiles(docs: DataFrame, width: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Per row of ``docs`` (node, text): the number of its shingles, a 128-bit hash of their set, their SimHash code and
-    parity sketch, and the shingles of its prefix."""
+    parity sketches, and the shingles of its prefix."""
     known, weight = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,20 +108,20 @@ def profiles(docs: DataFrame, width: int, least: float, frequent: tuple[np.ndarr
             for lo, hi in slices(offsets, _CHUNK_BYTES):
                 owner, h = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width, hasher)
                 key, cuts = ordered(h, known, weight), np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
-                sizes, sets, codes, parities, tokens = [], [], [], [], []
+                sizes, sets, codes, parities, wides, tokens = [], [], [], [], [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     own = np.unique(key[a:b])
                     sizes.append(len(own))
                     sets.append(xxhash.xxh3_128_digest(own.tobytes()))
                     codes.append(majority(bit_counts(h[a:b].view(np.uint64)), b - a))
-                    odd = np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-                    parities.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    parities.append(parity_sketch(own, PARITY))
+                    wides.append(parity_sketch(own, wide(len(own))))
                     tokens.append(own[: prefix_size(len(own), least)].view(np.int64))
                 pair = np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, tokens)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))
-                columns = [batch.column("node").slice(lo, hi - lo), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(parities, pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "size", "set1", "set2", "fp", "parity", "tokens"])
+                columns = [batch.column("node").slice(lo, hi - lo), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(parities, pa.binary()), pa.array(wides, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "size", "set1", "set2", "fp", "parity", "wide", "tokens"])
 
     return docs.mapInArrow(run, _PROFILE)
 
@@ -253,6 +270,25 @@ def thinned(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     return materialize(edges.repartition(1).mapInArrow(run, _EDGE), "forest") if edges.count() <= few else edges
 
 
+def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``u, v`` of ``pairs`` that may be near copies by their wide sketches."""
+    share = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("wide_u", "wide_v", "size_u", "size_v")], strict=True)
+            good = []
+            for a, b, m, n in rows:
+                size = min(len(a), len(b))
+                odd = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+                good.append(odd <= share * (m + n) + _EPS and m >= least * n - _EPS and n >= least * m - _EPS)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}"))
+    both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    return both.select("u", "v", "size_u", "size_v", "wide_u", "wide_v").mapInArrow(run, "u long, v long").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The ``u, v`` of ``pairs`` with rows in ``docs`` (``node, text``) that are near copies, by the words themselves."""
 
@@ -291,7 +327,7 @@ def near_links(docs: DataFrame, width: int = 5, least: float = 0.8, block: int =
     shared_dir(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
     held = materialize(profiles(docs, width, least, frequent_shingles(docs, width)), "profiles")
-    one = held.groupBy("set1", "set2").agg(F.min("node").alias("node"), F.min_by(F.struct("size", "fp", "parity", "tokens"), "node").alias("s"))
+    one = held.groupBy("set1", "set2").agg(F.min("node").alias("node"), F.min_by(F.struct("size", "fp", "parity", "wide", "tokens"), "node").alias("s"))
     sets = materialize(one.select("set1", "set2", "node", "s.*"), "sets")
     first = sets.select(F.col("set1").alias("k1"), F.col("set2").alias("k2"), F.col("node").alias("v"))
     same = held.select(F.col("node").alias("u"), "set1", "set2").join(first, (F.col("set1") == F.col("k1")) & (F.col("set2") == F.col("k2"))).where("u <> v").select("u", "v")
@@ -303,7 +339,7 @@ def near_links(docs: DataFrame, width: int = 5, least: float = 0.8, block: int =
     forest = close_pairs(blocks, sketches.withColumn("label", F.col("node")), least, across=False)
     by_code = links(codes, BUDGET).union(alike).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     tried = thinned(forest.union(by_code.withColumn("apart", F.lit(1.0)))).select("u", "v")
-    good = confirmed(tried, docs, width, least)
+    good = confirmed(materialize(likely(tried, sets, least), "likely"), docs, width, least)
     refuted = tried.join(good, ["u", "v"], "left_anti")
     if refuted.isEmpty():
         return same.union(good)
@@ -315,7 +351,7 @@ def near_links(docs: DataFrame, width: int = 5, least: float = 0.8, block: int =
     again = again.join(labels, F.col("id") == F.col("known"), "left").select("id", F.coalesce("component", "id").alias("label"))
     redo = sketches.join(again, F.col("node") == F.col("id")).select("node", "size", "parity", "label")
     rest = close_pairs(blocks, redo, least, across=True).select("u", "v").join(tried, ["u", "v"], "left_anti")
-    return same.union(good).union(confirmed(materialize(rest, "rest"), docs, width, least))
+    return same.union(good).union(confirmed(materialize(likely(rest, sets, least), "rest"), docs, width, least))
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -326,4 +362,4 @@ def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, blo
     any of its rows is. Rows with a null doc_id are in no group and stay.
     """
     labels = components(near_links(docs, width, least, block))
-    return without_ids(docs, labels.where("node <> component").select(F.col("node").alias("__gone")).distinct())
+    return without_ids(docs, labels.where("node <> component").select("node").distinct())

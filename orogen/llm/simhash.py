@@ -360,18 +360,19 @@ def without_near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) ->
     Rows with a null doc_id belong to no component and stay.
     """
     found = near_duplicates(docs, width, budget)
-    return without_ids(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return without_ids(docs, found.where("component_id <> doc_id").select("doc_id").distinct())
 
 
 def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids ``__gone``; of the rows of an id that is left, that of the least text hash."""
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    """``docs`` without the ids of ``gone``, its one column; of the rows of an id that is left, that of the least text hash."""
+    left, twice, nth = fresh(docs, "gone", "again", "nth")
+    gone = gone.toDF(left)
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(left), "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice))
     if again.isEmpty():
         return kept
     # Rows of a repeated id are rare, so only they are sorted against each other; a task sends on one row of an id.
-    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    double = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
-    (nth,) = fresh(docs, "nth")
+    single = kept.join(again, F.col("doc_id") == F.col(twice), "left_anti")
+    double = kept.join(again, F.col("doc_id") == F.col(twice), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_or_empty()), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
     return single.unionByName(double.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth))
