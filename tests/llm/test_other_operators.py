@@ -33,16 +33,34 @@ def test_archives(spark):
 
 def test_normaliser_writes_one_member_per_record(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "z" * (i * 997)) for i in range(40)], "page_id long, url string, html string")
-    archives = warc.write_monolithic(warc.with_roles(pages).coalesce(1), str(tmp_path / "one"), max_bytes=200_000)
+    archives = warc.write_monolithic(warc.with_roles(pages).coalesce(1), max_bytes=200_000)
     found = archives.collect()
     assert sum(r["n_records"] for r in found) == 40 and len(found) > 1
-    for r in warc.normalize(archives, str(tmp_path / "many")).collect():
+    files = warc.write_files(warc.normalize(archives), str(tmp_path / "many")).collect()
+    kinds = Counter()
+    for r in files:
         data = open(r["path"], "rb").read()
         entries = [json.loads(x) for x in open(r["index_path"])]
         assert len(entries) == r["n_records"] and sum(e["length"] for e in entries) == len(data)
         for e in entries:
             member = gzip.GzipFile(fileobj=io.BytesIO(data[e["offset"] : e["offset"] + e["length"]])).read()
             assert member.startswith(b"WARC/1.1\r\n") and e["record_id"].encode() in member
+            if e["kind"] == "response":
+                assert b"\r\n\r\nHTTP/1.1 200 OK\r\n" in member
+            kinds[e["kind"]] += 1
+        assert entries[0]["kind"] == "warcinfo"
+    assert kinds["response"] == 40 and kinds["warcinfo"] == len(files) == len(found)
+    # Files are read back from storage by Spark, of many members or of one.
+    again = warc.normalize(warc.read_files(spark, [r["path"] for r in files]))
+    assert sorted(r["page_id"] for r in warc.read_records(again).collect()) == list(range(40))
+
+
+def test_one_payload_on_most_pages(spark):
+    hot = "<p>" + "hot " * 60
+    made = [(i, "u", hot) for i in range(3, 200)] + [(None, "u", hot)] * 5 + [(3, "u", "other " * 40), (900, "u", "x" * 3_000_000)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string").repartition(6)
+    found = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect())
+    assert found == Counter({(3, "response", None): 2, (900, "response", None): 1, (None, "revisit", 3): 5} | {(i, "revisit", 3): 1 for i in range(4, 200)})
 
 
 def test_truncated_archive_is_an_error():
@@ -96,6 +114,41 @@ def test_recall(spark, clusters):
     assert hits >= 0.9 * 20 * 80
 
 
+def test_equal_vectors_have_one_score(spark):
+    rng = np.random.default_rng(4)
+    distinct = rng.normal(size=(25, 24))
+    good = [(i, distinct[rng.integers(0, 25)].tolist()) for i in range(601)] + [(i, distinct[3].tolist()) for i in range(601, 900)]
+    table = spark.createDataFrame(good, "vec_id long, embedding array<double>").repartition(7)
+    found = ann.search(table, F.col("vec_id") % 20 == 0, k=20).collect()
+
+    def order(v, w):
+        total = 0.0
+        for a, b in zip(v, w, strict=True):
+            total += a * b
+        return total
+
+    expected = set()
+    for i, v in good:
+        if i % 20 == 0:
+            best = sorted((-order(w, v), j) for j, w in good if j != i)[:20]
+            expected |= {(i, rank + 1, j, -score) for rank, (score, j) in enumerate(best)}
+    assert {tuple(r) for r in found} == expected
+
+
+def test_estimates_from_packed_bits():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(500, 70)), rng.normal(size=(9, 70))
+    coder = ann.Coder(ann.kmeans(x, 5), np.linalg.qr(rng.normal(size=(70, 70)))[0])
+    cell = coder.assign(x)
+    bits, length, fit = coder.encode(x, cell)
+    estimate, off = coder.bounds(bits, length, fit, cell, q)
+    turned = (x - coder.centres[cell]) @ coder.rotation.T
+    signs = np.where(turned >= 0, 1, -1) / np.sqrt(70)
+    plain = (q @ coder.centres.T)[:, cell] + (q @ coder.rotation.T) @ signs.T * (length / fit)
+    assert np.abs(estimate - plain).max() < 0.3 * np.abs(plain).std()
+    assert (np.abs(estimate - q @ x.T) <= off).mean() > 0.97
+
+
 # --- URL lists --------------------------------------------------------------------------------------------------
 
 

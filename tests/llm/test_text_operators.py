@@ -75,6 +75,16 @@ def test_bpe_random_strings(tik):
     assert [c.tolist() for c in own.encode(made)] == [tik.encode_ordinary(t) for t in made]
 
 
+def test_bpe_keeps_no_long_matches(tik):
+    own = bpe.codec(*tokenizer())
+    random.seed(14)
+    blobs = ["".join(random.choice("abcdefghij") for _ in range(random.choice([20, 60, 5_000]))) for _ in range(60)]
+    for lo in range(0, 60, 10):
+        made = [" ".join(random.sample(blobs[: lo + 10], 8)) for _ in range(5)]
+        assert [c.tolist() for c in own.encode(made)] == [tik.encode_ordinary(t) for t in made]
+        assert max(map(len, own.known)) <= bpe._LONG and len(own.met_ids) == own.met_length.sum()
+
+
 # --- suffix-array dedup -----------------------------------------------------------------------------------------
 
 
@@ -126,12 +136,65 @@ def test_suffix_array_by_grouping():
         assert suffix_dedup.suffix_array(t) == sorted(range(len(t)), key=lambda i, t=t: t[i:])
 
 
-def test_blocks_of_a_long_row_hold_every_window(monkeypatch):
+@pytest.mark.parametrize("chunk", [300, 1_000_000])
+def test_pieces_of_a_long_row_hold_every_window(chunk):
     from orogen.llm.common import SpanHasher
 
     data = np.frombuffer((b"0123456789abcdef" * 3 + b"some filler " * 40) * 4, np.uint8)
-    whole = suffix_dedup._blocks(data, np.array([0, len(data)]), 200, SpanHasher())
-    assert whole["windows"].sum() == len(data) - 199
+    offsets = np.array([0, 250, 250, 251, len(data)])
+    seen = set()
+    for found in suffix_dedup.occurrences(data, offsets, 200, SpanHasher(), chunk):
+        for row, lo, windows, more in zip(*(found[c].tolist() for c in ("row", "lo", "windows", "more")), strict=True):
+            own = {(row, k) for k in range(lo, lo + windows)}
+            assert not own & seen
+            seen |= own
+    assert seen == {(r, k) for r in range(4) for k in range(max(0, offsets[r + 1] - offsets[r] - 199))}
+
+
+def test_runs_are_a_few_rows(spark, documents):
+    from orogen.llm.common import SpanHasher
+
+    made = [(1, "a" * 10_000), (2, "ab" * 5_000), (3, "x" * 40 + "a" * 230), (4, "ba" * 100 + "!"), (5, "a" * 199 + "b")]
+    for _, t in made[:2]:
+        found = list(suffix_dedup.occurrences(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 200, SpanHasher()))
+        assert sum(len(f["row"]) for f in found) < 20
+    got = rows(suffix_dedup.deduplicate(documents(made)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == removed(made, 200)
+
+
+def test_rows_are_told_apart_when_hashes_meet(spark, documents):
+    """Texts whose 32-bit hashes are equal, under null and repeated ids, of equal and of different lengths."""
+    made = spark.range(400_000).select(F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(str(i))), 256) for i in range(4)]).alias("t"))
+    made = made.withColumn("t", F.when(F.crc32(F.col("t").cast("binary")) % 2 == 0, F.repeat("t", 1)).otherwise(F.concat("t", F.lit(" tail" * 20))))
+    meet = made.groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).where(F.size("ts") > 1).limit(8).collect()
+    assert len(meet) >= 4
+    docs = []
+    for i, r in enumerate(meet):
+        a, b = r["ts"][:2]
+        docs += [(None, a), (None, b), (i % 2, a), (i % 2, b), (100 + i, a[:250])]
+    lone = [(None, r["ts"][0]) for r in meet[:2]] + [(None, r["ts"][1]) for r in meet[:2]]
+    for own in (docs, lone):
+        got = rows(suffix_dedup.deduplicate(documents(own)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == removed(own, 200)
+
+
+def test_many_contexts_of_one_anchor(spark, documents):
+    """A passage in many documents: shorter than a window, or longer with other text on both sides, and far beyond a group."""
+    random.seed(15)
+    word = lambda: "".join(random.choice("abcdefghijklmnop") for _ in range(6))
+    short, long = (" ".join(word() for _ in range(n)) for n in (24, 40))
+    made = [(i, " ".join([word() for _ in range(30)] + [short if i % 2 else long] + [word() for _ in range(30)])) for i in range(160)]
+    made += [(i, made[i - 200][1]) for i in range(200, 230)]
+    got = rows(suffix_dedup.deduplicate(documents(made), 200, 20), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == removed(made, 200)
+
+
+def test_a_row_of_nine_megabytes(spark, documents):
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 123, 9_000_000, dtype=np.uint8)).decode()
+    got = {r["doc_id"]: r for r in suffix_dedup.deduplicate(documents([(1, text), (2, text[4_000_100:4_000_400] + "!" * 150), (3, "q" * 300)])).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[2]["n_removed"], got[3]["n_removed"]) == (300, 1, 300, 300)
+    assert got[1]["kept_sha256"] == sha(text[:4_000_100] + text[4_000_400:])
 
 
 # --- decontamination --------------------------------------------------------------------------------------------
@@ -184,11 +247,11 @@ def test_decontamination(spark, documents, odd, slice_chars):
     docs = documents(made).union(odd)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contamination(docs, benchmark, slice_chars=slice_chars)
-    assert set(docs.columns) <= {*found.columns}
-    got = rows(found.select("doc_id", "n_words", decontaminate.n_hit().alias("n"), F.array_join("items", ",")), "*")
+    assert found.columns == [*docs.columns, "contamination"] and {r[0] for r in found.select("n_words").distinct().collect()} == {"x"}
+    got = rows(found.select("doc_id", "contamination.n_words", decontaminate.n_hit().alias("n"), F.array_join("contamination.items", ",")), "*")
     assert got == hits(texts(docs), [x for x in items if x[0] is not None])
     assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0
-    assert decontaminate.contamination(docs, benchmark.limit(0)).where(F.size("items") > 0).count() == 0
+    assert decontaminate.contamination(docs, benchmark.limit(0)).where(F.size("contamination.items") > 0).count() == 0
 
 
 # --- SimHash ----------------------------------------------------------------------------------------------------
