@@ -456,7 +456,9 @@ def _by_suffix_array(texts: DataFrame, window: int) -> DataFrame:
         if held:
             yield from settled(held)
 
-    return texts.repartition("gram").sortWithinPartitions("gram", "row1", "row2", "lo").mapInArrow(run, _SPAN)
+    # By a hash of the anchor and not the anchor: else Spark takes the join below for this exchange and may split its groups.
+    dealt = texts.repartition(F.xxhash64("gram")).sortWithinPartitions("gram", "row1", "row2", "lo")
+    return dealt.mapInArrow(run, _SPAN)
 
 
 def _with_spans(docs: DataFrame, window: int, group: int, chunk: int) -> DataFrame:
