@@ -197,9 +197,7 @@ def normalize(archives: DataFrame) -> DataFrame:
                 columns = [pa.array([path.as_py()]), pa.array([b"".join(members)], pa.binary()), pa.array(["\n".join(lines)]), pa.array([len(lines)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["path", "content", "index", "n_records"])
 
-    # An archive is a unit of work of bounded size, so archives are dealt out evenly over all cores.
-    dealt = archives.select("path", "content").repartition(archives.sparkSession.sparkContext.defaultParallelism)
-    return materialize(dealt.mapInArrow(run, _NORMAL), "normalized")
+    return materialize(archives.select("path", "content").mapInArrow(run, _NORMAL), "normalized")
 
 
 def write_files(archives: DataFrame, folder: str) -> DataFrame:
