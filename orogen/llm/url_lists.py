@@ -3,8 +3,10 @@
 Entries ``pattern, action, effective`` ('add' or 'remove' a host or domain from a date on) become validity intervals;
 a capture is blocked by the intervals of its host and parent domains that hold at its fetch time.
 
-Scale: only distinct (host, fetch time) pairs meet the list, so a hot host costs its distinct times and not its rows;
-the verdicts come back by an equi-join whose skewed partitions Spark can split. DataFrame functions throughout.
+Scale: only distinct (host, fetch time) pairs meet the list, so a hot host costs its distinct times and not its rows.
+They are merged with the changes of each domain in order of time, so a domain of many intervals is no join of pairs;
+the hosts under one domain are dealt to ``SALT`` groups, to which its changes are copied. The verdicts come back by an
+equi-join. DataFrame functions throughout.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups of hosts that meet a domain's changes apart.
+SALT = 16
+_STATE = "struct<since:date>"
+
 
 def host_of(url: str = "url"):
     """Lower-case host of an absolute URL, without user and port; null where there is none."""
@@ -40,20 +46,26 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``page_id, host, fetched, blocked, pattern, listed_since`` per row of ``captures`` (page_id, url, fetched).
 
-    ``pattern`` is the most specific one in force. A null or relative url, or a null time, is not blocked. Rows that
-    repeat each get a result; columns of other names are ignored.
+    ``pattern`` is the most specific one in force: the host, or a domain above it (an IPv4 address has none). A null or
+    relative url, or a null time, is not blocked. Rows that repeat each get a result; columns of other names are
+    ignored. Entries are hosts, domains or addresses; an empty list blocks nothing.
     """
     rows = captures.select("page_id", host_of().alias("host"), "fetched")
     pairs = rows.where("host is not null and fetched is not null").select("host", "fetched").distinct()
     labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = pairs.select("host", "fetched", F.explode(domains).alias("domain"))
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.when(F.col("host").rlike(r"^[0-9.]+$"), F.array("host")).otherwise(above)
+    salt = F.pmod(F.xxhash64("host"), F.lit(SALT)).cast("int")
+    asked = pairs.select(F.explode(domains).alias("domain"), salt.alias("salt"), F.col("fetched").alias("at"), F.lit(1).alias("turn"), "host", F.lit(None).cast(_STATE).alias("state"))
     listed = intervals(entries)
-    in_force = (F.col("domain") == F.col("pattern")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    verdicts = (
-        asked.join(listed, in_force)
-        .groupBy(F.col("host").alias("vh"), F.col("fetched").alias("vf"))
-        .agg(F.max_by(F.struct("pattern", "valid_from"), F.length("pattern")).alias("v"))
-    )
+    state = lambda since: F.struct(since.alias("since")).cast(_STATE)
+    changes = listed.select("pattern", F.col("valid_from").alias("at"), state(F.col("valid_from")).alias("state"))
+    changes = changes.union(listed.where("valid_to is not null").select("pattern", "valid_to", state(F.lit(None).cast("date"))))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    events = changes.select(F.col("pattern").alias("domain"), salts.alias("salt"), "at", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("host"), "state")
+    # Changes and captures of a domain in one order of time: a capture has the state that the last change before it left.
+    order = Window.partitionBy("domain", "salt").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    met = asked.union(events).withColumn("state", F.last("state", ignorenulls=True).over(order)).where("turn = 1 and state.since is not null")
+    verdicts = met.groupBy(F.col("host").alias("vh"), F.col("at").alias("vf")).agg(F.max_by(F.struct(F.col("domain").alias("pattern"), F.col("state.since").alias("valid_from")), F.length("domain")).alias("v"))
     joined = rows.join(verdicts, (F.col("host") == F.col("vh")) & (F.col("fetched") == F.col("vf")), "left")
     return joined.select("page_id", "host", "fetched", F.col("v").isNotNull().alias("blocked"), F.col("v.pattern").alias("pattern"), F.col("v.valid_from").alias("listed_since"))
