@@ -1,4 +1,4 @@
-"""Command line: build an index, query it, describe it, check coordinates against a corpus."""
+"""Command line: build an index, query it, describe or serve it, compare signatures, check coordinates against a corpus."""
 
 from __future__ import annotations
 
@@ -9,9 +9,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config as cfg
+from .api import Service
+from .http import server
 from .operators import build as corpus
-from .operators import coords
+from .operators import coords, evaluate, vectors
 from .operators.index import Index
+from .sources import dem
+from .sources.storage import stored
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -28,6 +32,20 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--no-resume", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--max-tiles", type=int)
+    p.add_argument("--space", choices=vectors.SPACES, help="distance, in place of the configuration's")
+    p.add_argument("--no-normalize", action="store_true", help="index vectors as they are")
+    p = commands.add_parser("separability", help="how well signatures tell tiles apart: of one configuration, or of the residual variants")
+    p.add_argument("source")
+    p.add_argument("--config", help="a YAML file, or the name of a preset; without it the variants are compared")
+    p.add_argument("--tiles", nargs="*", help="tile ids; all without")
+    p.add_argument("--patches-per-tile", type=int, default=30)
+    p.add_argument("--patch-size", type=int, default=64)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--pattern", default="*_dem.npy")
+    p.add_argument("--output", help="a folder for the results as JSON lines")
+    p = commands.add_parser("serve", help="answer searches of an index over HTTP")
+    p.add_argument("index")
+    p.add_argument("--port", type=int, default=8000)
     p = commands.add_parser("query", help="nearest patches of a patch, or of the patch at a pixel of a tile")
     p.add_argument("index")
     p.add_argument("--id", type=int)
@@ -40,13 +58,16 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("metadata")
     p.add_argument("--lat", type=float, default=40.0279)
     p.add_argument("--lon", type=float, default=-82.4590)
+    p.add_argument("--corpus", help="a build's output folder, to say whether the tile is indexed")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("orogen").getOrCreate()
-    return {"build": _build, "query": _query, "info": _info, "check-coords": _check}[args.command](spark, args)
+    return {"build": _build, "query": _query, "info": _info, "check-coords": _check, "separability": _separability, "serve": _serve}[args.command](spark, args)
 
 
 def _build(spark: SparkSession, args) -> int:
     config = cfg.resolve(args.config)
+    config.space = args.space or config.space
+    config.normalize = config.normalize and not args.no_normalize
     if wrong := cfg.validate(config):
         print("\n".join(wrong), file=sys.stderr)
         return 1
@@ -89,18 +110,48 @@ def _info(spark: SparkSession, args) -> int:
 
 
 def _check(spark: SparkSession, args) -> int:
-    from .sources.dem import corpus_metadata
-
     try:
-        meta = corpus_metadata(spark, args.metadata)
+        meta = dem.corpus_metadata(spark, args.metadata)
     except Exception as error:  # a missing or unreadable file has an exit status of its own
         print(error, file=sys.stderr)
         return 2
     point = coords.from_wgs84(spark.createDataFrame([(args.lon, args.lat)], "lon double, lat double")).crossJoin(meta)
-    row = point.select("x", "y", coords.inside(F.col("x"), F.col("y")).alias("inside"), (F.col("x") - F.col("x_min")).alias("from_west"), (F.col("y_max") - F.col("y")).alias("from_north")).first()
-    print(row.asDict())
+    row = point.select("x", "y", "tile_size_ft", coords.inside(F.col("x"), F.col("y")).alias("inside"), (F.col("x") - F.col("x_min")).alias("from_west"), (F.col("y_max") - F.col("y")).alias("from_north")).first()
+    found = row.asDict()
+    if args.corpus and row["inside"]:
+        tile = f"R{int(found['from_north'] // found['tile_size_ft']):02d}_C{int(found['from_west'] // found['tile_size_ft']):02d}"
+        known = spark.read.parquet(f"{args.corpus}/tiles").where(F.col("tile_id") == tile).first()
+        found |= {"tile_id": tile, "indexed": known is not None, "n_patches": known["n_patches"] if known else 0}
+    print(found)
     return 0 if row["inside"] else 1
 
 
+def _separability(spark: SparkSession, args) -> int:
+    own = dem.patches(dem.files(spark, args.source, args.pattern), args.patch_size)
+    if args.tiles:
+        own = own.where(F.col("tile_id").isin(args.tiles))
+    numbered = own.withColumns({"tile": F.col("tile_id"), "patch_id": F.xxhash64("tile_id", "local_id")})
+    # A sample of a stated size, which every variant scores anew.
+    sample = stored(evaluate.sample(numbered.select("patch_id", "tile", "h", "w", "data"), args.patches_per_tile, args.seed))
+    if sample.isEmpty():
+        print("no patches under these tiles", file=sys.stderr)
+        return 1
+    found = evaluate.score(sample, cfg.resolve(args.config)).withColumn("variant", F.lit(args.config)) if args.config else evaluate.variants(sample)
+    found = stored(found)
+    found.orderBy(F.desc("ratio")).show(truncate=False)
+    if args.output:
+        evaluate.save(found, args.output)
+    return 0
+
+
+def _serve(spark: SparkSession, args) -> int:
+    index = Index.load(spark, args.index)
+    service = Service(stored(index._normalized(index.vectors)), space=index.space)
+    with server(service, args.port) as running:
+        print(f"http://127.0.0.1:{running.server_address[1]}", flush=True)
+        running.serve_forever()
+    return 0
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

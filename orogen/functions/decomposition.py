@@ -120,13 +120,13 @@ def polynomial(z, degree):
     return split(z, (design @ fit).reshape(z.shape))
 
 
-@register("gaussian_anisotropic", "smoothing", "forms along one axis", "detail across it", {"sigma_x": [2, 5, 10, 20], "sigma_y": [2, 5, 10, 20]}, sigma_x=10, sigma_y=10)
+@register("gaussian_anisotropic", "classical", "forms along one axis", "detail across it", {"sigma_x": [2, 5, 10, 20, 50], "sigma_y": [2, 5, 10, 20, 50]}, sigma_x=10, sigma_y=10)
 def gaussian_anisotropic(z, sigma_x, sigma_y):
     """Gaussian low-pass with a width per axis."""
     return split(z, linear.gaussian(z, sigma_y, sigma_x))
 
 
-@register("median", "smoothing", "edges", "impulses", {"size": [3, 5, 9, 15]}, size=5)
+@register("median", "edge_preserving", "edges", "impulses", {"size": [3, 5, 7, 11, 15, 21]}, size=5)
 def median(z, size):
     """Median over a square."""
     rows, columns = np.arange(z.shape[1]), np.arange(z.shape[2])
@@ -134,13 +134,13 @@ def median(z, size):
     return split(z, np.partition(np.stack(near), len(near) // 2, axis=0)[len(near) // 2])
 
 
-@register("uniform", "smoothing", "local means", "detail under the box", {"size": [3, 5, 10, 20]}, size=10)
+@register("uniform", "classical", "local means", "detail under the box", {"size": [3, 5, 10, 20, 50, 100]}, size=10)
 def uniform(z, size):
     """Mean over a square."""
     return split(z, linear.uniform(z, size))
 
 
-@register("dog", "band", "all but one band of scales", "that band", {"sigma_low": [1, 2, 4], "sigma_high": [5, 10, 20]}, sigma_low=2, sigma_high=10)
+@register("dog", "multiscale", "all but one band of scales", "that band", {"sigma_low": [1, 2, 3, 5], "sigma_high": [5, 10, 20, 50, 100]}, sigma_low=2, sigma_high=10)
 def dog(z, sigma_low, sigma_high):
     """Residual is a difference of Gaussians, edges clamped."""
     high = sigma_high if sigma_high > sigma_low else 2 * sigma_low
@@ -148,26 +148,26 @@ def dog(z, sigma_low, sigma_high):
     return z - residual, residual
 
 
-@register("log", "band", "flat areas", "blobs of about sigma", {"sigma": [2, 5, 10]}, sigma=5)
+@register("log", "multiscale", "flat areas", "blobs of about sigma", {"sigma": [1, 2, 3, 5, 10, 20]}, sigma=5)
 def log(z, sigma):
     """Residual is the scale-normalised Laplacian of a Gaussian."""
     residual = linear.laplace(linear.gaussian(z, sigma, sigma)) * sigma**2
     return z - residual, residual
 
 
-@register("morphological_square", "morphology", "large forms", "small peaks or pits", {"size": [3, 5, 10, 20]}, operation="opening", size=10)
+@register("morphological_square", "morphological", "large forms", "small peaks or pits", {"operation": ["opening", "closing", "average"], "size": [3, 5, 10, 15, 20, 50]}, operation="opening", size=10)
 def morphological_square(z, operation, size):
     """Opening, closing or their mean over a square."""
     return morphology(z, operation, square(size))
 
 
-@register("morphological_diamond", "morphology", "large forms", "small peaks or pits", {"radius": [3, 5, 10, 20]}, operation="opening", radius=10)
+@register("morphological_diamond", "morphological", "large forms", "small peaks or pits", {"operation": ["opening", "closing", "average"], "radius": [3, 5, 10, 15, 20]}, operation="opening", radius=10)
 def morphological_diamond(z, operation, radius):
     """Opening, closing or their mean over a diamond."""
     return morphology(z, operation, diamond(radius))
 
 
-@register("morphological_gradient", "morphology", "flat areas", "edges", {"size": [3, 5, 9]}, size=5, shape="disk")
+@register("morphological_gradient", "morphological", "flat areas", "edges", {"size": [3, 5, 7, 10, 15], "shape": ["disk", "square", "diamond"]}, size=5, shape="disk")
 def morphological_gradient(z, size, shape):
     """Residual is dilation less erosion."""
     offsets = {"disk": disk, "square": square}.get(shape, diamond)(size)
@@ -175,14 +175,14 @@ def morphological_gradient(z, size, shape):
     return z - residual, residual
 
 
-@register("tophat_combined", "morphology", "background", "small peaks and pits", {"size": [5, 10, 20]}, size=20)
+@register("tophat_combined", "morphological", "background", "small peaks and pits", {"size": [5, 10, 20, 50, 100]}, size=20)
 def tophat_combined(z, size):
     """Residual is the white top-hat less the black one."""
     residual = (z - opened(z, disk(size))) - (closed(z, disk(size)) - z)
     return z - residual, residual
 
 
-@register("anisotropic_diffusion", "edge-preserving", "edges steeper than kappa", "gentler texture", {"iterations": [5, 10, 20, 50], "kappa": [10, 30, 50, 100], "gamma": [0.05, 0.1, 0.15, 0.2]}, iterations=10, kappa=50, gamma=0.1)
+@register("anisotropic_diffusion", "edge_preserving", "edges steeper than kappa", "gentler texture", {"iterations": [5, 10, 20, 50], "kappa": [10, 30, 50, 100], "gamma": [0.05, 0.1, 0.15, 0.2]}, iterations=10, kappa=50, gamma=0.1)
 def anisotropic_diffusion(z, iterations, kappa, gamma):
     """Diffusion that slows down at edges, on a periodic grid."""
     v = z.copy()
@@ -195,7 +195,7 @@ def anisotropic_diffusion(z, iterations, kappa, gamma):
     return split(z, v)
 
 
-@register("guided", "edge-preserving", "edges", "low-contrast texture", {"radius": [4, 8, 16, 32], "eps": [0.001, 0.01, 0.1, 1.0]}, radius=8, eps=0.01)
+@register("guided", "edge_preserving", "edges", "low-contrast texture", {"radius": [4, 8, 16, 32], "eps": [0.001, 0.01, 0.1, 1.0]}, radius=8, eps=0.01)
 def guided(z, radius, eps):
     """Local linear model of the patch on itself (values scaled to 0..1)."""
     v, low, span = scaled(z, 1.0)
@@ -206,7 +206,7 @@ def guided(z, radius, eps):
     return split(z, (box(slope) * v + box(mean - slope * mean)) * span + low)
 
 
-@register("rolling_ball", "morphology", "forms under the ball's radius", "background curvature", {"radius": [10, 25, 50, 100, 200]}, radius=50)
+@register("rolling_ball", "morphological", "forms under the ball's radius", "background curvature", {"radius": [10, 25, 50, 100, 200]}, radius=50)
 def rolling_ball(z, radius):
     """Erosion then dilation by a bowl over the whole square around its disc; the centre has height 0 and is left out."""
     y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
@@ -218,7 +218,7 @@ def rolling_ball(z, radius):
     return split(z, extreme(extreme(z, offsets, False, height), offsets, True, height))
 
 
-@register("wavelet_biorthogonal", "wavelet", "coarse scales", "fine scales", {"level": [1, 2, 3, 4, 5]}, wavelet="bior3.5", level=3)
+@register("wavelet_biorthogonal", "wavelet", "coarse scales", "fine scales", {"wavelet": ["bior1.3", "bior2.4", "bior3.5", "bior4.4"], "level": [1, 2, 3, 4, 5]}, wavelet="bior3.5", level=3)
 def wavelet_biorthogonal(z, wavelet, level):
     """Approximation of a biorthogonal wavelet transform."""
     return wavelet_split(z, wavelet, level)

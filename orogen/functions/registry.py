@@ -1,7 +1,8 @@
 """Registries of numeric kernels by name; a registered kernel works on a stack of equal-sized patches.
 
 A kernel takes ``(n, height, width)`` doubles without gaps and keyword parameters. Registering another kernel makes
-it usable in every signature and query that takes a name.
+it usable in every signature and query that takes a name. Categories, defaults and parameter ranges of the built-in
+kernels are fixed values.
 """
 
 from __future__ import annotations

@@ -18,20 +18,20 @@ def spline(order: int):
     return run
 
 
-register("bicubic", "core", "smooth surfaces", "slight overshoot", scale=2)(spline(3))
+register("bicubic", "interpolation", "smooth surfaces", "slight overshoot", {"scale": [2, 4, 8]}, scale=2)(spline(3))
 
 
-@register("lanczos", "core", "sharp detail", "ringing", scale=2)
+@register("lanczos", "interpolation", "sharp detail", "ringing", {"scale": [2, 4, 8]}, scale=2)
 def lanczos(z, scale):
     """Eight-tap Lanczos resampling in single precision, pixel centres aligned."""
     rows, columns = (linear.lanczos_matrix(n, int(scale)) for n in z.shape[1:])
     return linear.both(z.astype(np.float32).astype(float), rows, columns)
 
 
-register("bspline", "core", "smooth surfaces", "slight overshoot", scale=2)(spline(2))
+register("bspline", "spline", "smooth surfaces", "slight overshoot", {"scale": [2, 4, 8]}, scale=2)(spline(2))
 
 
-@register("fft_zeropad", "core", "band-limited signal", "ringing at edges", scale=2)
+@register("fft_zeropad", "frequency", "band-limited signal", "ringing at edges", {"scale": [2, 4, 8]}, scale=2)
 def fft_zeropad(z, scale):
     """Zero-padding of the spectrum; the middle frequency of an even axis goes to the negative side."""
     n, h, w = z.shape

@@ -29,28 +29,38 @@ def remaining(listed: DataFrame, done: DataFrame | None) -> DataFrame:
     return listed if done is None else listed.join(done.select("tile_id").distinct(), "tile_id", "left_anti")
 
 
-def build(spark: SparkSession, source: str, out: str, config: SignatureConfig, patch_size: int = 64, overlap: int = 0, min_valid: float = 0.8, resume: bool = True, dry_run: bool = False, max_tiles: int | None = None, pattern: str = "*_dem.npy") -> DataFrame:
+def build(
+    spark: SparkSession, source: str, out: str, config: SignatureConfig, patch_size: int = 64, overlap: int = 0, min_valid: float = 0.8, resume: bool = True,
+    dry_run: bool = False, max_tiles: int | None = None, pattern: str = "*_dem.npy", tiles_per_commit: int | None = None,
+) -> DataFrame:
     """Embed the tiles under ``source`` that have no checkpoint yet and save an index of all to ``out/index``.
 
-    Returns (and saves to ``out/tiles``) one row per tile with its patches, first global id and patches with failures; a dry run only lists the
-    tiles that would be worked on. Diagnostics come from the saved rows, so a resumed build counts all of its tiles.
+    Returns (and saves to ``out/tiles``) one row per tile with its shape, patches, first global id and patches with
+    failures, and saves the counts of all failures to ``out/failures``; a dry run only lists the tiles that would be
+    worked on. Each ``tiles_per_commit`` tiles (one per core) are a commit, so a build that dies goes on after the last
+    of these. Files are read by the tasks that cut them. Counts come from the saved rows, so a resumed build counts all.
     """
-    found = dem.files(spark, source, pattern).withColumn("tile_id", F.regexp_extract("path", r"([^/]+?)(_dem)?\.[^./]+$", 1))
+    found = dem.files(spark, source, pattern).select("path").withColumn("tile_id", F.regexp_extract("path", r"([^/]+?)(_dem)?\.[^./]+$", 1))
     if max_tiles is not None:
         keep = found.select("tile_id").orderBy("tile_id").limit(max_tiles)
         found = found.join(keep, "tile_id", "left_semi")
     store = f"{out}/checkpoints/{config_key(config, patch_size, overlap, min_valid)}"
-    done = spark.read.parquet(store) if resume and _exists(spark, store) else None
-    todo = remaining(found, done)
+    kept = resume and _exists(spark, store)
+    work = lambda files: embed(dem.patches(files, patch_size, overlap, min_valid), config, ("tile_id", "local_id", "row", "col", "y_start", "x_start", "tile_h", "tile_w"))
+    schema = work(dem.files(spark, source, pattern)).schema
+    todo = remaining(found, spark.read.schema(schema).parquet(store) if kept else None)
     if dry_run:
         return todo.select("tile_id")
-    patches = dem.patches(todo.repartition("tile_id"), patch_size, overlap, min_valid)
-    embedded = embed(patches, config, ("tile_id", "local_id", "row", "col", "y_start", "x_start"))
-    embedded.write.mode("append" if done is not None else "overwrite").partitionBy("tile_id").parquet(store)
-    saved = number(spark.read.parquet(store).join(found.select("tile_id"), "tile_id", "left_semi"))
-    meta = saved.drop("embedding", "failed").withColumn("patch_size", F.lit(patch_size))
+    # One path per tile comes to the driver; a tile is tens of megabytes.
+    paths = [r["path"] for r in todo.orderBy("tile_id").select("path").collect()]
+    size = tiles_per_commit or spark.sparkContext.defaultParallelism
+    for lo in range(0, len(paths), size):
+        work(spark.read.format("binaryFile").load(paths[lo : lo + size])).write.mode("append" if kept or lo else "overwrite").partitionBy("tile_id").parquet(store)
+    saved = number(spark.read.schema(schema).parquet(store).join(found.select("tile_id"), "tile_id", "left_semi"))
+    meta = saved.drop("embedding", "failed", "tile_h", "tile_w").withColumn("patch_size", F.lit(patch_size))
     Index.build(saved, meta, config.normalize, config.space, config.to_dict()).save(f"{out}/index")
     tiles(saved).write.mode("overwrite").parquet(f"{out}/tiles")
+    failures(saved).write.mode("overwrite").parquet(f"{out}/failures")
     return spark.read.parquet(f"{out}/tiles")
 
 
@@ -64,5 +74,13 @@ def number(saved: DataFrame) -> DataFrame:
 
 
 def tiles(saved: DataFrame) -> DataFrame:
+    """One row per tile: shape (where known), patches, first global id, and patches and slots that failed."""
     failed = F.sum((F.size("failed") > 0).cast("long"))
-    return saved.groupBy("tile_id").agg(F.count("*").alias("n_patches"), F.min("patch_id").alias("global_id_start"), failed.alias("n_failed_patches"), F.sum(F.size("failed")).alias("n_failed_slots"))
+    shape = [F.first(f"tile_{c}").alias(c) for c in ("h", "w") if f"tile_{c}" in saved.columns]
+    return saved.groupBy("tile_id").agg(*shape, F.count("*").alias("n_patches"), F.min("patch_id").alias("global_id_start"), failed.alias("n_failed_patches"), F.sum(F.size("failed")).alias("n_failed_slots"))
+
+
+def failures(saved: DataFrame) -> DataFrame:
+    """How many patches, and of how many tiles, each entry of ``failed`` concerns, over the whole build."""
+    entries = saved.select("patch_id", "tile_id", F.explode("failed").alias("entry"))
+    return entries.groupBy("entry").agg(F.countDistinct("patch_id").alias("n_patches"), F.countDistinct("tile_id").alias("tiles_with_failures"))

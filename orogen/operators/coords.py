@@ -10,17 +10,16 @@ from ..plans.shared_sql import LCC, forward, inverse
 
 def to_wgs84(points: DataFrame) -> DataFrame:
     """``points`` (with ``x, y`` in feet) with ``lon, lat`` added."""
-    return _project(points, lambda keep: f"WITH {LCC}, {inverse('orogen_points', 'x', 'y', keep)} SELECT {keep}, lon, lat FROM inv")
+    return _project(points, lambda keep: f"WITH {LCC}, {inverse('{points}', 'x', 'y', keep)} SELECT {keep}, lon, lat FROM inv")
 
 
 def from_wgs84(points: DataFrame) -> DataFrame:
     """``points`` (with ``lon, lat`` in degrees) with ``x, y`` in feet added."""
-    return _project(points, lambda keep: f"WITH {LCC}, {forward('orogen_points', keep)} SELECT {keep}, fx AS x, fy AS y FROM fwd")
+    return _project(points, lambda keep: f"WITH {LCC}, {forward('{points}', keep)} SELECT {keep}, fx AS x, fy AS y FROM fwd")
 
 
 def _project(points: DataFrame, sql) -> DataFrame:
-    points.createOrReplaceTempView("orogen_points")
-    return points.sparkSession.sql(sql(", ".join(f"`{c}`" for c in points.columns)))
+    return points.sparkSession.sql(sql(", ".join(f"`{c}`" for c in points.columns)), points=points)
 
 
 def inside(x: Column, y: Column) -> Column:
@@ -57,3 +56,40 @@ def boxes(patches: DataFrame, tiles: DataFrame, meta: DataFrame) -> DataFrame:
         "patch_id", "tile_id", (left + feet(F.col("x_start"))).alias("x_min"), (top - feet(F.col("y_start") + F.col("patch_size"))).alias("y_min"),
         (left + feet(F.col("x_start") + F.col("patch_size"))).alias("x_max"), (top - feet(F.col("y_start"))).alias("y_max"),
     )
+
+
+def _degrees(boxes: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``west, south, east, north`` of boxes in feet, by two opposite corners."""
+    corners = F.explode(F.array(F.struct(F.col("x_min").alias("x"), F.col("y_min").alias("y")), F.struct(F.col("x_max").alias("x"), F.col("y_max").alias("y"))))
+    points = to_wgs84(boxes.select(*keep, corners.alias("c")).select(*keep, "c.x", "c.y"))
+    return points.groupBy(*keep).agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+
+
+def boxes_wgs84(patches: DataFrame, tiles: DataFrame, meta: DataFrame) -> DataFrame:
+    """``patch_id, west, south, east, north`` in degrees."""
+    return _degrees(boxes(patches, tiles, meta), "patch_id")
+
+
+def bounds(meta: DataFrame) -> DataFrame:
+    """The corpus's bounds in feet and in degrees."""
+    own = ("x_min", "y_min", "x_max", "y_max")
+    return _degrees(meta.select(*own, *[F.col(c).alias(f"own_{c}") for c in own]), *[f"own_{c}" for c in own]).withColumnsRenamed({f"own_{c}": c for c in own})
+
+
+def tile_points(pixels: DataFrame, tiles: DataFrame, meta: DataFrame) -> DataFrame:
+    """``pixels`` (tile_id, py, px) with ``x, y`` in feet of the pixel's north-west corner (null: no such tile)."""
+    own = pixels.join(tiles.select("tile_id", "tile_row", "tile_col"), "tile_id", "left").crossJoin(F.broadcast(meta.select("x_min", "y_max", "tile_size_ft", "resolution_ft")))
+    x = F.col("x_min") + F.col("tile_col") * F.col("tile_size_ft") + F.col("px") * F.col("resolution_ft")
+    y = F.col("y_max") - F.col("tile_row") * F.col("tile_size_ft") - F.col("py") * F.col("resolution_ft")
+    return own.select(*pixels.columns, x.alias("x"), y.alias("y"))
+
+
+def coverage(points: DataFrame, tiles: DataFrame, meta: DataFrame) -> DataFrame:
+    """``points`` with ``exit_code`` (0 inside the corpus, 1 outside), the tile's ``indexed`` and ``n_patches``, and the
+    distances from the four bounds in feet."""
+    located = tile_pixels(points, tiles, meta).join(tiles.select(F.col("tile_id").alias("t"), F.col("n_patches").alias("n")), F.col("tile_id") == F.col("t"), "left")
+    own = located.crossJoin(F.broadcast(meta.select("x_min", "y_min", "x_max", "y_max")))
+    return own.select(
+        *points.columns, F.when(inside(F.col("x"), F.col("y")), 0).otherwise(1).alias("exit_code"), F.col("tile_id").isNotNull().alias("indexed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_patches"),
+        (F.col("x") - F.col("x_min")).alias("from_west"), (F.col("x_max") - F.col("x")).alias("from_east"), (F.col("y") - F.col("y_min")).alias("from_south"), (F.col("y_max") - F.col("y")).alias("from_north"),
+    )

@@ -120,6 +120,17 @@ def embed(patches: DataFrame, config: SignatureConfig, keep: tuple[str, ...] = (
     return spread(patches.select(*keep, *[c for c in ("h", "w", "data") if c not in keep])).mapInPandas(run, schema)
 
 
+def statistics(patches: DataFrame, measure) -> DataFrame:
+    """``patch_id, values``: what ``measure`` gives for each patch of a stack, in double precision."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, z in stack_of(frame):
+                yield pd.DataFrame({"patch_id": frame["patch_id"].iloc[at].to_numpy(), "values": list(np.asarray(measure(fill(z)), float).reshape(len(at), -1))})
+
+    return spread(patches.select("patch_id", "h", "w", "data")).mapInPandas(run, "patch_id long, values array<double>")
+
+
 def diagnostics(embedded: DataFrame) -> DataFrame:
     """How many patches each entry of ``failed`` concerns."""
     return embedded.select("patch_id", F.explode("failed").alias("entry")).groupBy("entry").agg(F.countDistinct("patch_id").alias("n_patches"))

@@ -37,6 +37,17 @@ def score(patches: DataFrame, config: SignatureConfig) -> DataFrame:
     return vectors.separability(joined).withColumn("dim", F.lit(config.total_dim()))
 
 
+def compare(named: dict[str, DataFrame]) -> DataFrame:
+    """Separability of each of several named sets of vectors (patch_id, tile_group, embedding), a row each."""
+    return reduce(DataFrame.unionByName, [vectors.separability(v).withColumn("variant", F.lit(n)) for n, v in named.items()])
+
+
+def with_gain(found: DataFrame, plain: str) -> DataFrame:
+    """``found`` with the gain in per cent of each variant's ratio over that of ``plain``."""
+    base = found.where(F.col("variant") == plain).select(F.col("ratio").alias("base"))
+    return found.crossJoin(F.broadcast(base)).withColumn("gain_pct", (F.col("ratio") / F.col("base") - 1) * 100).drop("base")
+
+
 def sweep(patches: DataFrame, configs: dict[str, SignatureConfig]) -> DataFrame:
     """One row per named configuration, over one sample of patches."""
     return reduce(DataFrame.unionByName, [score(patches, c).withColumn("variant", F.lit(n)) for n, c in configs.items()])
@@ -44,8 +55,8 @@ def sweep(patches: DataFrame, configs: dict[str, SignatureConfig]) -> DataFrame:
 
 def variants(patches: DataFrame, base: SignatureConfig | None = None) -> DataFrame:
     found = sweep(patches, {n: variant(base, **c) for n, c in VARIANTS.items()})
-    plain = found.where("variant = 'vanilla'").select(F.col("ratio").alias("base"), F.col("dim").alias("base_dim"))
-    return found.crossJoin(plain).withColumn("gain_pct", (F.col("ratio") / F.col("base") - 1) * 100).withColumn("cost", F.col("dim") / F.col("base_dim")).drop("base", "base_dim")
+    plain = found.where("variant = 'vanilla'").select(F.col("dim").alias("base_dim"))
+    return with_gain(found, "vanilla").crossJoin(F.broadcast(plain)).withColumn("cost", F.col("dim") / F.col("base_dim")).drop("base_dim")
 
 
 def iterations(patches: DataFrame, base: SignatureConfig | None = None, steps=(0, 50, 100, 200, 500)) -> DataFrame:

@@ -48,3 +48,11 @@ def colormap(spark: SparkSession) -> DataFrame:
     t = (F.col("label") - 1) / 99.0
     part = lambda c: F.when(F.col("label") == 0, 0).otherwise(F.floor(c)).cast("long")
     return spark.range(101).withColumnRenamed("id", "label").select("label", part(255 * t).alias("r"), part(100 * (1 - F.abs(2 * t - 1))).alias("g"), part(255 * (1 - t)).alias("b"), part(F.lit(180)).alias("a"))
+
+
+def clicks_to_pixels(clicks: DataFrame, shape: DataFrame, height: int = 400, width: int = 90) -> DataFrame:
+    """``clicks`` (click_y, click_x, on a picture of ``height`` by ``width``) with the raster pixel ``py, px`` under
+    each, held inside the raster. ``shape`` is one row."""
+    held = lambda at, whole, size: F.least(F.greatest(F.floor(F.col(at) * (F.col(whole) / F.lit(float(size)))), F.lit(0)), F.col(whole) - 1).cast("long")
+    own = clicks.crossJoin(F.broadcast(shape))
+    return own.select(*clicks.columns, held("click_y", "height", height).alias("py"), held("click_x", "width", width).alias("px"))

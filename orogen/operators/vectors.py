@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 SPACES = ("cosinesimil", "l2", "l1")
 #: Queries whose vectors may be sent to every task: at most this many numbers.
 BROADCAST_NUMBERS = 4_000_000
@@ -66,8 +71,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, space: str = "cosin
     """``query_id, rank, patch_id, distance``: the ``k`` nearest vectors of each query (``query_id, embedding``).
 
     Queries go to the vectors in blocks of at most BROADCAST_NUMBERS numbers, one scan of the vectors per block; each
-    batch returns only its own ``k`` best per query, and the final rank is over those. Ties go to the smaller id, and
-    fewer than ``k`` vectors are all returned.
+    batch returns only its own ``k`` best per query, and the final rank is over those. Of several blocks the driver
+    holds one at a time, whose result is left in the checkpoint folder before the next is fetched. Ties go to the
+    smaller id, and fewer than ``k`` vectors are all returned.
     """
     if space not in SPACES:
         raise ValueError(f"unknown space {space!r}; known: {', '.join(SPACES)}")
@@ -77,35 +83,38 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, space: str = "cosin
     parts = []
     for part in range(many):
         own = queries if many == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == part)
-        block = own.select("query_id", "embedding").toPandas()
-        ids = block["query_id"].to_numpy(np.int64)
-        q = np.stack(block["embedding"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
-
-        def best(frames, ids=ids, q=q):
-            for frame in frames:
-                if not len(frame) or not len(ids):
-                    continue
-                x, own = np.stack(frame["embedding"].to_numpy()).astype(float), frame["patch_id"].to_numpy()
-                for lo in range(0, len(ids), 256):
-                    d = _block(space, q[lo : lo + 256], x)
-                    if exclude_self:
-                        d[ids[lo : lo + 256, None] == own[None, :]] = np.inf
-                    # Rounded before the cut, so that ties fall the same way here and in the final rank.
-                    d = np.round(d, 9)
-                    order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                    near = np.take_along_axis(d, order, axis=1)
-                    row = np.repeat(ids[lo : lo + 256], order.shape[1])
-                    out = pd.DataFrame({"query_id": row, "patch_id": own[order.ravel()], "distance": near.ravel()})
-                    yield out[np.isfinite(out["distance"])]
-
-        parts.append(vectors.select("patch_id", "embedding").mapInPandas(best, "query_id long, patch_id long, distance double"))
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.union(other)
+        near = _nearest(vectors, own.select("query_id", "embedding").toPandas(), k, space, exclude_self)
+        parts.append(near if many == 1 else stored(near))
+    found = reduce(DataFrame.union, parts)
     order = Window.partitionBy("query_id").orderBy("distance", "patch_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "patch_id", "distance")
 
 
+def _nearest(vectors: DataFrame, block: pd.DataFrame, k: int, space: str, exclude_self: bool) -> DataFrame:
+    """``query_id, patch_id, distance``: per batch of vectors the ``k`` nearest of each query of a block."""
+    ids = block["query_id"].to_numpy(np.int64)
+    q = np.stack(block["embedding"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame) or not len(ids):
+                continue
+            x, own = np.stack(frame["embedding"].to_numpy()).astype(float), frame["patch_id"].to_numpy()
+            for lo in range(0, len(ids), 256):
+                d = _block(space, q[lo : lo + 256], x)
+                if exclude_self:
+                    d[ids[lo : lo + 256, None] == own[None, :]] = np.inf
+                # Rounded before the cut, so that ties fall the same way here and in the final rank.
+                d = np.round(d, 9)
+                order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
+                near = np.take_along_axis(d, order, axis=1)
+                row = np.repeat(ids[lo : lo + 256], order.shape[1])
+                out = pd.DataFrame({"query_id": row, "patch_id": own[order.ravel()], "distance": near.ravel()})
+                yield out[np.isfinite(out["distance"])]
+
+    return vectors.select("patch_id", "embedding").mapInPandas(best, "query_id long, patch_id long, distance double")
+
+
 def separability(vectors: DataFrame, group: str = "tile_group") -> DataFrame:
     """Mean cosine distance within and across groups over all pairs, their ratio and the numbers of pairs.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
+from ..functions import analysis, linear, spectral, terrain, texture
 from ..functions import decomposition as dec
-from ..functions import linear
-from ..functions.registry import DECOMPOSITIONS, TEXTURE, UPSAMPLERS
-from ..operators import coords, embed, evaluate, overlay, tiling, vectors
+from ..functions.registry import DECOMPOSITIONS, TERRAIN, TEXTURE, UPSAMPLERS
+from ..operators import build, coords, embed, evaluate, overlay, relief, tiling, vectors
+from ..operators.index import Index
 from ..sources import fixtures as fx
 from . import shared_sql
 from .shared_sql import r
@@ -44,15 +46,14 @@ def with_views(sql: str, views) -> str:
 
 
 def _shared(name: str, sql: str) -> None:
+    """One SQL text for both engines; here its views and tables are DataFrames that are handed to it."""
     views = tuple(v for v in fx.VIEWS if f" {v} " in f"{sql} ".replace("\n", " ").replace(",", " ").replace(")", " "))
+    tables = tuple(t for t in ("embeddings", "customer") if f"FROM {t}" in sql)
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join((*views, *tables)) or '$'})\b", r"\1 {\2}", sql)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for v in views:
-            fx.VIEWS[v](spark, sf_dir).createOrReplaceTempView(v)
-        for t in ("embeddings", "customer"):
-            if f"FROM {t}" in sql:
-                fx.read(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
+        frames = {v: fx.VIEWS[v](spark, sf_dir) for v in views} | {t: fx.read(spark, sf_dir, t) for t in tables}
+        return spark.sql(text, **{n: f for n, f in frames.items() if f"{{{n}}}" in text})
 
     query(name, sql, views)(run)
 
@@ -181,8 +182,6 @@ def feature_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("method_catalog")
 def method_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.registry import TERRAIN
-
     rows = [(g.kind, m.name, m.category, str(m.default_params), str(m.param_ranges), m.preserves, m.changes, m.description) for g in (DECOMPOSITIONS, UPSAMPLERS, TERRAIN, TEXTURE) for m in g.values()]
     return spark.createDataFrame(rows, "kind string, name string, category string, default_params string, param_ranges string, preserves string, changes string, description string")
 
@@ -250,11 +249,11 @@ b AS (SELECT v1.patch_id, v1.y, v1.x, (g.z * v1.z + h.z) * rg + mn AS z FROM v1
 
 
 def _diffusion(steps: int, kappa: float, gamma: float) -> str:
-    ctes = ["z0 AS (SELECT patch_id, y, x, z FROM p8)"]
+    ctes = ["z0 AS MATERIALIZED (SELECT patch_id, y, x, z FROM p8)"]
     flow = lambda n: f"({n}.z - s.z) * exp(-pow(({n}.z - s.z) / {kappa}, 2))"
     for k in range(steps):
         near = " ".join(f"JOIN z{k} AS {n} ON {n}.patch_id = s.patch_id AND {n}.y = (s.y + {8 + dy}) % 8 AND {n}.x = (s.x + {8 + dx}) % 8" for n, dy, dx in (("u", -1, 0), ("d", 1, 0), ("l", 0, -1), ("e", 0, 1)))
-        ctes.append(f"z{k + 1} AS (SELECT s.patch_id, s.y, s.x, s.z + {gamma} * ({' + '.join(flow(n) for n in 'udle')}) AS z FROM z{k} AS s {near})")
+        ctes.append(f"z{k + 1} AS MATERIALIZED (SELECT s.patch_id, s.y, s.x, s.z + {gamma} * ({' + '.join(flow(n) for n in 'udle')}) AS z FROM z{k} AS s {near})")
     return ",\n".join([*ctes, f"b AS (SELECT * FROM z{steps})"])
 
 
@@ -428,7 +427,27 @@ def sweep_variant_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best(evaluate.variants(fx.patches(spark, sf_dir))).select("variant", rounded("ratio"), "dim", rounded("gain_pct", 4), rounded("cost"))
 
 
-@query("diagnostics_by_tile")
+def _partly_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of a configuration of which one upsampler can't run on the patches of every second tile, which are cut
+    down to 3 by 3 cells."""
+    odd = F.col("tile") % 2 == 1
+    own = fx.patches(spark, sf_dir).select(
+        "patch_id", F.col("tile").cast("string").alias("tile_id"), F.when(odd, 3).otherwise(8).alias("h"), F.when(odd, 3).otherwise(8).alias("w"), F.when(odd, F.slice("data", 1, 9)).otherwise(F.col("data")).alias("data")
+    )
+    config = _residuals(decomposition_methods=["gaussian"], upsampling_methods=["bilinear", "cubic_catmull_rom"], bidirectional=True)
+    return embed.embed(own, config, ("patch_id", "tile_id"))
+
+
+_FAILED = "e(entry) AS (VALUES ('gaussian/cubic_catmull_rom:A:ValueError'), ('gaussian/cubic_catmull_rom:B:no_A_to_compare'))"
+
+
+@query("diagnostics_rollup", f"""WITH {_FAILED}
+SELECT entry, CAST(count(*) AS BIGINT) AS n_patches, CAST(count(DISTINCT label) AS BIGINT) AS tiles_with_failures FROM embeddings CROSS JOIN e WHERE label % 2 = 1 GROUP BY entry""")
+def diagnostics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.failures(_partly_failing(spark, sf_dir))
+
+
+@query("diagnostics_by_tile", f"WITH {_FAILED}\nSELECT label AS tile, entry, CAST(count(*) AS BIGINT) AS n_patches FROM embeddings CROSS JOIN e GROUP BY label, entry")
 def diagnostics_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of the configuration of residuals_failures, tile by tile."""
     small = fx.patches(spark, sf_dir).select("patch_id", "tile", F.lit(3).alias("h"), F.lit(3).alias("w"), F.slice("data", 1, 9).alias("data"))
@@ -615,3 +634,125 @@ QUERIES |= {
     "point_to_patch": lambda spark, sf_dir: coords.patch_ids(_located(spark, sf_dir), fx.corpus_patches(spark, sf_dir)).select("c_custkey", "patch_id"),
     "patch_bbox": _boxes,
 }
+
+
+# --- operators of the build, the sweeps and the index, checked by the SQL of the same names ------------------------------
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints of the stand-in corpus: its patches with their vectors."""
+    own = fx.vec_index(spark, sf_dir).select("patch_id", "embedding")
+    saved = fx.corpus_patches(spark, sf_dir).join(own, "patch_id").withColumn("failed", F.expr("cast(array() as array<string>)"))
+    return saved.drop("patch_id").withColumns({"tile_h": F.lit(fx.TILE_PX), "tile_w": F.lit(fx.TILE_PX)})
+
+
+def _tile_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = build.tiles(build.number(_saved(spark, sf_dir)))
+    return found.join(fx.corpus_tiles(spark, sf_dir).select("tile_id", "tile_row", "tile_col"), "tile_id").select("tile_id", "tile_row", "tile_col", "h", "w", "n_patches", "global_id_start")
+
+
+def _remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of which no checkpoint is there, if every third diagonal of the grid is done."""
+    listed = fx.corpus_tiles(spark, sf_dir)
+    done = _saved(spark, sf_dir).join(listed.where((F.col("tile_row") + F.col("tile_col")) % 3 == 0), "tile_id", "left_semi")
+    return build.remaining(listed, done).select("tile_id", "n_patches")
+
+
+def _info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Index.build(fx.vec_index(spark, sf_dir), fx.corpus_patches(spark, sf_dir))
+    return index.stats().withColumn("embedding_dim", F.col("embedding_dim").cast("long"))
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coords.coverage(fx.cust_points(spark, sf_dir), fx.corpus_tiles(spark, sf_dir), fx.corpus_meta(spark, sf_dir))
+    return found.select("c_custkey", "exit_code", "indexed", "n_patches", *[rounded(c, 4) for c in ("from_west", "from_east", "from_south", "from_north")])
+
+
+def _pixel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = fx.corpus_tiles(spark, sf_dir)
+    return coords.tile_points(tiles.select("tile_id", F.lit(20).alias("py"), F.lit(10).alias("px")), tiles, fx.corpus_meta(spark, sf_dir)).select("tile_id", "x", "y")
+
+
+def _clicks(spark: SparkSession, sf_dir: str, shape: DataFrame) -> DataFrame:
+    clicks = fx.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 500).alias("click_y"), (F.col("c_custkey") % 97).alias("click_x"))
+    return overlay.clicks_to_pixels(clicks, shape).select("c_custkey", "py", "px")
+
+
+_DEGREES = ("west", "south", "east", "north")
+
+QUERIES |= {
+    "global_patch_ids": lambda spark, sf_dir: build.number(_saved(spark, sf_dir)).select("tile_id", "local_id", F.col("patch_id").alias("global_id")),
+    "tile_info": _tile_info,
+    "resume_remaining_tiles": _remaining,
+    "api_info": _info,
+    "coords_coverage": _coverage,
+    "tile_pixel_to_point": _pixel_points,
+    "patch_bbox_wgs84": lambda spark, sf_dir: coords.boxes_wgs84(fx.corpus_patches(spark, sf_dir), fx.corpus_tiles(spark, sf_dir), fx.corpus_meta(spark, sf_dir)).select("patch_id", *[rounded(c, 8) for c in _DEGREES]),
+    "corpus_bounds": lambda spark, sf_dir: coords.bounds(fx.corpus_meta(spark, sf_dir)).select("x_min", "y_min", "x_max", "y_max", *[rounded(c, 8) for c in _DEGREES]),
+    "lcc_inverse": lambda spark, sf_dir: coords.to_wgs84(fx.cust_points(spark, sf_dir)).select("c_custkey", rounded("lon", 8), rounded("lat", 8)),
+    "lcc_forward": lambda spark, sf_dir: coords.from_wgs84(coords.to_wgs84(fx.cust_points(spark, sf_dir)).select("c_custkey", "lon", "lat")).select("c_custkey", rounded("x", 4), rounded("y", 4)),
+    "display_click_to_pixel": lambda spark, sf_dir: _clicks(spark, sf_dir, spark.range(1).select(F.lit(500).alias("height"), F.lit(64).alias("width"))),
+    "display_click_to_pixel_whole": lambda spark, sf_dir: _clicks(spark, sf_dir, tiling.shape_of(fx.emb_raster(spark, sf_dir))),
+    "hillshade": lambda spark, sf_dir: relief.hillshade(fx.p16(spark, sf_dir)).select("patch_id", "y", "x", rounded("shade")),
+}
+
+
+@query("variant_best", _Z + "zv AS (SELECT n.patch_id, any_value(tile_group) AS tile_group, list(z ORDER BY d) AS embedding FROM n JOIN vec_index AS i ON i.patch_id = n.patch_id GROUP BY n.patch_id),\n"
+    + "raw AS (WITH " + _SEP.format(source="vec_index") + "),\nzed AS (WITH " + _SEP.format(source="zv") + """),
+a AS (SELECT 'raw' AS variant, ratio FROM raw UNION ALL SELECT 'zscore', ratio FROM zed), b AS (SELECT ratio AS base FROM a WHERE variant = 'raw')
+SELECT variant, ratio, round((ratio / base - 1) * 100, 2) + 0.0 AS gain_pct FROM a CROSS JOIN b ORDER BY ratio DESC, variant LIMIT 1""", ("vec_index",))
+def variant_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether vectors tell groups apart better as they are or standardised."""
+    index = fx.vec_index(spark, sf_dir)
+    found = evaluate.compare({"raw": index, "zscore": vectors.normalize(index)})
+    return evaluate.best(evaluate.with_gain(found, "raw")).select("variant", rounded("ratio"), rounded("gain_pct", 2))
+
+
+# --- kernels of terrain, texture, statistics and spectra, held to the SQL of the same measures ----------------------------
+
+
+def _patches16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.as_arrays(fx.p16(spark, sf_dir), 16)
+
+
+def _kernel(measure_of: str, columns: tuple[str, ...], source: Callable[[SparkSession, str], DataFrame], measure, at: tuple[int, ...] | None = None, digits: int = 6) -> None:
+    """Query ``kernel_<name>``: values ``at`` these places of what a kernel gives, checked by the SQL of ``name``."""
+    places = at or tuple(range(len(columns)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = embed.statistics(source(spark, sf_dir), measure)
+        rank = lambda c: 4 if c == "freq_ratio_high_low" else digits
+        return found.select("patch_id", *[(F.round(F.col("values")[i], rank(c)) + F.lit(0.0)).alias(c) for c, i in zip(columns, places, strict=True)])
+
+    QUERIES[f"kernel_{measure_of}"], ORACLES[f"kernel_{measure_of}"] = run, ORACLES[measure_of]
+
+
+_SIX = ("mean", "std", "energy", "entropy", "value_range", "median")
+for _name in ("slope", "aspect", "curvature", "tpi", "tri", "roughness"):
+    _kernel(f"{_name}_stats", _SIX, _patches16, lambda z, name=_name: terrain.stats(name, TERRAIN.run(name, z)))
+_kernel("residual_stats6", _SIX, _patches16, analysis.six_stats)
+_rich = lambda z: analysis.rich(z, include_linear=False)
+_kernel("patch_entropy50", ("entropy",), fx.patches, _rich, (7,))
+_kernel("skew_kurtosis", ("skewness", "kurtosis"), _patches16, _rich, (4, 5))
+_kernel("morans_i", ("morans_i",), _patches16, _rich, (8,))
+_kernel("fft_band_energy", ("low_freq_energy", "mid_freq_energy", "high_freq_energy", "freq_ratio_high_low"), fx.patches, _rich, (12, 13, 14, 15))
+_kernel("feature_snr", ("feature_snr",), fx.patches, _rich, (16,))
+_kernel("glcm_props", ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm_value"), fx.patches, lambda z: TEXTURE.run("glcm", z, levels=16))
+
+
+@query("kernel_quantize_levels")
+def kernel_quantize_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = embed.statistics(fx.patches(spark, sf_dir), lambda z: texture.quantize(z, 64)).select("patch_id", F.posexplode("values").alias("i", "v"))
+    return cells.select("patch_id", F.floor(F.col("i") / 8).cast("long").alias("y"), (F.col("i") % 8).cast("long").alias("x"), F.col("v").cast("long").alias("level"))
+
+
+@query("kernel_directional_fft")
+def kernel_directional_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = embed.statistics(fx.patches(spark, sf_dir), spectral.directional)
+    by_angle = F.array(*[F.struct(F.lit(a).cast("long").alias("angle"), F.slice("values", 6 * i + 1, 6).alias("v")) for i, a in enumerate((0, 45, 90, 135))])
+    rows = values.select("patch_id", F.explode(by_angle).alias("r"))
+    return rows.select("patch_id", "r.angle", *[(F.round(F.col("r.v")[i], 4 if c == "peak" else 6) + F.lit(0.0)).alias(c) for i, c in enumerate(spectral.STATS)])
+
+
+ORACLES |= {f"kernel_{n}": ORACLES[n] for n in ("quantize_levels", "directional_fft")}
+_signature("residuals_extended", cfg.preset("residuals_extended"))

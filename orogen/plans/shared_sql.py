@@ -198,10 +198,8 @@ FROM c LEFT JOIN corpus_tiles AS t ON c.tile_id = t.tile_id""",
     "tile_pixel_to_point": """SELECT tile_id, x_min + tile_col * tile_size_ft + 10 * resolution_ft AS x, y_max - tile_row * tile_size_ft - 20 * resolution_ft AS y FROM corpus_tiles CROSS JOIN corpus_meta""",
     "resume_remaining_tiles": "SELECT t.tile_id, t.n_patches FROM corpus_tiles AS t WHERE NOT EXISTS (SELECT 1 FROM corpus_tiles AS done WHERE done.tile_id = t.tile_id AND (done.tile_row + done.tile_col) % 3 = 0)",
     "tile_info": "SELECT tile_id, tile_row, tile_col, h, w, n_patches, CAST(sum(n_patches) OVER (ORDER BY tile_row, tile_col ROWS UNBOUNDED PRECEDING) - n_patches AS BIGINT) AS global_id_start FROM corpus_tiles",
-    "global_patch_ids": """WITH t AS (SELECT tile_id, CAST(sum(n_patches) OVER (ORDER BY tile_row DESC, tile_col ROWS UNBOUNDED PRECEDING) - n_patches AS BIGINT) AS start FROM corpus_tiles)
+    "global_patch_ids": """WITH t AS (SELECT tile_id, CAST(sum(n_patches) OVER (ORDER BY tile_id ROWS UNBOUNDED PRECEDING) - n_patches AS BIGINT) AS start FROM corpus_tiles)
 SELECT p.tile_id, p.local_id, CAST(t.start + row_number() OVER (PARTITION BY p.tile_id ORDER BY p.local_id) - 1 AS BIGINT) AS global_id FROM corpus_patches AS p JOIN t ON p.tile_id = t.tile_id""",
-    "diagnostics_rollup": """WITH d AS (SELECT p.tile_id, p.patch_id, concat(CASE WHEN p.patch_id % 3 = 0 THEN 'gaussian' ELSE 'tophat' END, '/bicubic:', CASE WHEN p.patch_id % 2 = 0 THEN 'A' ELSE 'B' END, ':ValueError') AS entry FROM corpus_patches AS p WHERE p.patch_id % 7 = 0)
-SELECT entry, CAST(count(*) AS BIGINT) AS n_patches, CAST(count(DISTINCT tile_id) AS BIGINT) AS tiles_with_failures FROM d GROUP BY entry""",
     "heatmap_labels": f"""WITH {HITS}, {PLACED}, mm AS (SELECT min(distance) AS mn, greatest(max(distance) - min(distance), CAST(1 AS DOUBLE) / 1000) AS rg FROM hits),
 lb AS (SELECT y0, x0, rnk, CAST(floor(1 + (1 - (distance - mn) / rg) * 99) AS BIGINT) AS label FROM placed CROSS JOIN mm WHERE distance <= 8),
 cl AS (SELECT y0 + a.i AS y, x0 + b.i AS x, label, row_number() OVER (PARTITION BY y0 + a.i, x0 + b.i ORDER BY rnk DESC) AS o FROM lb CROSS JOIN nums AS a CROSS JOIN nums AS b WHERE a.i < 16 AND b.i < 16)
@@ -216,8 +214,6 @@ SELECT patch_id, rnk, CASE WHEN patch_id = 7 THEN '#00ff00' ELSE concat('#ff', s
     "display_click_to_pixel": "SELECT c_custkey, CAST(least(greatest(floor((c_custkey % 500) * (500 / CAST(400 AS DOUBLE))), 0), 499) AS BIGINT) AS py, CAST(least(greatest(floor((c_custkey % 97) * (64 / CAST(90 AS DOUBLE))), 0), 63) AS BIGINT) AS px FROM customer",
     "display_click_to_pixel_whole": """WITH sh AS (SELECT max(y) + 1 AS hh, max(x) + 1 AS ww FROM emb_raster)
 SELECT c_custkey, CAST(least(greatest(floor((c_custkey % 500) * (hh / CAST(400 AS DOUBLE))), 0), hh - 1) AS BIGINT) AS py, CAST(least(greatest(floor((c_custkey % 97) * (ww / CAST(90 AS DOUBLE))), 0), ww - 1) AS BIGINT) AS px FROM customer CROSS JOIN sh""",
-    "variant_best": """WITH v AS (SELECT CAST(label AS BIGINT) AS variant, CAST(count(*) AS DOUBLE) AS score FROM embeddings GROUP BY label), b AS (SELECT max(CASE WHEN variant = 0 THEN score END) AS vanilla FROM v)
-SELECT variant, score, round((score / vanilla - 1) * 100, 6) + 0.0 AS gain_pct FROM (SELECT variant, score, row_number() OVER (ORDER BY score DESC, variant) AS o FROM v) AS t CROSS JOIN b WHERE o = 1""",
     "fk_grid_pivot": """WITH g AS (SELECT CAST(tile % 4 AS BIGINT) AS f, CAST(patch_id % 4 AS BIGINT) AS k, z AS s FROM p8 WHERE y = 0 AND x = 0)
 SELECT f, """ + ", ".join(f"{r(f'avg(CASE WHEN k = {k} THEN s END)')} AS k{k}" for k in range(4)) + " FROM g GROUP BY f",
     "gray_scott_step": f"""WITH b AS (SELECT patch_id, min(z) AS mn, max(z) AS mx FROM p8 GROUP BY patch_id),

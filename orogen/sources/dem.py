@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATCHES = "tile_id string, local_id long, row int, col int, y_start int, x_start int, h int, w int, valid_fraction double, data array<double>"
+PATCHES = "tile_id string, local_id long, row int, col int, y_start int, x_start int, h int, w int, valid_fraction double, data array<double>, tile_h int, tile_w int"
 
 
 def decode(path: str, content: bytes) -> np.ndarray:
@@ -71,7 +71,7 @@ def patches(files: DataFrame, patch_size: int = 64, overlap: int = 0, min_valid:
                     continue
                 held: list[dict] = []
                 for patch in cut(grid, patch_size, overlap, min_valid, pad_partial):
-                    held.append({"tile_id": tile, **patch})
+                    held.append({"tile_id": tile, **patch, "tile_h": grid.shape[0], "tile_w": grid.shape[1]})
                     if len(held) == 256:
                         yield pd.DataFrame(held)
                         held = []

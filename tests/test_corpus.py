@@ -100,3 +100,72 @@ def test_projection_round_trip(spark):
     row = feet.first()
     assert abs(row["x"] - 1979981.9945) < 1e-3 and abs(row["y"] - 738619.1554) < 1e-3
     assert abs(back["lon"] + 82.4590) < 1e-9 and abs(back["lat"] - 40.0279) < 1e-9
+
+
+def test_a_build_that_dies_goes_on(spark, tiles, tmp_path, monkeypatch):
+    out, real, calls = str(tmp_path / "corpus"), build.embed, []
+
+    def dies(patches, config, keep):
+        calls.append(1)
+        if len(calls) == 4:  # the first is for the schema; two tiles are committed before
+            raise KeyboardInterrupt
+        return real(patches, config, keep)
+
+    monkeypatch.setattr(build, "embed", dies)
+    with pytest.raises(KeyboardInterrupt):
+        build.build(spark, str(tiles), out, SMALL, 16, tiles_per_commit=1)
+    monkeypatch.setattr(build, "embed", real)
+    left = {r["tile_id"] for r in build.build(spark, str(tiles), out, SMALL, 16, dry_run=True).collect()}
+    assert left == {"R00_C02", "R00_C09"}
+    found = build.build(spark, str(tiles), out, SMALL, 16, tiles_per_commit=1).orderBy("tile_id").collect()
+    assert [(r["tile_id"], r["h"], r["w"], r["n_patches"], r["global_id_start"]) for r in found] == [(f"R00_C0{k}", 40, 32, 6, 6 * k) for k in range(3)]
+    assert spark.read.parquet(f"{out}/failures").count() == 0
+
+
+def test_queries_in_blocks_are_the_same(spark, monkeypatch):
+    from orogen.operators import vectors
+
+    rng = np.random.default_rng(2)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 5)))], "patch_id long, embedding array<double>")
+    asked = table.withColumnRenamed("patch_id", "query_id")
+    whole = sorted(map(tuple, vectors.knn(table, asked, 4, "l2").collect()))
+    monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", 100)
+    assert sorted(map(tuple, vectors.knn(table, asked, 4, "l2").collect())) == whole
+
+
+def test_comparing_signatures_of_tiles(spark, tiles, tmp_path, capsys):
+    (tmp_path / "c.yaml").write_text("decomposition: {methods: [gaussian]}")
+    out = str(tmp_path / "results")
+    assert cli.main(["separability", str(tiles), "--config", str(tmp_path / "c.yaml"), "--patch-size", "16", "--patches-per-tile", "4", "--tiles", "R00_C00", "R00_C01", "--output", out]) == 0
+    row = spark.read.json(out).first()
+    assert row["n_within"] == 12 and row["n_across"] == 16 and row["dim"] == 6
+    assert cli.main(["separability", str(tiles), "--patch-size", "16", "--tiles", "none"]) == 1
+
+
+def test_http(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from orogen.api import Service
+    from orogen.http import server
+
+    service = Service(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "patch_id long, embedding array<double>"))
+    with server(service, 0) as running:
+        threading.Thread(target=running.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{running.server_address[1]}"
+
+        def ask(path, body=None):
+            try:
+                with urllib.request.urlopen(base + path, None if body is None else json.dumps(body).encode()) as answer:
+                    return answer.status, json.load(answer)
+            except urllib.error.HTTPError as error:
+                return error.code, json.load(error)
+
+        assert ask("/health") == (200, {"status": "ok", "index_loaded": True, "coords_available": False})
+        assert ask("/info")[1]["n_patches"] == 8
+        status, found = ask("/query/by-id", {"patch_id": 3, "k": 2})
+        assert status == 200 and found["results"][0]["patch_id"] == 3 and len(found["results"]) == 2
+        assert [ask("/query/by-id", b)[0] for b in ({"patch_id": 99}, {"patch_id": 3, "k": 0}, {}, {"patch_id": "x"}, {"other": 1})] == [404, 422, 422, 422, 422]
+        assert ask("/query/by-coords", {"x": 1, "y": 2})[0] == 501 and ask("/nothing")[0] == 404
+        running.shutdown()
