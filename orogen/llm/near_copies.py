@@ -220,9 +220,11 @@ def close_pairs(blocks: DataFrame, sketches: DataFrame, least: float, across: bo
             good, apart = near(size, parity, a, b)
             a, b = node[a[good]], node[b[good]]
             found.append((np.maximum(a, b), np.minimum(a, b), apart[good]))
+            if sum(len(x[0]) for x in found) > _PAIRS:
+                found = [_thinned(found, across)]
             gap += 1
         if found:
-            yield from _edges(*(np.concatenate(x) for x in zip(*found, strict=True)), across)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _thinned(found, across)], ["u", "v", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,12 +252,13 @@ def close_pairs(blocks: DataFrame, sketches: DataFrame, least: float, across: bo
 _EDGE = "u long, v long, apart double"
 
 
-def _edges(u: np.ndarray, v: np.ndarray, apart: np.ndarray, every: bool) -> Iterator[pa.RecordBatch]:
+def _thinned(found: list[tuple[np.ndarray, ...]], every: bool) -> tuple[np.ndarray, ...]:
     """Each pair once, or those of a spanning forest that takes the nearest pairs first."""
+    u, v, apart = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((v, u, apart))
     u, v, apart = u[order], v[order], apart[order]
     kept = np.unique(np.stack([u, v]), axis=1, return_index=True)[1] if every and len(u) else tree_edges(u, v)
-    yield pa.RecordBatch.from_arrays([pa.array(u[kept]), pa.array(v[kept]), pa.array(apart[kept])], ["u", "v", "apart"])
+    return u[kept], v[kept], apart[kept]
 
 
 def thinned(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
@@ -264,7 +267,7 @@ def thinned(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(b.column(c).to_numpy() for c in ("u", "v", "apart")) for b in batches]
         if held:
-            yield from _edges(*(np.concatenate(x) for x in zip(*held, strict=True)), False)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _thinned(held, False)], ["u", "v", "apart"])
 
     edges = materialize(edges, "edges")
     return materialize(edges.repartition(1).mapInArrow(run, _EDGE), "forest") if edges.count() <= few else edges

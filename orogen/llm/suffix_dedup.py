@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import anchors
-from .common import SpanHasher, materialize, slices, text_or_empty, utf8
+from .common import SpanHasher, discard, materialize, slices, text_or_empty, utf8, written
 
 WINDOW = 200
 GROUP = 1_000
 _CHUNK_BYTES = 1_000_000
 _BATCH = 5_000
+#: Full anchors that are broadcast at most; more are joined by shuffle.
+_BROADCAST = 100_000
 #: Distances from a full anchor that are taken together, from round to round; the last tells single windows apart.
 _WIDTHS = (43, 11, 3, 1)
 
@@ -337,13 +339,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
     """``row1, row2, start, stop``: runs of window starts (``stop`` included) whose windows occur elsewhere too."""
     whole = ["row1", "row2", F.col("lo").alias("start"), (F.col("lo") + F.col("windows") - 1).alias("stop")]
     # Written first, as finding ranges for the shuffle would otherwise take all anchors twice.
-    staged = _dealt(materialize(_find_anchors(docs, window, chunk), "anchors"), "staged")
+    anchors, folder = written(_find_anchors(docs, window, chunk), "anchors")
+    staged = _dealt(anchors, "staged")
+    discard(docs.sparkSession, folder)
     spans = staged.where("kind = 'cover'").select(*whole)
     texts = materialize(_contexts(docs, _meeting(staged), window), "contexts")
     for width in _WIDTHS:
         full = texts.groupBy(F.col("gram").alias("g")).count().where(F.col("count") > group).select("g").checkpoint()
-        if full.isEmpty():
+        many = full.count()
+        if not many:
             break
+        full = F.broadcast(full) if many <= _BROADCAST else full
         # The contexts of a full anchor are dealt anew, by the bytes that windows of about the same place share.
         hot = texts.join(full, F.col("gram") == F.col("g"), "left_semi")
         spans = spans.union(_by_suffix_array(texts.join(full, F.col("gram") == F.col("g"), "left_anti"), window))
