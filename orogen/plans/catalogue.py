@@ -13,7 +13,7 @@ from .. import config as cfg
 from ..functions import analysis, linear, spectral, terrain, texture
 from ..functions import decomposition as dec
 from ..functions.registry import DECOMPOSITIONS, TERRAIN, TEXTURE, UPSAMPLERS
-from ..operators import build, coords, embed, evaluate, overlay, relief, tiling, vectors
+from ..operators import build, coords, embed, evaluate, filters, overlay, relief, tiling, vectors
 from ..operators.index import Index
 from ..sources import fixtures as fx
 from . import shared_sql
@@ -186,7 +186,7 @@ def method_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, category string, default_params string, param_ranges string, preserves string, changes string, description string")
 
 
-# --- kernels on the 8 by 8 patches ------------------------------------------------------------------------------
+# --- filters on the 8 by 8 patches ------------------------------------------------------------------------------
 
 
 def _values(name: str, columns: str, rows) -> str:
@@ -281,7 +281,7 @@ b AS (SELECT s.patch_id, f.y, f.x, max(s.z + f.h) AS z FROM er AS s JOIN fd AS f
 def _decomposition(name: str, params: dict, sql: str | None) -> None:
     @query(f"decomp_{name}", sql, ("p8",))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return embed.grids(fx.patches(spark, sf_dir), DECOMPOSITIONS, name, **params).select("patch_id", "y", "x", rounded("trend"), rounded("residual"))
+        return filters.decompose(fx.patches(spark, sf_dir), name, 8, 8, **params).select("patch_id", "y", "x", rounded("trend"), rounded("residual"))
 
 
 _D2 = dec.disk(2)
@@ -372,7 +372,7 @@ SELECT sh.patch_id, CAST(sh.y AS BIGINT) AS y, CAST(sh.x AS BIGINT) AS x, {r('b1
 def _upsampler(name: str, sql: str | None) -> None:
     @query(f"up_{name}", sql, ("p8",))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return embed.grids(fx.patches(spark, sf_dir), UPSAMPLERS, name).select("patch_id", "y", "x", rounded("z"))
+        return filters.upsample(fx.patches(spark, sf_dir), name, 8, 8).select("patch_id", "y", "x", rounded("z"))
 
 
 _window = lambda w: linear.stuffed_matrix(8, 2, np.sinc(np.arange(-8, 9) / 2) * w)
