@@ -339,8 +339,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP,
     """``row1, row2, start, stop``: runs of window starts (``stop`` included) whose windows occur elsewhere too."""
     whole = ["row1", "row2", F.col("lo").alias("start"), (F.col("lo") + F.col("windows") - 1).alias("stop")]
     # Written first, as finding ranges for the shuffle would otherwise take all anchors twice.
-    anchors, folder = written(_find_anchors(docs, window, chunk), "anchors")
-    staged = _dealt(anchors, "staged")
+    found, folder = written(_find_anchors(docs, window, chunk), "anchors")
+    staged = _dealt(found, "staged")
     discard(docs.sparkSession, folder)
     spans = staged.where("kind = 'cover'").select(*whole)
     texts = materialize(_contexts(docs, _meeting(staged), window), "contexts")

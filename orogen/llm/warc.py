@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, written
 
 VERSION = b"WARC/1.1"
 MAX_BYTES = 16 << 20
@@ -143,6 +143,10 @@ _ARCHIVE = "path string, content binary, n_records long"
 
 def write_monolithic(rows: DataFrame, max_bytes: int = MAX_BYTES, date: str = DATE) -> DataFrame:
     """Archives of one gzip stream each: their ``path`` (a name), ``content`` and ``n_records`` (of pages)."""
+    return materialize(_monolithic(rows, max_bytes, date), "archives")
+
+
+def _monolithic(rows: DataFrame, max_bytes: int = MAX_BYTES, date: str = DATE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[bytes] = []
@@ -167,7 +171,7 @@ def write_monolithic(rows: DataFrame, max_bytes: int = MAX_BYTES, date: str = DA
         if engine is not None:
             yield closed()
 
-    return materialize(rows.select("page_id", "url", "payload", "kind", "refers_to").mapInArrow(run, _ARCHIVE), "archives")
+    return rows.select("page_id", "url", "payload", "kind", "refers_to").mapInArrow(run, _ARCHIVE)
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -258,4 +262,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     A null html is an empty payload, a null url leaves the target header out; rows that repeat are records of their
     own. Columns other than page_id, url and html are ignored. An empty table writes no archive and has no rows.
     """
-    return read_records(normalize(write_monolithic(with_roles(pages, min_bytes))))
+    archives, folder = written(_monolithic(with_roles(pages, min_bytes)), "archives")
+    members = normalize(archives)
+    discard(pages.sparkSession, folder)  # each of its records stands in a member now
+    return read_records(members)
