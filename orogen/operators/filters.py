@@ -26,6 +26,7 @@ class Chain:
 
     def __init__(self, patches: DataFrame, height: int, width: int) -> None:
         self.height, self.width, self.steps = height, width, 0
+        self.known: dict[str, str] = {}
         gap = lambda v: v.isNull() | F.isnan(v)
         known = F.filter("data", lambda v: ~gap(v))
         mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(known), F.lit(1))
@@ -38,16 +39,22 @@ class Chain:
         return name
 
     def table(self, value: list, schema: str) -> str:
-        """A constant that goes to every task as one broadcast row."""
-        self.steps += 1
-        one = self.df.sparkSession.createDataFrame([(value,)], f"s{self.steps} {schema}")
-        self.df = self.df.crossJoin(F.broadcast(one))
-        return f"s{self.steps}"
-
-    def cells(self, value: Callable[[Column, Column], Column], height: int | None = None, width: int | None = None) -> str:
-        """A grid of ``value`` of each row and column."""
+        """A constant that goes to every task as one broadcast row, once however often it is asked for."""
+        if (key := repr(value)) not in self.known:
+            self.steps += 1
+            one = self.df.sparkSession.createDataFrame([(value,)], f"s{self.steps} {schema}")
+            self.df = self.df.crossJoin(F.broadcast(one))
+            self.known[key] = f"s{self.steps}"
+        return self.known[key]
+
+    def cells(self, grid: str, value: Callable[[Column, Column, Column], Column], height: int | None = None, width: int | None = None) -> str:
+        """A grid of ``value`` of the grid, the row and the column.
+
+        The grid is bound to a variable first: were its expression merged into the function, each cell would repeat it.
+        """
         h, w = height or self.height, width or self.width
-        return self.step(F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda c: value(F.floor(c / w).cast("int"), (c % w).cast("int"))))
+        whole = lambda g: F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda c: value(g, F.floor(c / w).cast("int"), (c % w).cast("int")))
+        return self.step(F.get(F.transform(F.array(F.col(grid)), whole), F.lit(0)))
 
     def both(self, a: str, b: str, join: Callable[[Column, Column], Column]) -> str:
         return self.step(F.zip_with(a, b, join))
@@ -64,12 +71,12 @@ class Chain:
     def rows(self, grid: str, matrix: np.ndarray, width: int | None = None) -> str:
         """The matrix applied down each column."""
         taps, w = self._taps(matrix), width or self.width
-        return self.cells(lambda y, x: F.aggregate(F.get(F.col(taps), y), F.lit(0.0), lambda a, t: a + t["w"] * F.get(F.col(grid), t["i"] * w + x)), len(matrix), w)
+        return self.cells(grid, lambda g, y, x: F.aggregate(F.get(F.col(taps), y), F.lit(0.0), lambda a, t: a + t["w"] * F.get(g, t["i"] * w + x)), len(matrix), w)
 
     def columns(self, grid: str, matrix: np.ndarray, height: int | None = None) -> str:
         """The matrix applied along each row."""
         taps, w = self._taps(matrix), matrix.shape[1]
-        return self.cells(lambda y, x: F.aggregate(F.get(F.col(taps), x), F.lit(0.0), lambda a, t: a + t["w"] * F.get(F.col(grid), y * w + t["i"])), height or self.height, len(matrix))
+        return self.cells(grid, lambda g, y, x: F.aggregate(F.get(F.col(taps), x), F.lit(0.0), lambda a, t: a + t["w"] * F.get(g, y * w + t["i"])), height or self.height, len(matrix))
 
     def filtered(self, grid: str, of: Callable[[int], np.ndarray], of_x: Callable[[int], np.ndarray] | None = None) -> str:
         """A separable filter, by its matrix for an axis of a size."""
@@ -78,7 +85,8 @@ class Chain:
 
     def dense(self, grid: str, matrix: np.ndarray) -> str:
         rows = self.table(matrix.tolist(), "array<array<double>>")
-        return self.step(F.transform(rows, lambda row: F.aggregate(F.zip_with(row, F.col(grid), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
+        whole = lambda g: F.transform(rows, lambda row: F.aggregate(F.zip_with(row, g, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+        return self.step(F.get(F.transform(F.array(F.col(grid)), whole), F.lit(0)))
 
     # --- neighbourhoods -----------------------------------------------------------------------------------------
 
@@ -90,11 +98,11 @@ class Chain:
         by_y, by_x = self.table(index(self.height), "array<array<int>>"), self.table(index(self.width), "array<array<int>>")
         listed = self.table([(sign * y + reach, sign * x + reach, float(v)) for (y, x), v in zip(offsets, numbers or [0.0] * len(offsets), strict=True)], "array<struct<y:int,x:int,number:double>>")
 
-        def value(y: Column, x: Column) -> Column:
-            read = lambda o: F.get(F.col(grid), F.get(F.get(F.col(by_y), o["y"]), y) * self.width + F.get(F.get(F.col(by_x), o["x"]), x))
-            return use(F.col(listed), read, F.get(F.col(grid), y * self.width + x))
+        def value(g: Column, y: Column, x: Column) -> Column:
+            read = lambda o: F.get(g, F.get(F.get(F.col(by_y), o["y"]), y) * self.width + F.get(F.get(F.col(by_x), o["x"]), x))
+            return use(F.col(listed), read, F.get(g, y * self.width + x))
 
-        return self.cells(value)
+        return self.cells(grid, value)
 
     def least(self, grid: str, offsets: Offsets, heights: list[float] | None = None) -> str:
         return self.around(grid, offsets, lambda o, read, _: F.array_min(F.transform(o, lambda k: read(k) - k["number"])), numbers=heights)
@@ -287,19 +295,20 @@ def _difference(n: int) -> np.ndarray:
 def _edge_directed(c: Chain, scale: int) -> str:
     wide = lambda grid: c.filtered(grid, lambda n: linear.zoom_matrix(n, float(scale), 1))
     steep = c.both(wide(c.rows("z", _difference(c.height))), wide(c.columns("z", _difference(c.width))), lambda a, b: F.sqrt(a * a + b * b))
-    most = c.step(F.array_max(steep) + 1e-10)
-    share = c.step(F.transform(steep, lambda v: v / F.col(most)))
+    most = c.step(F.array_repeat(F.array_max(steep) + 1e-10, c.height * c.width * scale * scale))
+    share = c.both(steep, most, lambda v, m: v / m)
     smooth = c.both(_zoom(3)(c, scale), share, lambda v, s: v * (1 - s))
     return c.both(smooth, c.both(_lanczos(c, scale), share, lambda v, s: v * s), lambda a, b: a + b)
 
 
 def _regularized(c: Chain, scale: int, lambda_reg: float) -> str:
     h, w = c.height * scale, c.width * scale
+    own = lambda z, y, x: F.when((y % scale == 0) & (x % scale == 0), F.get(z, F.floor(y / scale).cast("int") * c.width + F.floor(x / scale).cast("int")))
+    known = c.cells("z", own, h, w)
     grid = _zoom(3)(c, scale)
     for _ in range(10):
         moved = c.both(grid, _laplace(c, grid, h, w), lambda v, b: v - float(lambda_reg) * b)
-        known = lambda y, x, m=moved: F.when((y % scale == 0) & (x % scale == 0), F.get(F.col("z"), F.floor(y / scale).cast("int") * c.width + F.floor(x / scale).cast("int"))).otherwise(F.get(F.col(m), y * w + x))
-        grid = c.cells(known, h, w)
+        grid = c.both(known, moved, lambda k, v: F.coalesce(k, v))
     return grid
 
 
