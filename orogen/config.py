@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-from .functions import spectral
+from .functions import analysis, decomposition, spectral, terrain, texture, upsampling  # noqa: F401  fills the registries
 from .functions.registry import CORE, DECOMPOSITIONS, TERRAIN, TEXTURE, UPSAMPLERS
 
 SPACES = ("cosinesimil", "l2", "l1")
@@ -80,11 +80,11 @@ class SignatureConfig:
 
         out: list[str] = []
         if self.decomposition.enabled:
-            out += [f"{m}_{s}" for m in self.decomposition.methods for s in SIX]
+            out += [f"decomp_{m}_{s}" for m in self.decomposition.methods for s in SIX]
         if self.geomorphometric.enabled:
             out += [f"{m}_{s}" for m in self.geomorphometric.features for s in SIX]
         if self.texture.enabled:
-            out += [f"{m}_{i}" for m in self.texture.features for i in range(10 if m == "lbp" else 6)]
+            out += [f"{m}_{s}" for m in self.texture.features for s in texture.NAMES[m]]
         if self.residuals.enabled:
             r = self.residuals
             stats = RICH if r.use_rich_analysis else SIX

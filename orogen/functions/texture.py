@@ -8,6 +8,12 @@ from .registry import TEXTURE as METHODS
 
 register = METHODS.register
 
+#: Fixed: names of the values of each descriptor.
+NAMES = {
+    "glcm": ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "ASM"),
+    "lbp": ("bin0", "bin1", "bin2", "bin3", "bin4", "bin5", "mean", "std", "entropy", "uniformity"),
+}
+
 
 def quantize(z: np.ndarray, levels: int) -> np.ndarray:
     """Patches scaled to whole levels, cut downwards; nearly constant ones become zeros."""

@@ -27,3 +27,8 @@ def test_yaml(tmp_path):
     with pytest.raises(FileNotFoundError):
         config.load(str(tmp_path / "none.yaml"))
     assert len(config.validate(config.parse({"decomposition": {"enabled": False}}))) == 1
+
+
+def test_labels_name_every_dimension():
+    assert config.preset("texture").labels()[:6] == [f"glcm_{p}" for p in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "ASM")]
+    assert config.preset("texture").labels()[6:8] == ["lbp_bin0", "lbp_bin1"] and config.preset("default").labels()[0].startswith("decomp_")
