@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
-from orogen.llm.common import fresh, materialize, table
+from orogen.llm.common import discard, fresh, table, written
 from orogen.llm.queries import tokenizer
 
 #: A document is rejected from this score on, as in op3.
@@ -79,9 +79,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, folder = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            discard(spark, before)  # only the next stage read it
+        before = folder
     return docs
 
 

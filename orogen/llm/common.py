@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_LONG = -(2**63)
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +41,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``materialize``, with the folder, for tables that are given up before the result is read."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for all that is written meanwhile, to be discarded once what comes of it is stored elsewhere."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of ``written``; nothing that is read later may depend on it."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

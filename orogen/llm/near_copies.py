@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SpanHasher, byte_class, materialize, mix, shared_dir, slices, text_or_empty, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, byte_class, discard, materialize, mix, scratch, shared_dir, slices, text_or_empty, utf8, word_spans
 from .simhash import FEW_EDGES, bit_counts, components, links, majority, tree_edges, without_ids
 
 SAMPLE_DOCS = 10_000
@@ -364,5 +364,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, blo
     copies if equal, blank and null ones of each other. Rows that repeat a doc_id are one document, near to another if
     any of its rows is. Rows with a null doc_id are in no group and stay.
     """
-    labels = components(near_links(docs, width, least, block))
+    with scratch(docs.sparkSession, "near-copies") as folder:
+        labels = components(near_links(docs, width, least, block))
+    discard(docs.sparkSession, folder)  # the labels are checkpointed
     return without_ids(docs, labels.where("node <> component").select("node").distinct())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import anchors
-from .common import SpanHasher, discard, materialize, slices, text_or_empty, utf8, written
+from .common import SpanHasher, discard, materialize, scratch, slices, text_or_empty, utf8, written
 
 WINDOW = 200
 GROUP = 1_000
@@ -468,7 +468,10 @@ def _by_suffix_array(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, window: int, group: int, chunk: int) -> DataFrame:
-    spans = repeated_windows(docs, window, group, chunk).groupBy(F.col("row1").alias("k1"), F.col("row2").alias("k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    with scratch(docs.sparkSession, "suffixes") as folder:
+        found = repeated_windows(docs, window, group, chunk)
+    spans = materialize(found.groupBy(F.col("row1").alias("k1"), F.col("row2").alias("k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    discard(docs.sparkSession, folder)
     rows = _packed(docs).mapInArrow(_shrink, "doc_id long, row1 long, row2 long, packed binary")
     return rows.join(spans, (F.col("row1") == F.col("k1")) & (F.col("row2") == F.col("k2")), "left").select("doc_id", "packed", "spans")
 
