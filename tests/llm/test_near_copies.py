@@ -75,6 +75,24 @@ def test_links_do_not_depend_on_the_sample(spark, documents, edited, monkeypatch
     assert sorted(r["doc_id"] for r in near_copies.without_near_copies(docs).collect()) == survivors(edited)
 
 
+@pytest.mark.parametrize(("block", "few"), [(20, 200_000), (2_000, 0)])
+def test_links_do_not_depend_on_blocks_and_bounds(spark, documents, edited, monkeypatch, block, few):
+    monkeypatch.setattr(near_copies.thinned, "__defaults__", (few,))
+    docs = documents(edited)
+    assert sorted(r["doc_id"] for r in near_copies.without_near_copies(docs, block=block).collect()) == survivors(edited)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 3_000, rng.integers(1, 2_500)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in "ab")
+        apart = len(np.setxor1d(a, b))
+        for bits in (near_copies.PARITY, 8 * near_copies.PARITY):
+            x, y = (np.frombuffer(near_copies.parity_sketch(s, bits), np.uint8) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= apart
+        assert near_copies.folded(near_copies.parity_sketch(a, 4 * near_copies.PARITY), near_copies.PARITY // 8).tobytes() == near_copies.parity_sketch(a, near_copies.PARITY)
+
+
 def test_hashes_are_those_of_the_shingles():
     made = ["", " \t", "a", "a b c d", "a b c d e", "A  b c d e f a b c d e", "é ü\nx y z w"]
     data = [t.encode() for t in made]

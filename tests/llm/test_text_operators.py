@@ -311,12 +311,50 @@ def test_trie_join_finds_every_pair():
     assert len(a) == len(found)
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_components_of_a_path(spark, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "u long, v long")
-    found = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+    found = {r["node"]: r["component"] for r in simhash.components(edges, few).collect()}
     assert found == {i: 0 for i in range(41)} | {90: 90, 100: 90}
 
 
+@pytest.mark.parametrize("leaf", [16, 300, None])
+def test_links_under_one_very_full_prefix(spark, leaf):
+    """Most codes share their 50 highest bits; the others are all over, and some are near the full prefix."""
+    rng = np.random.default_rng(12)
+    full = (0x9ABCDEF012345 << 14) & (2**64 - 1)
+    codes = {full | int(x) for x in rng.integers(0, 1 << 14, 600)} | {int(x) for x in rng.integers(0, 2**63, 150, dtype=np.uint64) * np.uint64(2)}
+    codes |= {c ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64))) for c in list(codes)[:200]}
+    codes = sorted(codes)
+    table = spark.createDataFrame([(int(np.uint64(c).view(np.int64)), i) for i, c in enumerate(codes)], "fp long, rep long").repartition(5)
+    for budget in (1, 2, 3):
+        found = simhash.links(table, budget, leaf).collect()
+        assert all((codes[r["u"]] ^ codes[r["v"]]).bit_count() <= budget for r in found)
+        parent = list(range(len(codes)))
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in itertools.combinations(range(len(codes)), 2):
+            if (codes[i] ^ codes[j]).bit_count() <= budget:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+        own = list(range(len(codes)))
+        for r in found:
+            a, b = own[r["u"]], own[r["v"]]
+            own = [min(a, b) if x in (a, b) else x for x in own]
+        assert own == [root(i) for i in range(len(codes))]
+
+
+def test_cut_of_a_trie_bounds_its_leaves(spark):
+    rng = np.random.default_rng(13)
+    codes = np.unique(np.concatenate([rng.integers(0, 2**63, 500, dtype=np.uint64), np.uint64(7 << 60) + rng.integers(0, 1 << 12, 900, dtype=np.uint64)]))
+    cut = simhash.Cut.of(spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long"), 40)
+    row, leaf, off = cut.visits(codes, 0)
+    assert np.bincount(leaf).max() <= 40 and (off == 0).all() and sorted(row) == list(range(len(codes)))
+
+
 # --- line dedup -------------------------------------------------------------------------------------------------
 
 
