@@ -35,7 +35,8 @@ MAX_FREQUENT = 100_000
 PARITY = 1_024
 BLOCK = 2_000
 BUDGET = 2
-_CHUNK_BYTES = 1_000_000
+_CHUNK_BYTES = 300_000
+_TEXTS = 200
 _HELD = 50_000
 _PAIRS = 200_000
 _SLOTS = 1 << 24
@@ -296,7 +297,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Da
     """The ``u, v`` of ``pairs`` with rows in ``docs`` (``node, text``) that are near copies, by the words themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, _TEXTS) for b in batches for lo in range(0, b.num_rows, _TEXTS)):
             sides = []
             for name in ("a", "b"):
                 data, offsets = utf8(batch.column(name))

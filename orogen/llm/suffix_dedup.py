@@ -38,7 +38,9 @@ from .common import SpanHasher, discard, materialize, scratch, slices, text_or_e
 
 WINDOW = 200
 GROUP = 1_000
-_CHUNK_BYTES = 1_000_000
+_CHUNK_BYTES = 300_000
+#: Texts that are unpacked at once.
+_TEXTS = 500
 _BATCH = 5_000
 #: Full anchors that are broadcast at most; more are joined by shuffle.
 _BROADCAST = 100_000
@@ -370,16 +372,19 @@ def _contexts(docs: DataFrame, ones: DataFrame, window: int) -> DataFrame:
             # Rows of one kind follow one another, and one of them will do.
             fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else before)]
             before = keys[-1] if keys else before
-            batch = batch.take(pa.array(fresh, pa.int64()))
-            wanted = batch.column("wanted")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-            flat = wanted.flatten()
-            texts = [_unpack(p) for p in batch.column("packed").to_pylist()]
-            lo, windows = flat.field("lo").to_numpy(), flat.field("windows").to_numpy()
-            cuts = [texts[r][a : a + w + window - 1] for r, a, w in zip(row.tolist(), lo.tolist(), windows.tolist(), strict=True)]
-            take = pa.array(row)
-            columns = [*[flat.field(c) for c in own], batch.column("row1").take(take), batch.column("row2").take(take), pa.array(cuts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*own, "row1", "row2", "bytes"])
+            for lo in range(0, len(fresh), _TEXTS):
+                yield pieces(batch.take(pa.array(fresh[lo : lo + _TEXTS], pa.int64())))
+
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wanted = batch.column("wanted")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+        flat = wanted.flatten()
+        texts = [_unpack(p) for p in batch.column("packed").to_pylist()]
+        lo, windows = flat.field("lo").to_numpy(), flat.field("windows").to_numpy()
+        cuts = [texts[r][a : a + w + window - 1] for r, a, w in zip(row.tolist(), lo.tolist(), windows.tolist(), strict=True)]
+        take = pa.array(row)
+        columns = [*[flat.field(c) for c in own], batch.column("row1").take(take), batch.column("row2").take(take), pa.array(cuts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [*own, "row1", "row2", "bytes"])
 
     wanted = ones.groupBy("row1", "row2").agg(F.collect_list(F.struct(*own)).alias("wanted"))
     rows = _packed(docs).where(F.octet_length("text") >= window).select(F.col("row1").alias("k1"), F.col("row2").alias("k2"), "text")
@@ -494,7 +499,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, group: int = GROUP, chunk
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, _TEXTS) for b in batches for lo in range(0, b.num_rows, _TEXTS)):
             rows = []
             for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 text = _unpack(packed)
