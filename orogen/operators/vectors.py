@@ -31,8 +31,11 @@ def parameters(vectors: DataFrame, method: str = "zscore") -> DataFrame:
 
 
 def apply(vectors: DataFrame, params: DataFrame) -> DataFrame:
-    """Normalised vectors; the parameters are one row per dimension, packed into one row of arrays for all."""
-    packed = params.agg(F.sort_array(F.collect_list(F.struct("d", "shift", "spread"))).alias("p"))
+    """Normalised vectors. The parameters, a row of numbers per dimension, are fetched once and sent along as one row, so
+    that later uses of the vectors don't aggregate them again."""
+    spark = vectors.sparkSession
+    rows = sorted((r["d"], r["shift"], r["spread"]) for r in params.select("d", "shift", "spread").collect())
+    packed = spark.createDataFrame([(rows,)], "p array<struct<d:int,shift:double,spread:double>>")
     return vectors.crossJoin(F.broadcast(packed)).withColumn("embedding", F.zip_with("embedding", "p", lambda v, p: (v - p["shift"]) / p["spread"])).drop("p")
 
 
