@@ -450,6 +450,9 @@ def diagnostics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.failures(_partly_failing(spark, sf_dir))
 
 
+ORACLES["residuals_failures"] = f"WITH {_FAILED}\nSELECT entry, CAST(count(*) AS BIGINT) AS n_patches FROM embeddings CROSS JOIN e GROUP BY entry"
+
+
 @query("diagnostics_by_tile", f"WITH {_FAILED}\nSELECT label AS tile, entry, CAST(count(*) AS BIGINT) AS n_patches FROM embeddings CROSS JOIN e GROUP BY label, entry")
 def diagnostics_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of the configuration of residuals_failures, tile by tile."""
