@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import decomposition as shapes
 from ..functions import linear
 from ..functions.registry import DECOMPOSITIONS, UPSAMPLERS
+from .embed import spread
 
 Offsets = list[tuple[int, int]]
 
@@ -30,7 +31,7 @@ class Chain:
         gap = lambda v: v.isNull() | F.isnan(v)
         known = F.filter("data", lambda v: ~gap(v))
         mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(known), F.lit(1))
-        self.df = patches.select("patch_id", F.col("data").cast("array<double>").alias("data")).withColumn("mean", mean)
+        self.df = spread(patches).select("patch_id", F.col("data").cast("array<double>").alias("data")).withColumn("mean", mean)
         self.df = self.df.withColumn("z", F.transform("data", lambda v: F.when(gap(v), F.col("mean")).otherwise(v)))
 
     def step(self, expression: Column) -> str:
