@@ -27,7 +27,7 @@ from .common import slices, text_or_empty, utf8
 
 _CHUNK_BYTES = 1_000_000
 #: Matches that a worker remembers at most (beyond those of one slice of rows), and characters of the longest of them.
-_MET = 600_000
+_MET = 150_000
 _LONG = 48
 
 

@@ -111,6 +111,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, learner: Ftrl) -> Model:
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     dense = [p[p >= 0] for p in (place[x] for x in rows)]
+    del counts, place
     w = learner.fit(dense, labels, len(kept))
     at = np.flatnonzero(w[:-1])
     return Model(kept[at], w[at], float(w[-1]))
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_ro
         for batch in batches:
             ids += batch.column("id").to_pylist()
             labels += batch.column("y").to_pylist()
-            rows += [np.frombuffer(x, np.uint32) for x in batch.column("x").to_pylist()]
+            rows += [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("x")]  # no copies
         if rows:
             order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], len(rows[i])))
             model = train([rows[i] for i in order], np.array([labels[i] for i in order], float), learner)
