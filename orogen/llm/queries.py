@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, line_dedup, quality, simhash, suffix_dedup, toxicity, url_lists, warc
+from . import ann, bpe, decontaminate, fill_middle, line_dedup, quality, simhash, spelling, suffix_dedup, toxicity, url_lists, warc
 from .common import table
 
 
@@ -86,6 +86,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=100)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        *[F.col(f"fim.{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.with_slips(spelling.runs_of(table(spark, sf_dir, "documents")), every=97)
+    return spelling.group(spelling.count_words(runs, min_chars=5, min_n=3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -97,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_spelling": op13_spelling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -186,5 +203,65 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
   CASE WHEN f.first IS NULL OR f.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN f.first <> page_id THEN f.first END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d
+""",
+    "op12_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+),
+h AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+),
+p AS (
+  SELECT *, array_to_string(list_slice(u, 1, least(a, b)), '') AS pre, array_to_string(list_slice(u, least(a, b) + 1, greatest(a, b)), '') AS mid,
+    array_to_string(list_slice(u, greatest(a, b) + 1, n), '') AS suf
+  FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE bits AS (
+  SELECT b AS i, list_reduce(list_concat([CAST(b AS BIGINT)], list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  FROM range(256) AS r(b)
+),
+tab AS (SELECT list(v ORDER BY i) AS crc FROM bits),
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+),
+c AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run),
+x AS (SELECT doc_id, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b FROM c),
+y AS (SELECT run, n, list_transform(range(0, length(b), 2), lambda i: CAST('0x' || substr(b, CAST(i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM x),
+h AS (
+  SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda a, z: xor(a >> 8, crc[xor(a & 255, z) + 1])), 4294967295) AS h FROM y, tab
+),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+gone AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM w, unnest(range(0, length(word))) AS u(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM gone AS a JOIN gone AS b ON a.d = b.d AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM gone AS a JOIN w AS b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM gone AS a JOIN w AS b ON a.d = b.word
+),
+f AS (
+  SELECT w.word, w.n, count(near) AS n_near, CASE WHEN max(p.n) >= 2 * w.n THEN max(p.n) END AS form_n FROM w LEFT JOIN pairs AS p ON p.word = w.word GROUP BY w.word, w.n
+),
+g AS (SELECT f.*, (SELECT min(near) FROM pairs AS p WHERE p.word = f.word AND p.n = f.form_n) AS form FROM f),
+chain AS (
+  SELECT word, word AS here, 0 AS depth FROM g
+  UNION ALL SELECT chain.word, g.form, depth + 1 FROM chain JOIN g ON g.word = chain.here WHERE g.form IS NOT NULL
+),
+ends AS (SELECT word, arg_max(here, depth) AS root FROM chain GROUP BY word)
+SELECT g.word, g.form, ends.root, g.n, CAST(g.n_near AS BIGINT) AS n_near, g.form_n FROM g JOIN ends ON ends.word = g.word
 """,
 }
