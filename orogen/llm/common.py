@@ -7,12 +7,13 @@ import contextvars
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 MIN_LONG = -(2**63)
 _SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
@@ -79,6 +80,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(*names: str) -> list[str]:
+    """Column names as references, whatever signs they hold."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names: a name with a dot or a backtick would be taken for a path there."""
+    names, plain = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+
+    result = StructType([StructField(c, f.dataType) for c, f in zip(plain, schema, strict=True)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, result).toDF(*schema.names)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, fill_middle, line_dedup, quality, simhash, spelling, suffix_dedup, toxicity, url_lists, warc
+from . import ann, bpe, decontaminate, edit_prints, fill_middle, line_dedup, quality, simhash, spelling, suffix_dedup, toxicity, url_lists, warc
 from .common import table
 
 
@@ -86,6 +86,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=100)
 
 
+def op11_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.against_next(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op11_edit_prints": op11_edit_prints,
     "op12_fill_middle": op12_fill_middle,
     "op13_spelling": op13_spelling,
 }
