@@ -472,13 +472,39 @@ def _by_suffix_array(texts: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, _SPAN)
 
 
+def _apart(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) with one row of each kind, and ``row1, row2, size`` of the kinds that have several.
+
+    Only numbers and digests are shuffled to count the copies, and texts of such kinds alone to find one of each.
+    """
+    long = _keyed(docs).where(F.octet_length("text") >= window)
+    counted = long.groupBy("row1", "row2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"))
+    copies = materialize(counted.where("n > 1").select("row1", "row2", "size"), "copies")
+    if copies.isEmpty():
+        return docs, copies
+    lone = long.join(copies, ["row1", "row2"], "left_anti").select("doc_id", "text")
+    return lone.union(long.join(copies, ["row1", "row2"], "left_semi").select("doc_id", "text").distinct()), copies
+
+
 def _with_spans(docs: DataFrame, window: int, group: int, chunk: int) -> DataFrame:
+    """``doc_id, packed, spans`` of every row; rows with copies are one span and meet no others."""
     with scratch(docs.sparkSession, "suffixes") as folder:
-        found = repeated_windows(docs, window, group, chunk)
-    spans = materialize(found.groupBy(F.col("row1").alias("k1"), F.col("row2").alias("k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+        kinds, copies = _apart(docs, window)
+        found = repeated_windows(kinds, window, group, chunk)
+    gathered = found.groupBy(F.col("row1").alias("k1"), F.col("row2").alias("k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = materialize(gathered, "spans")
+    copies = materialize(copies, "copies")
     discard(docs.sparkSession, folder)
-    rows = _packed(docs).mapInArrow(_shrink, "doc_id long, row1 long, row2 long, packed binary")
-    return rows.join(spans, (F.col("row1") == F.col("k1")) & (F.col("row2") == F.col("k2")), "left").select("doc_id", "packed", "spans")
+    packed = _packed(docs).mapInArrow(_shrink, "doc_id long, row1 long, row2 long, packed binary")
+    if copies.isEmpty():
+        alike, lone = None, packed
+    else:
+        alike, lone = (packed.join(copies, ["row1", "row2"], how) for how in ("inner", "left_anti"))
+    rows = lone.join(spans, (F.col("row1") == F.col("k1")) & (F.col("row2") == F.col("k2")), "left").select("doc_id", "packed", "spans")
+    if alike is None:
+        return rows
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("size") - window).alias("stop")))
+    return rows.union(alike.select("doc_id", "packed", whole.cast(spans.schema["spans"].dataType).alias("spans")))
 
 
 def covered(size: int, spans: list[dict] | None, window: int) -> np.ndarray:
