@@ -6,12 +6,11 @@ rotated too and kept as ``PLANES`` bit planes, so the inner product of a code wi
 the scalars turn it into an estimate of the inner product of the vectors with an error bound. Vectors whose upper bound
 reaches the query's k-th best lower bound are ranked again on the original vectors.
 
-Scale: of equal vectors only the ``k + 1`` smallest ids are searched, as no more can be among the nearest. A query's
-k-th best inner product with the sample bounds its k-th best of the table from below: cells that can't reach it by
-their centre and radius aren't probed, and of the others as many as the sample needed for ``recall``; vectors that can't
-reach it aren't ranked again, and what scores less isn't returned. A block holds at most ``BLOCK`` vectors, near cells
-share one, and it meets its own queries ``QUERY_BLOCK`` at a time, so that vectors are copied only where that many
-queries want them (one copy of a vector for 8,192 estimates of it). Vectors travel with their codes: of 64 components
+Scale: of equal vectors only the ``k + 1`` smallest ids are searched, as no more can be among the nearest. A query probes
+as many cells as the sample needed for ``recall``, and goes on while these hold fewer than ``k`` others, so every query
+gets its ``k`` nearest found. What is ranked again is told by the bounds of the codes alone. A block holds at most
+``BLOCK`` vectors, near cells share one, and it meets its own queries ``QUERY_BLOCK`` at a time, so that vectors are
+copied only where that many queries want them (one copy of a vector for 8,192 estimates of it). Vectors travel with their codes: of 64 components
 without clusters the bounds leave a tenth of a block to be ranked again, and those pairs would outweigh the vectors.
 A block returns at most ``k`` rows per query. Cells are the square root of the table in number, an eighth of ``sample``
 at most (2,048): from some four million vectors on cells grow instead, and so does the work per query, unless
@@ -98,21 +97,10 @@ class Coder:
 
 @dataclass(frozen=True)
 class Fit:
-    """What a bounded sample gives: the coder, how many cells to probe, and the sample itself."""
+    """What a bounded sample gives: the coder and how many cells to probe."""
 
     coder: Coder
     near: int
-    x: np.ndarray
-    ids: np.ndarray
-
-    def floor(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        """The k-th best inner product of each query with others of the sample, less than any k-th best of the table."""
-        if len(self.x) <= k:
-            return np.full(len(q), -np.inf)
-        product = q @ self.x.T
-        product[own[:, None] == self.ids[None, :]] = -np.inf
-        least = np.partition(product, len(self.x) - k, axis=1)[:, len(self.x) - k]
-        return least - 1e-9 * (1 + np.abs(least))
 
 
 def kmeans(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -153,7 +141,7 @@ def fit(rows: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> Fit | N
     place = np.argsort(np.argsort(-(q @ coder.centres.T), axis=1, kind="stable"), axis=1)
     needed = np.sort(np.take_along_axis(place, coder.assign(x)[nearest], axis=1).ravel())
     near = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1 if len(needed) else 1
-    return Fit(coder, near, x, drawn["vec_id"].to_numpy())
+    return Fit(coder, near)
 
 
 def pack(coder: Coder, size: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +165,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 _CODE = "cell int, vec_id long, v array<double>, bits binary, length double, fit double"
-_ASK = "block long, query_id long, floor double, q array<double>"
+_ASK = "block long, query_id long, q array<double>"
 _SCORE = "query_id long, vec_id long, score double"
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -222,9 +210,11 @@ def scored(coded: DataFrame, queries: DataFrame, fitted: Fit, k: int) -> DataFra
     """``query_id, vec_id, score``: from each block that a query probes up to ``k`` of the nearest."""
     coder, dim = fitted.coder, fitted.coder.dim
     # One row per cell: at most an eighth of the sample.
-    held = coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("length").alias("radius")).toPandas()
-    size, radius = np.zeros(len(coder.centres), np.int64), np.zeros(len(coder.centres))
-    size[held["cell"]], radius[held["cell"]] = held["n"], held["radius"]
+    held = coded.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
+    size = np.zeros(len(coder.centres), np.int64)
+    size[held["cell"]] = held["n"]
+    # Of the rows in the cells that a query probes so many may be its own, or repeat an id that was seen before.
+    spare = 1 + int(size.sum()) - coded.select("vec_id").distinct().count()
     first, many = pack(coder, size, max(256, min(BLOCK, math.ceil(size.sum() / 24))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,23 +225,20 @@ def scored(coded: DataFrame, queries: DataFrame, fitted: Fit, k: int) -> DataFra
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, own = _matrix(batch.column("v"), dim), batch.column("vec_id").to_numpy()
-            floor, norm = fitted.floor(q, own, k), np.sqrt((q**2).sum(axis=1))
-            centre = q @ coder.centres.T
-            order = np.argsort(-centre, axis=1, kind="stable")
+            q = _matrix(batch.column("v"), dim)
+            order = np.argsort(-(q @ coder.centres.T), axis=1, kind="stable")
             seen = np.cumsum(size[order], axis=1)
-            count = np.minimum(np.maximum(fitted.near, (seen < k + 1).sum(axis=1) + 1), order.shape[1])
-            reach = centre + norm[:, None] * radius + 1e-9 * (1 + norm[:, None]) >= floor[:, None]
+            count = np.minimum(np.maximum(fitted.near, (seen < k + spare).sum(axis=1) + 1), order.shape[1])
             row, visits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(len(q)):
                 cell = order[i, : count[i]]
-                cell = cell[(size[cell] > 0) & reach[i, cell]]
+                cell = cell[size[cell] > 0]
                 blocks = np.unique(np.concatenate([first[cell], *[first[c] + np.arange(1, many[c]) for c in cell[many[cell] > 1]]]))
                 row.append(np.full(len(blocks), i))
                 visits.append(blocks)
-            at = np.concatenate(row)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(visits)), batch.column("vec_id").take(take), pa.array(floor[at]), batch.column("v").take(take)], ["block", "query_id", "floor", "q"])
+            take = pa.array(np.concatenate(row))
+            columns = [pa.array(np.concatenate(visits)), batch.column("vec_id").take(take), batch.column("v").take(take)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "query_id", "q"])
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -259,18 +246,17 @@ def scored(coded: DataFrame, queries: DataFrame, fitted: Fit, k: int) -> DataFra
             ids, cell, length, fit = (left.column(c).to_numpy() for c in ("vec_id", "cell", "length", "fit"))
             x = _matrix(left.column("v").combine_chunks(), dim)
             bits = np.frombuffer(b"".join(left.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-            q, owners, floors = _matrix(right.column("q").combine_chunks(), dim), right.column("query_id").to_numpy(), right.column("floor").to_numpy()
+            q, owners = _matrix(right.column("q").combine_chunks(), dim), right.column("query_id").to_numpy()
             # One more than k, as the query itself may be among them, and one for each row that repeats an id.
             place = len(ids) - (k + 1 + len(ids) - len(np.unique(ids)))
             for lo in range(0, len(q), _STEP):
                 estimate, off = coder.bounds(bits, length, fit, cell, q[lo : lo + _STEP])
-                least = floors[lo : lo + _STEP]
+                again = np.ones(estimate.shape, bool)
                 if place >= 0:
-                    least = np.maximum(least, np.partition(estimate - off, place, axis=1)[:, place])
-                again = estimate + off >= least[:, None]
+                    again = estimate + off >= np.partition(estimate - off, place, axis=1)[:, place, None]
                 for j in range(len(again)):
                     own = np.flatnonzero(again[j] & (ids != owners[lo + j]))
-                    out.append(_best(x, ids, own, q[lo + j], floors[lo + j], k, owners[lo + j]))
+                    out.append(_best(x, ids, own, q[lo + j], k, owners[lo + j]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table(columns, names=["query_id", "vec_id", "score"])
 
@@ -283,13 +269,14 @@ def scored(coded: DataFrame, queries: DataFrame, fitted: Fit, k: int) -> DataFra
     return side.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(lambda left, right: nearest(left, right), _SCORE)
 
 
-def _best(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, floor: float, k: int, owner: int) -> tuple:
+def _best(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, owner: int) -> tuple:
     """The ``k`` nearest of the rows ``own``. A product in blocks tells which can be among them, up to its rounding."""
     rough = x[own] @ q
-    if len(own) > k:
-        floor = max(floor, np.partition(rough, len(own) - k)[len(own) - k])
-    slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
-    own = own[rough >= floor - slack]
+    # Rows that repeat an id may stand before the k-th best of all ids.
+    wanted = k + len(own) - len(np.unique(ids[own]))
+    if len(own) > wanted:
+        slack = 1e-9 * (1 + np.abs(rough).max())
+        own = own[rough >= np.partition(rough, len(own) - wanted)[len(own) - wanted] - slack]
     score = dot(x[own], q)
     best = np.lexsort((ids[own], -score))
     fewer = best[: k + len(own) - len(np.unique(ids[own]))]  # rows that repeat an id count once

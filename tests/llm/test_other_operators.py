@@ -94,7 +94,7 @@ def test_neighbours_of_few_vectors(spark):
     assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("clusters", [0, 40])
+@pytest.mark.parametrize("clusters", [0, 40, 300])
 def test_recall(spark, clusters):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 32))
@@ -102,9 +102,11 @@ def test_recall(spark, clusters):
         x = rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 4000)] * 3 + x * 0.3
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = {}
+    found, ranks = {}, {}
     for r in ann.search(table, F.col("vec_id") % 50 == 0, k=20).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+    assert all(sorted(ranks[i]) == list(range(1, 21)) for i in range(0, 4000, 50)) and len(ranks) == 80
     x = x.astype(np.float32).astype(float)
     hits = 0
     for i in range(0, 4000, 50):
@@ -114,6 +116,21 @@ def test_recall(spark, clusters):
     assert hits >= 0.9 * 20 * 80
 
 
+def test_every_query_gets_its_neighbours(spark):
+    """Small clusters in all directions, repeated ids and hundreds of equal vectors: no list is short."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(300, 16)), 10, axis=0) + rng.normal(size=(3000, 16)) * 0.01
+    made = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, (-x[i]).tolist()) for i in range(0, 400, 2)] + [(3000 + i, x[0].tolist()) for i in range(300)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == {i for i, _ in made if i % 20 == 0}
+    for own in found.values():
+        ranks, ids, scores = zip(*sorted(own), strict=True)
+        assert ranks == tuple(range(1, 21)) and len(set(ids)) == 20 and list(scores) == sorted(scores, reverse=True)
+
+
 def test_equal_vectors_have_one_score(spark):
     rng = np.random.default_rng(4)
     distinct = rng.normal(size=(25, 24))
