@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import ASCII_LOWER, SpanHasher, fresh, materialize, mix, slices, text_or_empty, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, fresh, map_batches, materialize, mix, quoted, slices, text_or_empty, utf8, word_spans
 
 WINDOW = 13
 SLICE_CHARS = 4_000_000
@@ -182,7 +183,8 @@ _FOUND_TYPE = pa.struct([("n_words", pa.int32()), ("hit_spans", pa.list_(pa.stru
 def _searched(docs: DataFrame, column: str, items: list[tuple[str, str | None]], window: int) -> DataFrame:
     """``docs`` with the struct ``column`` of what ``items`` have in its text, in one pass."""
     names, tables = build(items, window)
-    at, schema = docs.columns.index("text"), docs.withColumn(column, F.expr(f"cast(null as {_FOUND})")).schema
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(column, docs.select(F.expr(f"cast(null as {_FOUND})")).schema[0].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
@@ -194,7 +196,7 @@ def _searched(docs: DataFrame, column: str, items: list[tuple[str, str | None]],
             rows = [{"n_words": n, "hit_spans": spans, "items": own} for n, spans, own in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _FOUND_TYPE)], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "contamination", window: int = WINDOW, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -238,7 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "contamin
     merged = hits.mapInArrow(merge, f"t1 long, t2 long, found {_FOUND}").toDF(h1, h2, hit)
     keyed = _searched(docs, none, [], window).withColumns({d1: digest[0], d2: digest[1]})
     joined = keyed.join(merged, (F.col(d1) == F.col(h1)) & (F.col(d2) == F.col(h2)), "left")
-    return joined.withColumn(column, F.coalesce(hit, none)).select(*[F.col(f"`{c}`") for c in docs.columns], column)
+    return joined.withColumn(column, F.coalesce(hit, none)).select(*quoted(*docs.columns, column))
 
 
 def _union(a: list[dict], b: list[dict]) -> list[dict]:

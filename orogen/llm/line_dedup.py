@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, fresh, materialize, text_or_empty, utf8
+from .common import MIN_LONG, fresh, map_batches, materialize, text_or_empty, utf8
 
 BLANK = b" \t\n\r\x0b\x0c"
 _KEYED = "h1 long, h2 long, doc_key long, row_key long, n_lines int, positions array<int>"
@@ -184,5 +184,5 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int =
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = _joined(docs, keep_bitmaps(docs, min_chars, min_docs)).mapInArrow(run, docs.schema)
+    out = map_batches(_joined(docs, keep_bitmaps(docs, min_chars, min_docs)), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ASCII_LOWER, SpanHasher, byte_class, slices, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, byte_class, map_batches, quoted, slices, utf8, word_spans
 from .toxicity import MAX_BYTES, sample_ids, sampled_texts
 
 PASSAGE = 64
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: AttentionModel | None, column: str = "score")
     """``docs`` with the score of its whole text (null: empty; 0.5 without a model), replacing ``column``."""
     names = [c for c in docs.columns if c != column]
     at = names.index("text")
-    rows = docs.select(*names)
+    rows = docs.select(*quoted(*names))
     if model is None:
         return rows.withColumn(column, F.lit(0.5))
 
@@ -197,4 +198,4 @@ def score(docs: DataFrame, model: AttentionModel | None, column: str = "score")
                 scores.append(model.forward(x, np.searchsorted(owner, np.arange(hi - lo)))["y"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], names=[*names, column])
 
-    return rows.mapInArrow(run, rows.withColumn(column, F.lit(0.0)).schema)
+    return map_batches(rows, run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, fresh, materialize, shared_dir, text_or_empty, utf8
+from .common import MIN_LONG, fresh, materialize, quoted, shared_dir, text_or_empty, utf8
 
 SEED = 42
 _BLOCK = 1 << 16
@@ -374,5 +374,5 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     # Rows of a repeated id are rare, so only they are sorted against each other; a task sends on one row of an id.
     single = kept.join(again, F.col("doc_id") == F.col(twice), "left_anti")
     double = kept.join(again, F.col("doc_id") == F.col(twice), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_or_empty()), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_or_empty()), F.to_json(F.struct(*quoted(*docs.columns))))
     return single.unionByName(double.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth))

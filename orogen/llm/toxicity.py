@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ASCII_LOWER, SpanHasher, materialize, mix, slices, text_or_empty, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, map_batches, materialize, mix, quoted, slices, text_or_empty, utf8, word_spans
 
 BITS = 24
 MIN_DOCS = 3
@@ -191,8 +192,8 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             scores = [model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hasher, known) for lo, hi in slices(offsets, _CHUNK_BYTES)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*names, column])
 
-    rows = docs.select(*names)
-    return rows.mapInArrow(run, rows.withColumn(column, F.lit(0.0)).schema)
+    rows = docs.select(*quoted(*names))
+    return map_batches(rows, run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
 
 
 def remainder(n: int):

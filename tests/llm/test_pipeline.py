@@ -9,13 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from orogen.llm import bpe, toxicity
+from orogen.llm.common import quoted
 from orogen.llm.queries import tokenizer
 
 from test_classifiers import shingle_features
 from test_near_copies import survivors
 from test_text_operators import hits, kept_lines, sha
 
-CLASHING = ["items", "n_words", "hit_spans", "contamination", "__contamination", "toxicity", "__toxicity", "__nth", "ids", "n_tokens", "__gone", "token", "parity"]
+CLASHING = ["items", "n_words", "hit_spans", "contamination", "__contamination", "toxicity", "__toxicity", "__nth", "ids", "n_tokens", "__gone", "token", "parity", "a.b", "a", "c`d"]
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +63,7 @@ def test_toxicity(spark, corpus):
 
 def unchanged(docs, found):
     assert found.columns == docs.columns
-    assert not found.count() or [tuple(r) for r in found.select(*CLASHING).distinct().collect()] == [("kept",) * len(CLASHING)]
+    assert not found.count() or [tuple(r) for r in found.select(*quoted(*CLASHING)).distinct().collect()] == [("kept",) * len(CLASHING)]
 
 
 def test_line_dedup(spark, corpus):

@@ -129,6 +129,18 @@ def test_suffix_dedup_odd(spark, odd):
     assert suffix_dedup.deduplicate(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 3, 40])
+@pytest.mark.parametrize("doc_id", [1, None])
+def test_suffix_dedup_of_repeated_rows(spark, documents, copies, doc_id):
+    """Rows of one doc_id and text, none of which stands elsewhere, and another text that shares a part of theirs."""
+    random.seed(copies)
+    text = "".join(random.choice("abcdefgh") for _ in range(700))
+    made = [(doc_id, text)] * copies + [(2, text[300:][::-1]), (3, "x" * 199), (3, "x" * 199), (4, text[100:350] + "end"), (5, None), (5, None)]
+    found = rows(suffix_dedup.deduplicate(documents(made), 200), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == removed([(i, t or "") for i, t in made], 200)
+    assert found[(doc_id, 700, 700, 1, sha(""))] == copies
+
+
 def test_suffix_array_by_grouping():
     random.seed(6)
     for _ in range(400):
