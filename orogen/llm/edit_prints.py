@@ -34,7 +34,9 @@ BAND = 4
 #: Characters worked on at once, and texts that are worth stepping side by side.
 _CHUNK, _LANES = 3_000_000, 32
 _SEED = 20_240_611
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int"
+#: Digests and fingerprints are hex strings in results only, as they take half the room in storage without.
+_HEX = ("edited_sha256", "fingerprint", "edited_fingerprint")
+_ROW = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, bands_edited int, bands_next int"
 
 
 def _hashed(*values: np.ndarray | int) -> np.ndarray:
@@ -131,12 +133,17 @@ class Print:
 
     walks: tuple[tuple[int, bytes], ...]
 
-    def __str__(self) -> str:
-        return "-".join(f"{level:02x}{data.hex()}" for level, data in self.walks)
+    def packed(self) -> bytes:
+        """Level, number of samples and samples of each walk."""
+        return b"".join(bytes([level, len(data)]) + data for level, data in self.walks)
 
     @classmethod
-    def parse(cls, text: str) -> Print:
-        return cls(tuple((int(part[:2], 16), bytes.fromhex(part[2:])) for part in text.split("-")))
+    def parse(cls, packed: bytes) -> Print:
+        walks = []
+        while packed:
+            walks.append((packed[0], packed[2 : 2 + packed[1]]))
+            packed = packed[2 + packed[1] :]
+        return cls(tuple(walks))
 
 
 def prints_of(texts: list[str]) -> list[Print]:
@@ -245,7 +252,7 @@ def fingerprints(docs: DataFrame, into: str = "fingerprint") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks(batch, text):
-                found = pa.array([str(p) for p in prints_of(part.column(text).to_pylist())], pa.string())
+                found = pa.array([p.packed().hex() for p in prints_of(part.column(text).to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=schema.names)
 
     rows = map_batches(docs.withColumn(text, text_or_empty()), run, schema)
@@ -256,12 +263,12 @@ def _results(rows: list[tuple[int, str, Print]], following: list[Print], changed
     out = []
     for (doc_id, text, own), after, new, of_new in zip(rows, following, changed, of_changed, strict=True):
         (near_new, met_new), (near_after, met_after) = compare(own, of_new), compare(own, after)
-        out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), str(own), str(of_new), near_new, near_after, met_new, met_after))
+        out.append((doc_id, len(text), hashlib.sha256(new.encode()).digest(), own.packed(), of_new.packed(), near_new, near_after, met_new, met_after))
     return out
 
 
 _COLUMNS = [c.split()[0] for c in _ROW.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.int32()] * 2]
+_TYPES = [pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2, *[pa.int32()] * 2]
 _EDGE = ["kind", "part", "edge_id", "edge_text", "edge_print"]
 
 
@@ -270,7 +277,7 @@ def _batch(kind: str, rows: list[tuple], edge: tuple | None = None) -> pa.Record
     n = 1 if edge else len(rows)
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)] if rows else [pa.nulls(n, t) for t in _TYPES]
     part, doc_id, text, own = edge or (None, None, None, None)
-    edges = [pa.array([v] * n, t) for v, t in ((kind, pa.string()), (part, pa.int32()), (doc_id, pa.int64()), (text, pa.string()), (own and str(own), pa.string()))]
+    edges = [pa.array([v] * n, t) for v, t in ((kind, pa.string()), (part, pa.int32()), (doc_id, pa.int64()), (text, pa.string()), (own and own.packed(), pa.binary()))]
     return pa.RecordBatch.from_arrays([*edges, *columns], names=[*_EDGE, *_COLUMNS])
 
 
@@ -321,7 +328,7 @@ def against_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h1"), F.col("h2")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    staged = materialize(dealt.mapInArrow(_in_order, f"kind string, part int, edge_id long, edge_text string, edge_print string, {_ROW}"), "prints")
+    staged = materialize(dealt.mapInArrow(_in_order, f"kind string, part int, edge_id long, edge_text string, edge_print binary, {_ROW}"), "prints")
     first = staged.where("kind = 'first'")
     # One row a partition, without its text: bounded by the number of partitions.
     turn = first.select("part", F.lead("part").over(Window.orderBy("part")).alias("after"), F.min("part").over(Window.partitionBy()).alias("least"))
@@ -329,7 +336,8 @@ def against_next(docs: DataFrame) -> DataFrame:
     follow = first.select(F.col("part").alias("after"), F.col("edge_text").alias("after_text"), F.col("edge_print").alias("after_print"))
     last = staged.where("kind = 'last'").select(*_EDGE[1:])
     edges = last.join(turn, "part").join(follow, "after").drop("after", "part")
-    return staged.where("kind = 'row'").select(*_COLUMNS).union(edges.mapInArrow(_at_edges, _ROW))
+    found = staged.where("kind = 'row'").select(*_COLUMNS).union(edges.mapInArrow(_at_edges, _ROW))
+    return found.select(*[F.lower(F.hex(c)).alias(c) if c in _HEX else F.col(c) for c in _COLUMNS])
 
 
 def _banded(printed: DataFrame, key: str) -> DataFrame:
@@ -339,7 +347,7 @@ def _banded(printed: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             ids, found, sizes = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for own in bands(Print.parse(text)).values():
+                for own in bands(Print.parse(bytes.fromhex(text))).values():
                     ids += [doc_id] * len(own)
                     found += own
                     sizes += [len(own)] * len(own)

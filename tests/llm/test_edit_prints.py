@@ -35,7 +35,7 @@ def plain_print(text):
             for k, c in enumerate(e[start : start + ep.WIDTH]):
                 window[b, k] = c + 1
         parts.append((level, ep._sample_bytes(window).tobytes()))
-    return str(Print(tuple(parts)))
+    return Print(tuple(parts)).packed().hex()
 
 
 def sha(text):
@@ -47,7 +47,7 @@ def test_prints_are_those_of_single_steps(lanes, monkeypatch):
     monkeypatch.setattr(ep, "_LANES", lanes)
     random.seed(11)
     texts = ["", "a", "", "é\U0001f600"] + ["".join(random.choice("abcdé \U0001f600") for _ in range(random.choice([1, 30, 700, 6000]))) for _ in range(50)]
-    assert [str(p) for p in ep.prints_of(texts)] == [plain_print(t) for t in texts]
+    assert [p.packed().hex() for p in ep.prints_of(texts)] == [plain_print(t) for t in texts]
     assert ep.prints_of([]) == []
 
 
@@ -89,7 +89,7 @@ def followed(rows):
         new = ep.edited(t, rows[n][1])
         of_new = ep.prints_of([new])[0]
         (near_new, met_new), (near_next, met_next) = ep.compare(prints[k], of_new), ep.compare(prints[k], prints[n])
-        out.append((i, len(t), sha(new), str(prints[k]), str(of_new), near_new, near_next, met_new, met_next))
+        out.append((i, len(t), sha(new), prints[k].packed().hex(), of_new.packed().hex(), near_new, near_next, met_new, met_next))
     return sorted(out, key=repr)
 
 
@@ -115,7 +115,7 @@ def test_fingerprints_keep_columns(odd):
     assert set(made.columns) == set(docs.columns)
     found = made.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "fingerprint", "`a.b`").collect()
     assert len(found) == odd.count() and all(r["a.b"] == 1 for r in found)
-    assert all(r["fingerprint"] == str(ep.prints_of([r["t"]])[0]) for r in found)
+    assert all(r["fingerprint"] == ep.prints_of([r["t"]])[0].packed().hex() for r in found)
 
 
 def test_search_finds_every_near_text(documents):
