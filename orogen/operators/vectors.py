@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from . import blocks
+from .blocks import SPACES
 
-SPACES = ("cosinesimil", "l2", "l1")
 #: Queries whose vectors may be sent to every task: at most this many numbers.
 BROADCAST_NUMBERS = 4_000_000
 
 
 def parameters(vectors: DataFrame, method: str = "zscore") -> DataFrame:
-    """One row per dimension ``d``: what to subtract and to divide by (1 where the spread is 0)."""
+    """One row per dimension ``d``: what to subtract and to divide by (1 where the spread is 0).
+
+    One pass over whole vectors: tasks keep a running summary of all dimensions and only summaries are merged. Vectors
+    have one length and no gaps; null ones are left out.
+    """
     if method not in ("zscore", "minmax"):
         raise ValueError(f"unknown normalisation {method!r}")
-    v = F.col("v")
-    long = vectors.select(F.posexplode("embedding").alias("d", "v")).groupBy("d")
+    wanted = ("count", "mean", "variance") if method == "zscore" else ("min", "max")
+    rows = vectors.where(F.col("embedding").isNotNull()).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    # Grouped by a constant, as a summary of no rows is an error; only summaries of tasks meet there.
+    one = rows.groupBy(F.lit(1)).agg(Summarizer.metrics(*wanted).summary(F.col("v")).alias("s"))
+    listed = {c: vector_to_array(F.col(f"s.{c}")) for c in wanted if c != "count"}
     if method == "zscore":
-        found = long.agg(F.avg(v).alias("shift"), F.stddev_pop(v).alias("spread"))
+        # The summary's variance is that of a sample.
+        n = F.col("s.count").cast("double")
+        shift, spread = listed["mean"], F.transform(listed["variance"], lambda v: F.sqrt(v * (n - 1) / n))
     else:
-        found = long.agg(F.min(v).alias("shift"), (F.max(v) - F.min(v)).alias("spread"))
-    return found.select("d", "shift", F.when(F.col("spread") == 0, 1.0).otherwise(F.col("spread")).alias("spread"))
+        shift, spread = listed["min"], F.zip_with(listed["max"], listed["min"], lambda a, b: a - b)
+    found = one.select(F.posexplode(F.arrays_zip(shift.alias("shift"), spread.alias("spread"))).alias("d", "p"))
+    return found.select("d", "p.shift", F.when(F.col("p.spread") == 0, 1.0).otherwise(F.col("p.spread")).alias("spread"))
 
 
 def apply(vectors: DataFrame, params: DataFrame) -> DataFrame:
@@ -62,60 +73,42 @@ def distance(space: str, a, b):
     raise ValueError(f"unknown space {space!r}; known: {', '.join(SPACES)}")
 
 
-def _block(space: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if space == "cosinesimil":
-        return 1.0 - (q @ x.T) / np.sqrt((q * q).sum(axis=1)[:, None] * (x * x).sum(axis=1)[None, :])
-    if space == "l2":
-        return np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in q])
-    return np.stack([np.abs(x - one).sum(axis=1) for one in q])
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, space: str = "cosinesimil", exclude_self: bool = False) -> DataFrame:
     """``query_id, rank, patch_id, distance``: the ``k`` nearest vectors of each query (``query_id, embedding``).
 
-    Queries go to the vectors in blocks of at most BROADCAST_NUMBERS numbers, one scan of the vectors per block; each
-    batch returns only its own ``k`` best per query, and the final rank is over those. Of several blocks the driver
-    holds one at a time, whose result is left in the checkpoint folder before the next is fetched. Ties go to the
-    smaller id, and fewer than ``k`` vectors are all returned.
+    Queries of at most BROADCAST_NUMBERS numbers in all are sent to the vectors, which are scanned once and not
+    shuffled; each batch returns only its own ``k`` best per query. More of them meet the vectors in blocks
+    (``blocks.knn_batch``). Ties go to the smaller id, and fewer than ``k`` vectors are all returned.
     """
     if space not in SPACES:
         raise ValueError(f"unknown space {space!r}; known: {', '.join(SPACES)}")
-    first = vectors.select(F.size("embedding").alias("d")).first()
-    size = max(1, BROADCAST_NUMBERS // max(first["d"], 1)) if first else 1
-    many = max(1, -(-queries.count() // size))
-    parts = []
-    for part in range(many):
-        own = queries if many == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == part)
-        near = _nearest(vectors, own.select("query_id", "embedding").toPandas(), k, space, exclude_self)
-        parts.append(near if many == 1 else stored(near))
-    found = reduce(DataFrame.union, parts)
-    order = Window.partitionBy("query_id").orderBy("distance", "patch_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "patch_id", "distance")
-
-
-def _nearest(vectors: DataFrame, block: pd.DataFrame, k: int, space: str, exclude_self: bool) -> DataFrame:
-    """``query_id, patch_id, distance``: per batch of vectors the ``k`` nearest of each query of a block."""
-    ids = block["query_id"].to_numpy(np.int64)
-    q = np.stack(block["embedding"].to_numpy()).astype(float) if len(block) else np.zeros((0, 1))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            x, own = np.stack(frame["embedding"].to_numpy()).astype(float), frame["patch_id"].to_numpy()
-            for lo in range(0, len(ids), 256):
-                d = _block(space, q[lo : lo + 256], x)
-                if exclude_self:
-                    d[ids[lo : lo + 256, None] == own[None, :]] = np.inf
-                # Rounded before the cut, so that ties fall the same way here and in the final rank.
-                d = np.round(d, 9)
-                order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                near = np.take_along_axis(d, order, axis=1)
-                row = np.repeat(ids[lo : lo + 256], order.shape[1])
-                out = pd.DataFrame({"query_id": row, "patch_id": own[order.ravel()], "distance": near.ravel()})
-                yield out[np.isfinite(out["distance"])]
-
-    return vectors.select("patch_id", "embedding").mapInPandas(best, "query_id long, patch_id long, distance double")
+    few = fetched(queries)
+    if few is None:
+        return blocks.knn_batch(vectors, queries, k, space, exclude_self)
+    ids, q = few
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                rows = pa.Table.from_batches([batch])
+                x = blocks.matrix(rows.column("embedding"), batch.num_rows)
+                for found in blocks.best_of(space, k, ids, q, batch.column("patch_id").to_numpy(), x, exclude_self=exclude_self):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "patch_id", "distance"])
+
+    found = vectors.select("patch_id", "embedding").mapInArrow(best, "query_id long, patch_id long, distance double")
+    return blocks.ranked(found, k)
+
+
+def fetched(queries: DataFrame, most: int = BROADCAST_NUMBERS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of the queries, or None where they have more than ``most`` numbers."""
+    one = queries.select(F.size("embedding").alias("d")).first()
+    if one is None:
+        return np.zeros(0, np.int64), np.zeros((0, 1))
+    size = max(1, most // max(one["d"], 1))
+    rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).limit(size + 1).toArrow()
+    if rows.num_rows > size:
+        return None
+    return rows.column(0).to_numpy(), blocks.matrix(rows.column(1), rows.num_rows)
 
 
 def separability(vectors: DataFrame, group: str = "tile_group") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,9 +14,10 @@ from .. import config as cfg
 from ..functions import analysis, linear, spectral, terrain, texture
 from ..functions import decomposition as dec
 from ..functions.registry import DECOMPOSITIONS, TERRAIN, TEXTURE, UPSAMPLERS
-from ..operators import build, coords, embed, evaluate, filters, overlay, relief, tiling, vectors
+from ..operators import blocks, build, cells, coords, embed, evaluate, filters, overlay, relief, tiling, vectors
 from ..operators.index import Index
 from ..sources import fixtures as fx
+from ..sources import storage
 from ..sources.storage import stored
 from . import shared_sql
 from .shared_sql import r
@@ -530,7 +532,34 @@ _neighbours("knn_l1", "l1", "patch_id % 25 = 0")
 _neighbours("knn_normalized", "cosinesimil", "patch_id % 25 = 0", normalized=True)
 _neighbours("knn_by_id", "cosinesimil", "patch_id = 7")
 _neighbours("knn_exclude_self", "cosinesimil", "patch_id % 25 = 0", exclude=True)
-_neighbours("knn_batch_allpairs", "l2", "patch_id >= 0")
+
+
+@query("knn_batch_allpairs", _knn_sql("l2", "patch_id >= 0"), ("vec_index",))
+def knn_batch_allpairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is a query: blocks of vectors meet blocks of queries on the executors."""
+    index = fx.vec_index(spark, sf_dir)
+    asked = index.select(F.col("patch_id").alias("query_id"), "embedding")
+    return blocks.knn_batch(index, asked, 10, "l2").select("query_id", "rank", "patch_id", rounded("distance"))
+
+
+_APPROXIMATE_SQL = "SELECT count(*) AS n_queries, CAST(10 * count(*) AS BIGINT) AS n_found, true AS recall_reached FROM vec_index WHERE patch_id % 25 = 0"
+
+
+def _approximate(name: str, space: str) -> None:
+    @query(name, _APPROXIMATE_SQL, ("vec_index",))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """An index of all vectors by cells, saved and read back: its neighbours against the exact ones, ten a query."""
+        rows = fx.vec_index(spark, sf_dir).select("patch_id", "embedding")
+        folder = f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        Index.build(rows, rows.select("patch_id"), normalize=False, space=space, approximate=True).save(folder)
+        asked = rows.where("patch_id % 25 = 0").select(F.col("patch_id").alias("query_id"), "embedding")
+        found = Index.load(spark, folder).nearest(asked, 10)
+        measured = cells.recall(found, vectors.knn(rows, asked, 10, space))
+        return measured.select("n_queries", "n_found", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+_approximate("approximate_recall_cosine", "cosinesimil")
+_approximate("approximate_recall_l2", "l2")
 
 
 @query("knn_threshold", f"WITH k AS ({_knn_sql('cosinesimil', 'patch_id % 25 = 0')}) SELECT * FROM k WHERE distance <= 0.7", ("vec_index",))
