@@ -99,12 +99,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, space: str = "cosin
     return blocks.ranked(found, k)
 
 
-def fetched(queries: DataFrame, most: int = BROADCAST_NUMBERS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Ids and vectors of the queries, or None where they have more than ``most`` numbers."""
+def fetched(queries: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of the queries, or None where they have more than ``most`` numbers (BROADCAST_NUMBERS)."""
     one = queries.select(F.size("embedding").alias("d")).first()
     if one is None:
         return np.zeros(0, np.int64), np.zeros((0, 1))
-    size = max(1, most // max(one["d"], 1))
+    size = max(1, (most or BROADCAST_NUMBERS) // max(one["d"], 1))
     rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).limit(size + 1).toArrow()
     if rows.num_rows > size:
         return None

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from ..functions.registry import DECOMPOSITIONS, TERRAIN, TEXTURE, UPSAMPLERS
 from ..operators import blocks, build, cells, coords, embed, evaluate, filters, overlay, relief, tiling, vectors
 from ..operators.index import Index
 from ..sources import fixtures as fx
-from ..sources import storage
+from ..sources import elevation, storage
 from ..sources.storage import stored
 from . import shared_sql
 from .shared_sql import r
@@ -71,6 +72,46 @@ def rounded(name: str, digits: int = 6):
     return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name)
 
 
+# --- elevation files --------------------------------------------------------------------------------------------
+
+
+def _written_tiles(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of elevation files in the shared folder: each 150 rows of the raster are a tile, written by a task."""
+    folder = f"{storage.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    rows = fx.read(spark, sf_dir, "embeddings").select((F.col("vec_id") / 150).cast("long").alias("tile"), (F.col("vec_id") % 150).alias("y"), "embedding")
+
+    def write(tile: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((int(tile["y"].max()) + 1, len(tile["embedding"].iloc[0])), np.nan)
+        grid[tile["y"].to_numpy()] = np.stack(tile["embedding"].to_numpy())
+        elevation.write_grid(f"{folder}/{tile['tile'].iloc[0]}_dem.npy", grid)
+        return tile[["tile"]].iloc[:1]
+
+    elevation.make_folder(folder)
+    rows.groupBy("tile").applyInPandas(write, "tile long").count()
+    return folder
+
+
+_ELEVATION = """WITH g AS (SELECT CAST(y // 150 AS VARCHAR) AS tile_id, (y % 150) // 16 AS r, x // 16 AS c, z FROM emb_raster),
+p AS (SELECT tile_id, r, c, avg(z) AS m, CAST(count(z) AS DOUBLE) / count(*) AS vf, count(*) AS n, count(*) - count(z) AS gaps FROM g GROUP BY tile_id, r, c)"""
+
+
+@query("elevation_blocks", f"""{_ELEVATION}
+SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY r, c) - 1 AS local_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, {r('vf')} AS valid_fraction, {r('m')} AS mean FROM p""", ("emb_raster",))
+def elevation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster as files, read again in blocks of rows and cut into patches."""
+    cut = elevation.patches(spark, _written_tiles(spark, sf_dir), patch_size=16, block_bytes=40_000)
+    mean = F.aggregate("data", F.lit(0.0), lambda a, v: a + v) / F.size("data")
+    return cut.select("tile_id", "local_id", "row", "col", rounded("valid_fraction"), (F.round(mean, 6) + F.lit(0.0)).alias("mean"))
+
+
+@query("elevation_counts", f"""{_ELEVATION}
+SELECT tile_id, CAST(r AS INT) AS "row", CAST(sum(n) AS BIGINT) AS n_cells, CAST(sum(gaps) AS BIGINT) AS n_missing, CAST(count(*) AS BIGINT) AS n_patches FROM p GROUP BY tile_id, r""", ("emb_raster",))
+def elevation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, gaps and patches of each row of patches, from which ids follow."""
+    counted = elevation.read(spark, _written_tiles(spark, sf_dir), counts="true", patch_size=16, block_bytes=40_000)
+    return counted.select("tile_id", "row", "n_cells", "n_missing", "n_patches")
+
+
 # --- tiling -----------------------------------------------------------------------------------------------------
 
 
@@ -440,7 +481,8 @@ def _partly_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "patch_id", F.col("tile").cast("string").alias("tile_id"), F.when(odd, 3).otherwise(8).alias("h"), F.when(odd, 3).otherwise(8).alias("w"), F.when(odd, F.slice("data", 1, 9)).otherwise(F.col("data")).alias("data")
     )
     config = _residuals(decomposition_methods=["gaussian"], upsampling_methods=["bilinear", "cubic_catmull_rom"], bidirectional=True)
-    return embed.embed(own, config, ("patch_id", "tile_id"))
+    placed = own.withColumns({"local_id": F.col("patch_id"), "y_start": F.lit(0), "x_start": F.lit(0), "tile_h": F.lit(8), "tile_w": F.lit(8)})
+    return embed.embed(placed, config, ("patch_id", "tile_id", "local_id", "y_start", "x_start", "tile_h", "tile_w"))
 
 
 _FAILED = "e(entry) AS (VALUES ('gaussian/cubic_catmull_rom:A:ValueError'), ('gaussian/cubic_catmull_rom:B:no_A_to_compare'))"
@@ -449,7 +491,8 @@ _FAILED = "e(entry) AS (VALUES ('gaussian/cubic_catmull_rom:A:ValueError'), ('ga
 @query("diagnostics_rollup", f"""WITH {_FAILED}
 SELECT entry, CAST(count(*) AS BIGINT) AS n_patches, CAST(count(DISTINCT label) AS BIGINT) AS tiles_with_failures FROM embeddings CROSS JOIN e WHERE label % 2 = 1 GROUP BY entry""")
 def diagnostics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.failures(_partly_failing(spark, sf_dir))
+    rows = stored(_partly_failing(spark, sf_dir))
+    return build.failures(build.records(rows, rows.select("tile_id").distinct()))
 
 
 ORACLES["residuals_failures"] = f"WITH {_FAILED}\nSELECT entry, CAST(count(*) AS BIGINT) AS n_patches FROM embeddings CROSS JOIN e GROUP BY entry"
@@ -681,8 +724,12 @@ def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.drop("patch_id").withColumns({"tile_h": F.lit(fx.TILE_PX), "tile_w": F.lit(fx.TILE_PX)})
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.records(_saved(spark, sf_dir), fx.corpus_tiles(spark, sf_dir).select("tile_id"))
+
+
 def _tile_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = build.tiles(build.number(_saved(spark, sf_dir)))
+    found = build.tiles(_records(spark, sf_dir))
     return found.join(fx.corpus_tiles(spark, sf_dir).select("tile_id", "tile_row", "tile_col"), "tile_id").select("tile_id", "tile_row", "tile_col", "h", "w", "n_patches", "global_id_start")
 
 
@@ -716,7 +763,7 @@ def _clicks(spark: SparkSession, sf_dir: str, shape: DataFrame) -> DataFrame:
 _DEGREES = ("west", "south", "east", "north")
 
 QUERIES |= {
-    "global_patch_ids": lambda spark, sf_dir: build.number(_saved(spark, sf_dir)).select("tile_id", "local_id", F.col("patch_id").alias("global_id")),
+    "global_patch_ids": lambda spark, sf_dir: build.number(_saved(spark, sf_dir), build.tiles(_records(spark, sf_dir))).select("tile_id", "local_id", F.col("patch_id").alias("global_id")),
     "tile_info": _tile_info,
     "resume_remaining_tiles": _remaining,
     "api_info": _info,

@@ -107,7 +107,7 @@ def test_a_build_that_dies_goes_on(spark, tiles, tmp_path, monkeypatch):
 
     def dies(patches, config, keep):
         calls.append(1)
-        if len(calls) == 4:  # the first is for the schema; two tiles are committed before
+        if len(calls) == 3:  # two tiles are committed before
             raise KeyboardInterrupt
         return real(patches, config, keep)
 
@@ -122,6 +122,57 @@ def test_a_build_that_dies_goes_on(spark, tiles, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/failures").count() == 0
 
 
+def test_half_written_tiles_are_written_again(spark, tiles, tmp_path):
+    """A commit that dies after some of its files, or before its records, leaves tiles that a resumed build does again."""
+    import shutil
+
+    out = str(tmp_path / "corpus")
+    build.build(spark, str(tiles), out, SMALL, 16, tiles_per_commit=2)
+    (store,) = (tmp_path / "corpus" / "checkpoints").iterdir()
+    patches = lambda: sorted((r["tile_id"], r["local_id"], tuple(r["embedding"])) for r in spark.read.schema(build.KEPT).parquet(f"{store}/data").collect())
+    whole = patches()
+    # One commit's records go; of its two tiles one has half of its rows and the other has rows twice.
+    kept = spark.read.schema(build.COMMIT).parquet(f"{store}/commits").where("tile_id <> 'R00_C00' and tile_id <> 'R00_C01'")
+    kept.write.parquet(f"{store}/some")
+    shutil.rmtree(store / "commits")
+    (store / "some").rename(store / "commits")
+    rows = spark.read.schema(build.KEPT).parquet(f"{store}/data")
+    rows.where("tile_id = 'R00_C00' and local_id < 3").drop("tile_id").write.parquet(str(tmp_path / "half"))
+    shutil.rmtree(store / "data" / "tile_id=R00_C00")
+    (tmp_path / "half").rename(store / "data" / "tile_id=R00_C00")
+    for f in list((store / "data" / "tile_id=R00_C01").glob("*.parquet")):
+        shutil.copy(f, f.with_name(f"again-{f.name}"))
+    assert len(patches()) == len(whole) - 3 + 6
+    found = build.build(spark, str(tiles), out, SMALL, 16, tiles_per_commit=2).orderBy("tile_id").collect()
+    assert patches() == whole and [r["n_patches"] for r in found] == [6, 6, 6]
+    records = {r["tile_id"]: r for r in build.committed(spark, str(store)).collect()}
+    assert records["R00_C09"]["n_patches"] == 0 and len(records) == 4
+    again = {r["tile_id"]: r["digest"] for r in build.records(spark.read.schema(build.KEPT).parquet(f"{store}/data"), spark.createDataFrame([(t,) for t in records], "tile_id string")).collect()}
+    assert again == {t: r["digest"] for t, r in records.items()}
+
+
+def test_totals_are_those_of_the_rows(spark, tiles, tmp_path, monkeypatch):
+    """Records hold what a pass over the saved rows gives, and a commit whose rows were not all written is an error."""
+    config_ = config.parse({"residuals": {"enabled": True, "decomposition_methods": ["gaussian"], "upsampling_methods": ["bilinear", "cubic_catmull_rom"], "bidirectional": True}})
+    out = str(tmp_path / "corpus")
+    described = build.build(spark, str(tiles), out, config_, 3, tiles_per_commit=4).orderBy("tile_id").collect()
+    (store,) = (tmp_path / "corpus" / "checkpoints").iterdir()
+    saved = [r for r in spark.read.schema(build.KEPT).parquet(f"{store}/data").collect()]
+    for r in described:
+        own = [s for s in saved if s["tile_id"] == r["tile_id"]]
+        assert (r["n_patches"], r["n_failed_patches"], r["n_failed_slots"]) == (len(own), sum(bool(s["failed"]) for s in own), sum(len(s["failed"]) for s in own))
+    expected = {}
+    for s in saved:
+        for entry in set(s["failed"]):
+            n, where = expected.setdefault(entry, [0, set()])
+            expected[entry] = [n + 1, where | {s["tile_id"]}]
+    found = {r["entry"]: (r["n_patches"], r["tiles_with_failures"]) for r in spark.read.parquet(f"{out}/failures").collect()}
+    assert found == {e: (n, len(where)) for e, (n, where) in expected.items()} and found
+    monkeypatch.setattr(build, "_saved", lambda spark, path: spark.read.schema(build.KEPT).parquet(path).where("local_id > 0"))
+    with pytest.raises(OSError, match="read back"):
+        build.build(spark, str(tiles), str(tmp_path / "lost"), SMALL, 16)
+
+
 def test_queries_in_blocks_are_the_same(spark, monkeypatch):
     from orogen.operators import vectors
 
