@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, utf8
+from .common import lean, slices, text_or_empty, utf8
 
 _CHUNK_BYTES = 1_000_000
 #: Matches that a worker remembers at most (beyond those of one slice of rows), and characters of the longest of them.
@@ -213,7 +213,7 @@ def _map(docs: DataFrame, schema: str, build) -> DataFrame:
                 texts = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield build(batch.column("doc_id").slice(lo, hi - lo), texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(lean(run), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -242,7 +242,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = [own.decode(np.array(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "bytes"])
 
-    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return coded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -85,6 +87,24 @@ def quoted(*names: str) -> list[str]:
     return [f"`{n.replace('`', '``')}`" for n in names]
 
 
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system, as a worker outlives its task and waits for the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc keeps freed memory, and knows this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives its memory back at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """``mapInArrow`` for columns of any names: a name with a dot or a backtick would be taken for a path there."""
     names, plain = df.columns, [f"c{i}" for i in range(len(schema))]
@@ -92,6 +112,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+        give_back()
 
     result = StructType([StructField(c, f.dataType) for c, f in zip(plain, schema, strict=True)])
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, result).toDF(*schema.names)

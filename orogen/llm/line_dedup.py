@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIN_LONG, fresh, map_batches, materialize, text_or_empty, utf8
+from .common import MIN_LONG, fresh, lean, map_batches, materialize, text_or_empty, utf8
 
 BLANK = b" \t\n\r\x0b\x0c"
 _KEYED = "h1 long, h2 long, doc_key long, row_key long, n_lines int, positions array<int>"
@@ -58,7 +58,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
             )
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return _with_keys(rows, "doc_key", "row_key").select("doc_key", "row_key", "text").mapInArrow(run, _KEYED)
+    return _with_keys(rows, "doc_key", "row_key").select("doc_key", "row_key", "text").mapInArrow(lean(run), _KEYED)
 
 
 def _stream_runs(min_docs: int):
@@ -114,7 +114,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     keyed = line_keys(docs, min_chars)
     order = [F.col("h1"), F.col("h2"), F.col("doc_key").desc()]
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order, "row_key")
-    staged = materialize(dealt.mapInArrow(_stream_runs(min_docs), _STAGED), "lines")
+    staged = materialize(dealt.mapInArrow(lean(_stream_runs(min_docs)), _STAGED), "lines")
     runs = staged.where("kind = 'run'").groupBy("h1", "h2").agg(F.sum("n_docs").alias("total"), F.max("doc_key").alias("keeper"))
     hot = runs.where(F.col("total") >= min_docs).select("h1", "h2", "keeper")
     # At most two runs per partition of the sort are open, whatever the input, so this side is bounded.
@@ -133,7 +133,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
                 sizes.append(len(places))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], ["doc_key", "row_key", "n_lines", "n_dropped", "keep"])
 
-    return gathered.mapInArrow(pack, "doc_key long, row_key long, n_lines int, n_dropped int, keep binary")
+    return gathered.mapInArrow(lean(pack), "doc_key long, row_key long, n_lines int, n_dropped int, keep binary")
 
 
 def kept_lines(text: bytes, bitmap: bytes | None) -> bytes:

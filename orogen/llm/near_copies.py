@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SpanHasher, byte_class, discard, materialize, mix, scratch, shared_dir, slices, text_or_empty, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, byte_class, discard, lean, materialize, mix, scratch, shared_dir, slices, text_or_empty, utf8, word_spans
 from .simhash import FEW_EDGES, bit_counts, components, links, majority, tree_edges, without_ids
 
 SAMPLE_DOCS = 10_000
@@ -124,7 +124,7 @@ def profiles(docs: DataFrame, width: int, least: float, frequent: tuple[np.ndarr
                 columns = [batch.column("node").slice(lo, hi - lo), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(parities, pa.binary()), pa.array(wides, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "size", "set1", "set2", "fp", "parity", "wide", "tokens"])
 
-    return docs.mapInArrow(run, _PROFILE)
+    return docs.mapInArrow(lean(run), _PROFILE)
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
     every = max(docs.count() // SAMPLE_DOCS, 1)
     sample = docs.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
-    held = sample.mapInArrow(run, "token long")
+    held = sample.mapInArrow(lean(run), "token long")
     top = held.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).toArrow()
     token, count = (top.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(token)
@@ -174,7 +174,7 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             yield waiting
 
     tokens = sets.select(F.explode("tokens").alias("token"), "node")
-    return tokens.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long")
+    return tokens.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(lean(run), "token long, node long")
 
 
 def dealt_to_blocks(shared: DataFrame, block: int) -> DataFrame:
@@ -247,7 +247,7 @@ def close_pairs(blocks: DataFrame, sketches: DataFrame, least: float, across: bo
 
     rows = blocks.join(sketches, "node").select("token", "low", "high", "second", "node", "size", "parity", "label")
     dealt = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "second", "node")
-    return dealt.mapInArrow(run, _EDGE).groupBy("u", "v").agg(F.min("apart").alias("apart"))
+    return dealt.mapInArrow(lean(run), _EDGE).groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
 
 _EDGE = "u long, v long, apart double"
@@ -271,7 +271,7 @@ def thinned(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _thinned(held, False)], ["u", "v", "apart"])
 
     edges = materialize(edges, "edges")
-    return materialize(edges.repartition(1).mapInArrow(run, _EDGE), "forest") if edges.count() <= few else edges
+    return materialize(edges.repartition(1).mapInArrow(lean(run), _EDGE), "forest") if edges.count() <= few else edges
 
 
 def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -290,7 +290,7 @@ def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}"))
     both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
-    return both.select("u", "v", "size_u", "size_v", "wide_u", "wide_v").mapInArrow(run, "u long, v long").distinct()
+    return both.select("u", "v", "size_u", "size_v", "wide_u", "wide_v").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
@@ -321,7 +321,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Da
     maybe = docs.join(F.broadcast(bitmap), F.floor(slot("node") / 64) == F.col("word")).where(F.col("bits").bitwiseAND(bit("node")) != 0).select("node", "text")
     left = maybe.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("other")), "node")
     both = left.select(F.col("node").alias("u"), F.col("text").alias("a"), F.col("other").alias("v")).join(maybe.toDF("r", "b"), F.col("v") == F.col("r"))
-    return materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct(), "confirmed")
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long").distinct(), "confirmed")
 
 
 def near_links(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = BLOCK) -> DataFrame:

@@ -22,6 +22,8 @@ from .common import discard, materialize, text_or_empty, written
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 #: Halves in one automaton, on average at most.
 SHARD = 50_000
+#: Pairs of outer characters up to which their table goes to every task.
+FEW_PAIRS = 100_000
 #: Words that share a half and a length, up to which each is verified on its own.
 FEW = 16
 #: Words shorter than this have halves of one character, and no near words here.
@@ -163,9 +165,10 @@ def near_words(words: DataFrame, shard: int = SHARD) -> DataFrame:
     outer: list[Column] = [F.substring("word", 1, 2), F.substring("word", -2, 2)]
     ends = F.explode(F.array(*[F.struct(F.lit(end).alias("end"), o.alias("outer")) for end, o in enumerate(outer)]))
     halves = known.select("word", "n", ends.alias("e")).select("word", "n", "e.end", "e.outer")
-    # One row per end and pair of characters; a pair of letters bounds them where words are runs of letters.
+    # One row per end and pair of characters: some 16,000 at most where words are runs of Latin letters.
     parts = halves.groupBy("end", "outer").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("parts"))
-    dealt = halves.join(parts, ["end", "outer"])
+    parts = materialize(parts, "parts")
+    dealt = halves.join(F.broadcast(parts) if parts.count() <= FEW_PAIRS else parts, ["end", "outer"])
     own = dealt.withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")).withColumn("scanned", F.lit(False))
     scans = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("scanned", F.lit(True))
     key = ["end", "outer", "part"]

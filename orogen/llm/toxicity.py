@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ASCII_LOWER, SpanHasher, map_batches, materialize, mix, quoted, slices, text_or_empty, utf8, word_spans
+from .common import ASCII_LOWER, SpanHasher, lean, map_batches, materialize, mix, quoted, slices, text_or_empty, utf8, word_spans
 
 BITS = 24
 MIN_DOCS = 3
@@ -175,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_ro
             model = train([rows[i] for i in order], np.array([labels[i] for i in order], float), learner)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    packed = sampled_texts(docs, ids, max_bytes).mapInArrow(extract, "id long, y int, x binary")
-    found = packed.repartition(1).mapInArrow(learn, "model binary").first()
+    packed = sampled_texts(docs, ids, max_bytes).mapInArrow(lean(extract), "id long, y int, x binary")
+    found = packed.repartition(1).mapInArrow(lean(learn), "model binary").first()
     return pickle.loads(found["model"]) if found else Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
 
 
