@@ -32,12 +32,12 @@ def glcm(z, distances, angles, levels):
     for d in distances:
         for a in np.radians(angles):
             dy, dx = int(round(np.sin(a) * d)), int(round(np.cos(a) * d))
+            if abs(dy) >= h or abs(dx) >= w:  # beyond the patch: no pairs
+                total[:, 4] += 1.0
+                continue
             here = q[:, max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w - max(dx, 0)].reshape(n, -1)
             there = q[:, max(dy, 0) : h - max(-dy, 0), max(dx, 0) : w - max(-dx, 0)].reshape(n, -1)
             i, j = np.concatenate([here, there], axis=1), np.concatenate([there, here], axis=1)
-            if not i.shape[1]:
-                total[:, 4] += 1.0
-                continue
             diff = np.abs(i - j)
             cell = np.sort((np.arange(n)[:, None] * levels + i) * levels + j, axis=1).ravel()
             cell, count = np.unique(cell, return_counts=True)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import decomposition as shapes
 from ..functions import linear
 from ..functions.registry import DECOMPOSITIONS, UPSAMPLERS
+from . import running
 from .embed import spread
 
 Offsets = list[tuple[int, int]]
@@ -105,10 +106,30 @@ class Chain:
 
         return self.cells(grid, value)
 
+    def windowed(self, grid: str, use: Callable[[str, Callable[[str], str]], str]) -> str:
+        """A grid from rows of another by ``running``; the steps between are given up."""
+        began = self.steps
+        stepped = lambda text: self.step(F.expr(text))
+        out = stepped(f"flatten({use(stepped(running.as_rows(grid, self.height, self.width)), stepped)})")
+        self.df = self.df.drop(*[f"s{k}" for k in range(began + 1, self.steps)])
+        return out
+
+    def flat_extreme(self, grid: str, offsets: Offsets, largest: bool) -> str:
+        return self.windowed(grid, lambda rows, step: running.extreme(rows, self.height, self.width, offsets, largest, step))
+
+    def box(self, grid: str, size: int) -> str:
+        """Mean over a square, edges reflected."""
+        total = self.windowed(grid, lambda rows, step: running.box_total(rows, self.height, self.width, size, step))
+        return self.step(F.transform(total, lambda v: v / float(size * size)))
+
     def least(self, grid: str, offsets: Offsets, heights: list[float] | None = None) -> str:
+        if heights is None:
+            return self.flat_extreme(grid, offsets, False)
         return self.around(grid, offsets, lambda o, read, _: F.array_min(F.transform(o, lambda k: read(k) - k["number"])), numbers=heights)
 
     def most(self, grid: str, offsets: Offsets, heights: list[float] | None = None) -> str:
+        if heights is None:
+            return self.flat_extreme(grid, offsets, True)
         return self.around(grid, offsets, lambda o, read, _: F.array_max(F.transform(o, lambda k: read(k) + k["number"])), sign=-1, numbers=heights)
 
     def opened(self, grid: str, offsets: Offsets) -> str:
@@ -133,7 +154,7 @@ def _smooth(c: Chain, grid: str, sigma: float, mode: str = "reflect") -> str:
 
 
 def _box(c: Chain, grid: str, size: int) -> str:
-    return c.filtered(grid, lambda n: linear.uniform_matrix(n, int(size)))
+    return c.box(grid, int(size))
 
 
 def _bilateral(c: Chain, d: int, sigma_color: float, sigma_space: float) -> str:

@@ -15,7 +15,7 @@ from .. import config as cfg
 from ..functions import analysis, linear, spectral, terrain, texture
 from ..functions import decomposition as dec
 from ..functions.registry import DECOMPOSITIONS, TERRAIN, TEXTURE, UPSAMPLERS
-from ..operators import blocks, build, cells, coords, embed, evaluate, filters, overlay, relief, tiling, vectors
+from ..operators import blocks, build, cells, coords, embed, evaluate, filters, overlay, relief, surfaces, tiling, vectors
 from ..operators.index import Index
 from ..sources import fixtures as fx
 from ..sources import elevation, storage
@@ -40,6 +40,20 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     return add
 
 
+def _patches16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.as_arrays(fx.p16(spark, sf_dir), 16)
+
+
+def _instead_of(name: str):
+    """A query by an operator, checked by the SQL that is registered under its name."""
+
+    def add(func: Query) -> Query:
+        QUERIES[name] = func
+        return func
+
+    return add
+
+
 def with_views(sql: str, views) -> str:
     """SQL with the fixture views it names put before it."""
     ctes = ",\n".join(fx.SQL[v] for v in views)
@@ -790,11 +804,99 @@ def variant_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best(evaluate.with_gain(found, "raw")).select("variant", rounded("ratio"), rounded("gain_pct", 2))
 
 
-# --- kernels of terrain, texture, statistics and spectra, held to the SQL of the same measures ----------------------------
+# --- terrain, statistics and co-occurrence in the patch's row, checked by SQL over exploded cells --------------------------
 
 
-def _patches16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.as_arrays(fx.p16(spark, sf_dir), 16)
+_SIX = ("mean", "std", "energy", "entropy", "value_range", "median")
+
+
+def _surface_stats(name: str) -> None:
+    """``<name>_stats``: six statistics of a derivative at its default parameters, by column expressions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = surfaces.six_stats(surfaces.surface(_patches16(spark, sf_dir), name, 16, 16), name == "aspect")
+        return found.select("patch_id", *[rounded(c) for c in _SIX])
+
+    QUERIES[f"{name}_stats"] = run
+
+
+for _name in surfaces.SURFACES:
+    _surface_stats(_name)
+
+
+@_instead_of("residual_stats6")
+def residual_stats6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces.six_stats(_patches16(spark, sf_dir)).select("patch_id", *[rounded(c) for c in _SIX])
+
+
+@_instead_of("glcm_props")
+def glcm_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surfaces.cooccurrence(fx.patches(spark, sf_dir), 8, 8, levels=16)
+    return found.select("patch_id", *[rounded(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm_value")])
+
+
+query("glcm_props_64", shared_sql.glcm(64).replace("p8", "p64"), ("p64",))(
+    lambda spark, sf_dir: surfaces.cooccurrence(fx.patches64(spark, sf_dir), 64, 64, levels=64).select(
+        "patch_id", *[rounded(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm_value")]
+    )
+)
+
+
+def _fold(v: str, n: int) -> str:
+    """Where a place beyond the edge reads if edges are reflected."""
+    m = f"((({v}) % {2 * n} + {2 * n}) % {2 * n})"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 1} - {m} END"
+
+
+def _window_sql(source: str, n: int, size: int, total: str) -> str:
+    """``b``: a total over the cells ``e`` of a square around each cell ``c``."""
+    first = -(size // 2)
+    return f"""WITH near AS (SELECT a.i AS o, {_fold('a.i + d.i', n)} AS r FROM range({n}) AS a(i) CROSS JOIN range({first}, {first + size}) AS d(i)),
+b AS (SELECT c.patch_id, c.y, c.x, {total} AS v FROM {source} AS c JOIN near AS ny ON ny.o = c.y JOIN near AS nx ON nx.o = c.x JOIN {source} AS e ON e.patch_id = c.patch_id AND e.y = ny.r AND e.x = nx.r GROUP BY c.patch_id, c.y, c.x)
+SELECT patch_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, {r('v')} AS z FROM b"""
+
+
+_WINDOWS = {
+    "tpi": ({"radius": 10}, 21, "max(c.z) - avg(e.z)"),
+    "tri": ({"window_size": 21}, 21, "avg(abs(e.z - c.z))"),
+    "roughness": ({"window_size": 21}, 21, "sqrt(greatest(avg(e.z * e.z) - avg(e.z) * avg(e.z), 0))"),
+}
+
+
+def _wide_window(name: str, n: int, source: str, patches: Query) -> None:
+    params, size, total = _WINDOWS[name]
+
+    @query(f"{name}_radius10_{n}", _window_sql(source, n, size, total), (source,))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return surfaces.cells(surfaces.surface(patches(spark, sf_dir), name, n, n, **params), n).select("patch_id", "y", "x", rounded("z"))
+
+
+for _name in _WINDOWS:
+    _wide_window(_name, 16, "p16", lambda spark, sf_dir: tiling.as_arrays(fx.p16(spark, sf_dir), 16))
+    _wide_window(_name, 64, "p64", fx.patches64)
+
+
+def _disc_sql(radius: int, n: int) -> str:
+    """A cell less an opening over a disc: the least, then the largest under it, looked up in a list of the patch's cells."""
+    under = f"list_transform(dc.d, lambda o: s.g[fd.f[c.y + o.dy + {radius + 1}] * {n} + fd.f[c.x + o.dx + {radius + 1}] + 1])"
+    step = lambda out, source, pick: f"""{out} AS MATERIALIZED (SELECT patch_id, list(z ORDER BY y, x) AS g FROM (
+  SELECT s.patch_id, c.y, c.x, {pick}({under}) AS z FROM {source} AS s CROSS JOIN cl AS c CROSS JOIN dc CROSS JOIN fd) AS o GROUP BY patch_id)"""
+    return f"""WITH fd AS (SELECT list(CAST({_fold(f'a.i - {radius}', n)} AS BIGINT) ORDER BY a.i) AS f FROM range({n + 2 * radius}) AS a(i)),
+dc AS (SELECT list({{'dy': a.i, 'dx': b.i}}) AS d FROM range({-radius}, {radius + 1}) AS a(i) CROSS JOIN range({-radius}, {radius + 1}) AS b(i) WHERE a.i * a.i + b.i * b.i <= {radius**2}),
+cl AS (SELECT a.i AS y, b.i AS x FROM range({n}) AS a(i) CROSS JOIN range({n}) AS b(i)),
+g0 AS MATERIALIZED (SELECT patch_id, list(z ORDER BY y, x) AS g FROM p64 GROUP BY patch_id),
+{step('lo', 'g0', 'list_min')},
+{step('op', 'lo', 'list_max')}
+SELECT p.patch_id, CAST(p.y AS BIGINT) AS y, CAST(p.x AS BIGINT) AS x, {r(f'op.g[p.y * {n} + p.x + 1]')} AS trend, {r(f'p.z - op.g[p.y * {n} + p.x + 1]')} AS residual FROM p64 AS p JOIN op ON op.patch_id = p.patch_id"""
+
+
+@query("decomp_tophat_64", _disc_sql(20, 64), ("p64",))
+def decomp_tophat_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top-hat at its default size, on patches of the default size."""
+    return filters.decompose(fx.patches64(spark, sf_dir), "tophat", 64, 64).select("patch_id", "y", "x", rounded("trend"), rounded("residual"))
+
+
+# --- kernels of terrain, texture, statistics and spectra, held to the SQL of the same measures ----------------------------
 
 
 def _kernel(measure_of: str, columns: tuple[str, ...], source: Callable[[SparkSession, str], DataFrame], measure, at: tuple[int, ...] | None = None, digits: int = 6) -> None:
@@ -809,7 +911,6 @@ def _kernel(measure_of: str, columns: tuple[str, ...], source: Callable[[SparkSe
     QUERIES[f"kernel_{measure_of}"], ORACLES[f"kernel_{measure_of}"] = run, ORACLES[measure_of]
 
 
-_SIX = ("mean", "std", "energy", "entropy", "value_range", "median")
 for _name in ("slope", "aspect", "curvature", "tpi", "tri", "roughness"):
     _kernel(f"{_name}_stats", _SIX, _patches16, lambda z, name=_name: terrain.stats(name, TERRAIN.run(name, z)))
 _kernel("residual_stats6", _SIX, _patches16, analysis.six_stats)

@@ -50,6 +50,19 @@ def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.patch_cells(emb_raster(spark, sf_dir), 16)
 
 
+def patches64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``patch_id, h, w, data``: 64 vectors in a row are a patch of 64 by 64 cells; rows without a vector are gaps."""
+    y = F.col("vec_id") % 64
+    held = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 64).cast("long").alias("patch_id")).agg(F.map_from_entries(F.collect_list(F.struct(y.alias("y"), F.col("embedding").cast("array<double>").alias("v")))).alias("m"))
+    return held.select("patch_id", F.lit(64).alias("h"), F.lit(64).alias("w"), F.expr("flatten(transform(sequence(0L, 63L), y -> coalesce(m[y], array_repeat(cast(null as double), 64))))").alias("data"))
+
+
+def p64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = patches64(spark, sf_dir).select("patch_id", F.posexplode("data").alias("i", "z"))
+    mean = rows.groupBy("patch_id").agg(F.avg("z").alias("m"))
+    return rows.join(mean, "patch_id").select("patch_id", F.floor(F.col("i") / 64).cast("long").alias("y"), (F.col("i") % 64).cast("long").alias("x"), F.coalesce("z", "m").alias("z"))
+
+
 def vec_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("tile_group"))
 
@@ -98,7 +111,7 @@ def nums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(256).withColumnRenamed("id", "i")
 
 
-VIEWS = {f.__name__: f for f in (emb_raster, p8, evt_raster, p16, vec_index, corpus_patches, corpus_tiles, corpus_meta, cust_points, nums)}
+VIEWS = {f.__name__: f for f in (emb_raster, p8, evt_raster, p16, p64, vec_index, corpus_patches, corpus_tiles, corpus_meta, cust_points, nums)}
 
 #: The same views for the SQL check, as common table expressions.
 SQL = {
@@ -112,6 +125,9 @@ evt_raster AS (SELECT a.y, b.x, c.z FROM (SELECT unnest(range(0, (SELECT max(y)
 p16_boxes AS (SELECT gy // 16 AS r, gx // 16 AS c, avg(z) AS m, row_number() OVER (ORDER BY gy // 16, gx // 16) - 1 AS patch_id FROM p16_raster GROUP BY 1, 2),
 p16 AS (SELECT b.patch_id, a.i AS y, k.i AS x, coalesce(e.z, b.m) AS z FROM p16_boxes AS b CROSS JOIN range(16) AS a(i) CROSS JOIN range(16) AS k(i)
   LEFT JOIN p16_raster AS e ON e.gy = b.r * 16 + a.i AND e.gx = b.c * 16 + k.i)""",
+    "p64": """p64_m AS (SELECT vec_id // 64 AS patch_id, avg(CAST(u.v AS DOUBLE)) AS m FROM embeddings, unnest(embedding) AS u(v) GROUP BY 1),
+p64 AS (SELECT p.patch_id, a.i AS y, k.i AS x, coalesce(CAST(e.embedding[k.i + 1] AS DOUBLE), p.m) AS z FROM p64_m AS p CROSS JOIN range(64) AS a(i) CROSS JOIN range(64) AS k(i)
+  LEFT JOIN embeddings AS e ON e.vec_id = p.patch_id * 64 + a.i)""",
     "vec_index": "vec_index AS (SELECT vec_id AS patch_id, CAST(embedding AS DOUBLE[]) AS embedding, label AS tile_group FROM embeddings)",
     "corpus_patches": """corpus_patches AS (SELECT vec_id AS patch_id, printf('R%02d_C%02d', CAST(vec_id // 250 AS INTEGER), CAST((vec_id // 25) % 10 AS INTEGER)) AS tile_id,
   CAST(vec_id % 25 AS INTEGER) AS local_id, CAST(64 * ((vec_id % 25) // 5) AS INTEGER) AS y_start, CAST(64 * (vec_id % 5) AS INTEGER) AS x_start, 64 AS patch_size FROM embeddings)""",
