@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import coords, vectors
+from .operators import cells, coords, vectors
+from .operators.cells import Cells
+from .operators.index import Index
+from .sources import dem
+from .sources.storage import stored
 
 
 class ServiceError(Exception):
@@ -25,6 +29,25 @@ class Service:
     tiles: DataFrame | None = None
     meta: DataFrame | None = None
     space: str = "cosinesimil"
+    cells: Cells | None = None
+
+    @staticmethod
+    def saved(spark: SparkSession, index: str, corpus: str | None = None, metadata: str | None = None) -> Service:
+        """Over a saved index; with a build's output folder and the corpus's JSON searches by coordinates work as well.
+
+        The index's vectors are normalised once and kept in the shared folder (by cell, if the index is approximate).
+        """
+        own = Index.load(spark, index)
+        if own.cells is None:
+            held = stored(own._normalized(own.vectors))
+        else:
+            held = cells.kept(own._normalized(own.vectors), own.cells)
+        if corpus is None or metadata is None:
+            return Service(held, space=own.space, cells=own.cells)
+        named = spark.read.parquet(f"{corpus}/tiles").withColumns(
+            {c: F.regexp_extract("tile_id", pattern, 1).cast("int") for c, pattern in (("tile_row", r"R(\d+)"), ("tile_col", r"C(\d+)"))}
+        )
+        return Service(held, own.patches, named, dem.corpus_metadata(spark, metadata), own.space, own.cells)
 
     @staticmethod
     def over(spark: SparkSession, sf_dir: str) -> Service:
@@ -51,7 +74,8 @@ class Service:
         asked = index.where(F.col("patch_id") == patch_id).select(F.col("patch_id").alias("query_id"), "embedding")
         if asked.isEmpty():
             raise ServiceError(404, f"no patch {patch_id}")
-        found = vectors.knn(index, asked, k, self.space).select("rank", "patch_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+        near = vectors.knn(index, asked, k, self.space) if self.cells is None else cells.search(index, asked, self.cells, k)
+        found = near.select("rank", "patch_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
         return found if self.meta is None else found.join(coords.boxes(self.patches, self.tiles, self.meta), "patch_id", "left")
 
     def query_by_coords(self, lon: float | None = None, lat: float | None = None, x: float | None = None, y: float | None = None, crs: str | None = None, k: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config as cfg
-from .api import Service
+from .api import Service, ServiceError
 from .http import server
 from .operators import build as corpus
 from .operators import coords, evaluate, vectors
@@ -34,6 +34,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--max-tiles", type=int)
     p.add_argument("--space", choices=vectors.SPACES, help="distance, in place of the configuration's")
     p.add_argument("--no-normalize", action="store_true", help="index vectors as they are")
+    p.add_argument("--approximate", action="store_true", help="an index by cells, of which a search reads the nearest")
+    p.add_argument("--cells", type=int, help="number of cells; the square root of the vectors without")
+    p.add_argument("--probes", type=int, help="cells that a search reads; as many as a sample needs without")
+    p.add_argument("--M", type=int, default=16, help="kept in the manifest")
     p = commands.add_parser("separability", help="how well signatures tell tiles apart: of one configuration, or of the residual variants")
     p.add_argument("source")
     p.add_argument("--config", help="a YAML file, or the name of a preset; without it the variants are compared")
@@ -46,8 +50,16 @@ def main(argv: list[str] | None = None) -> int:
     p = commands.add_parser("serve", help="answer searches of an index over HTTP")
     p.add_argument("index")
     p.add_argument("--port", type=int, default=8000)
-    p = commands.add_parser("query", help="nearest patches of a patch, or of the patch at a pixel of a tile")
+    p.add_argument("--corpus", help="a build's output folder, for searches by coordinates")
+    p.add_argument("--metadata", help="the corpus's JSON, for searches by coordinates")
+    p = commands.add_parser("query", help="nearest patches of a patch, of the patch at a pixel of a tile, or of that at a place")
     p.add_argument("index")
+    p.add_argument("--lon", type=float)
+    p.add_argument("--lat", type=float)
+    p.add_argument("--x", type=float, help="projected feet")
+    p.add_argument("--y", type=float, help="projected feet")
+    p.add_argument("--corpus", help="a build's output folder, for --lon and --lat or --x and --y")
+    p.add_argument("--metadata", help="the corpus's JSON, for the same")
     p.add_argument("--id", type=int)
     p.add_argument("--tile")
     p.add_argument("--coords", help="y,x in pixels")
@@ -72,7 +84,7 @@ def _build(spark: SparkSession, args) -> int:
         print("\n".join(wrong), file=sys.stderr)
         return 1
     try:
-        found = corpus.build(spark, args.source, args.output, config, args.patch_size, args.overlap, args.min_valid, not args.no_resume, args.dry_run, args.max_tiles, args.pattern)
+        found = corpus.build(spark, args.source, args.output, config, args.patch_size, args.overlap, args.min_valid, not args.no_resume, args.dry_run, args.max_tiles, args.pattern, index={"approximate": args.approximate, "n_cells": args.cells, "probes": args.probes, "m": args.M})
     except ValueError as error:
         print(error, file=sys.stderr)
         return 1
@@ -81,6 +93,8 @@ def _build(spark: SparkSession, args) -> int:
 
 
 def _query(spark: SparkSession, args) -> int:
+    if args.lon is not None or args.x is not None:
+        return _query_place(spark, args)
     index = Index.load(spark, args.index)
     asked = args.id
     if asked is None and args.coords:
@@ -99,6 +113,19 @@ def _query(spark: SparkSession, args) -> int:
     return 0
 
 
+def _query_place(spark: SparkSession, args) -> int:
+    if not (args.corpus and args.metadata):
+        print("a place needs --corpus and --metadata", file=sys.stderr)
+        return 1
+    try:
+        found = Service.saved(spark, args.index, args.corpus, args.metadata).query_by_coords(args.lon, args.lat, args.x, args.y, k=args.k)
+    except ServiceError as error:
+        print(error, file=sys.stderr)
+        return 1
+    found.orderBy("rank").show(args.k, truncate=False)
+    return 0
+
+
 def _info(spark: SparkSession, args) -> int:
     index = Index.load(spark, args.index)
     index.stats().show(truncate=False)
@@ -145,8 +172,7 @@ def _separability(spark: SparkSession, args) -> int:
 
 
 def _serve(spark: SparkSession, args) -> int:
-    index = Index.load(spark, args.index)
-    service = Service(stored(index._normalized(index.vectors)), space=index.space)
+    service = Service.saved(spark, args.index, args.corpus, args.metadata)
     with server(service, args.port) as running:
         print(f"http://127.0.0.1:{running.server_address[1]}", flush=True)
         running.serve_forever()

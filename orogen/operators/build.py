@@ -90,7 +90,7 @@ def committed(spark: SparkSession, store: str) -> DataFrame | None:
 
 def build(
     spark: SparkSession, source: str, out: str, config: SignatureConfig, patch_size: int = 64, overlap: int = 0, min_valid: float = 0.8, resume: bool = True,
-    dry_run: bool = False, max_tiles: int | None = None, pattern: str = "*_dem.npy", tiles_per_commit: int | None = None, approximate: bool = False,
+    dry_run: bool = False, max_tiles: int | None = None, pattern: str = "*_dem.npy", tiles_per_commit: int | None = None, index: dict | None = None,
 ) -> DataFrame:
     """Embed the tiles under ``source`` that have no commit record yet and save an index of all to ``out/index``.
 
@@ -98,7 +98,8 @@ def build(
     failures, and saves the counts of all failures to ``out/failures``; a dry run only lists the tiles that would be
     worked on. Each ``tiles_per_commit`` tiles (one per core) are a commit, so a build that dies goes on after the last
     of these. ``.npy`` grids are read in blocks of rows, other files whole by the task that cuts them. Counts come from
-    the commit records, so a resumed build counts all and the vectors are read once for them.
+    the commit records, so a resumed build counts all and the vectors are read once for them. ``index`` holds options of
+    ``Index.build`` (an approximate index, its cells and breadth).
     """
     listed = elevation.listed(spark, source, pattern)
     if max_tiles is not None:
@@ -132,7 +133,7 @@ def build(
     failures(known).write.mode("overwrite").parquet(f"{out}/failures")
     saved = number(_saved(spark, f"{store}/data"), described)
     meta = saved.drop("embedding", "failed", "tile_h", "tile_w").withColumn("patch_size", F.lit(patch_size))
-    Index.build(saved, meta, config.normalize, config.space, config.to_dict(), approximate).save(f"{out}/index")
+    Index.build(saved, meta, config.normalize, config.space, config.to_dict(), **(index or {})).save(f"{out}/index")
     return described
 
 

@@ -8,6 +8,7 @@ never opened. How many cells a query probes is the search breadth, measured on t
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
 from . import blocks, vectors
 
 #: Rows that centres are learned from at most, and numbers in the table of centres (which goes to every task).
@@ -88,6 +90,9 @@ def fit(rows: DataFrame, space: str = "cosinesimil", count: int | None = None, p
     drawn = ready.orderBy(F.xxhash64("patch_id"), "patch_id").limit(sample)
     most = max(1, min(size["n"], sample) // 10)
     wanted = max(1, min(count or round(math.sqrt(size["n"])), most, CENTRE_NUMBERS // max(size["d"], 1)))
+    if wanted == 1:  # k-means knows no single cell; its centre is the mean
+        rows = sorted(vectors.parameters(drawn).select("d", "shift").collect())
+        return Cells(np.array([[r["shift"] for r in rows]]), 1, space)
     learned = KMeans(k=wanted, seed=17, maxIter=10, featuresCol="v", predictionCol="p").fit(drawn.select(array_to_vector("embedding").alias("v")))
     own = Cells(np.stack(learned.clusterCenters()), 1, space)
     return Cells(own.centres, min(probes or breadth(own, drawn, k), own.count), space)
@@ -120,6 +125,13 @@ def save_placed(placed: DataFrame, cells: Cells, path: str) -> None:
     dealt.repartition("cell", "file").drop("file", "files").write.option("maxRecordsPerFile", ROWS_A_FILE).mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
 
 
+def kept(placed: DataFrame, cells: Cells) -> DataFrame:
+    """Rows with their cell, saved by cell in the shared folder."""
+    path = f"{shared_folder(placed.sparkSession)}/cells-{uuid.uuid4().hex}"
+    save_placed(placed, cells, path)
+    return placed.sparkSession.read.parquet(f"{path}/cells")
+
+
 def load(spark: SparkSession, path: str, space: str, probes: int) -> tuple[DataFrame, Cells]:
     held = spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow()
     rows = spark.read.parquet(f"{path}/cells")

@@ -30,7 +30,7 @@ class Index:
     @staticmethod
     def build(
         embedded: DataFrame, patches: DataFrame, normalize: bool = True, space: str = "cosinesimil", signature: dict | None = None,
-        approximate: bool = False, n_cells: int | None = None, probes: int | None = None,
+        approximate: bool = False, n_cells: int | None = None, probes: int | None = None, m: int = 16,
     ) -> Index:
         """An index of ``embedded`` (patch_id, embedding). If ``approximate``, its vectors are dealt to ``n_cells`` cells
         (by default the square root of their number) and a query probes ``probes`` of them (by default as many as a
@@ -40,7 +40,7 @@ class Index:
         if embedded.isEmpty():
             raise ValueError("an index needs at least one vector")
         own = embedded.select("patch_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        index = Index(own, patches, vectors.parameters(own) if normalize else None, space, signature)
+        index = Index(own, patches, vectors.parameters(own) if normalize else None, space, signature, m)
         if approximate:
             ready = index._normalized(own)
             index.cells = cells.fit(ready, space, n_cells, probes)

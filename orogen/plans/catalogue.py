@@ -191,24 +191,6 @@ def reconstruct_mean_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.reconstruct(cells, shape).select("y", "x", rounded("z"))
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return fx.read(spark, sf_dir, "customer").select(((key * 31) % 520 - 5).alias("y"), ((key * 17) % 70 - 3).alias("x")).distinct()
-
-
-def _patch_at(name: str, overlap: int) -> None:
-    sql = _tiles_sql("emb_raster", 16, overlap, 0.8, True) + """, p AS (SELECT DISTINCT (c_custkey * 31) % 520 - 5 AS y, (c_custkey * 17) % 70 - 3 AS x FROM customer)
-SELECT p.y, p.x, min(t.patch_id) AS patch_id FROM p LEFT JOIN t ON p.y >= t.y_start AND p.y < t.y_start + 16 AND p.x >= t.x_start AND p.x < t.x_start + 16 GROUP BY p.y, p.x"""
-
-    @query(name, sql, ("emb_raster",))
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tiling.patch_at(_points(spark, sf_dir), tiling.tile(fx.emb_raster(spark, sf_dir), 16, overlap), 16, overlap)
-
-
-_patch_at("patch_at_coords", 0)
-_patch_at("patch_at_coords_overlap", 4)
-
-
 def _points_of(spark: SparkSession, sf_dir: str, shape: DataFrame) -> DataFrame:
     """Points on all rows of a raster and a few beyond its edges, as far as there are customers."""
     key = F.col("c_custkey")
@@ -787,7 +769,6 @@ QUERIES |= {
     "corpus_bounds": lambda spark, sf_dir: coords.bounds(fx.corpus_meta(spark, sf_dir)).select("x_min", "y_min", "x_max", "y_max", *[rounded(c, 8) for c in _DEGREES]),
     "lcc_inverse": lambda spark, sf_dir: coords.to_wgs84(fx.cust_points(spark, sf_dir)).select("c_custkey", rounded("lon", 8), rounded("lat", 8)),
     "lcc_forward": lambda spark, sf_dir: coords.from_wgs84(coords.to_wgs84(fx.cust_points(spark, sf_dir)).select("c_custkey", "lon", "lat")).select("c_custkey", rounded("x", 4), rounded("y", 4)),
-    "display_click_to_pixel": lambda spark, sf_dir: _clicks(spark, sf_dir, spark.range(1).select(F.lit(500).alias("height"), F.lit(64).alias("width"))),
     "display_click_to_pixel_whole": lambda spark, sf_dir: _clicks(spark, sf_dir, tiling.shape_of(fx.emb_raster(spark, sf_dir))),
     "hillshade": lambda spark, sf_dir: relief.hillshade(fx.p16(spark, sf_dir)).select("patch_id", "y", "x", rounded("shade")),
 }

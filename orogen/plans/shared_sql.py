@@ -211,11 +211,8 @@ c AS (SELECT patch_id, rnk, CAST(floor(100 + 100 * (distance / d)) AS INTEGER) A
 SELECT patch_id, rnk, CASE WHEN patch_id = 7 THEN '#00ff00' ELSE concat('#ff', substr('0123456789abcdef', CAST(floor(g / 16) AS INTEGER) + 1, 1), substr('0123456789abcdef', g % 16 + 1, 1), substr('0123456789abcdef', CAST(floor(b / 16) AS INTEGER) + 1, 1), substr('0123456789abcdef', b % 16 + 1, 1)) END AS color FROM c""",
     "similarity_colormap": """SELECT i AS label, CAST(CASE WHEN i = 0 THEN 0 ELSE floor(255 * ((i - 1) / CAST(99 AS DOUBLE))) END AS BIGINT) AS r, CAST(CASE WHEN i = 0 THEN 0 ELSE floor(100 * (1 - abs(2 * ((i - 1) / CAST(99 AS DOUBLE)) - 1))) END AS BIGINT) AS g,
   CAST(CASE WHEN i = 0 THEN 0 ELSE floor(255 * (1 - (i - 1) / CAST(99 AS DOUBLE))) END AS BIGINT) AS b, CAST(CASE WHEN i = 0 THEN 0 ELSE 180 END AS BIGINT) AS a FROM nums WHERE i <= 100""",
-    "display_click_to_pixel": "SELECT c_custkey, CAST(least(greatest(floor((c_custkey % 500) * (500 / CAST(400 AS DOUBLE))), 0), 499) AS BIGINT) AS py, CAST(least(greatest(floor((c_custkey % 97) * (64 / CAST(90 AS DOUBLE))), 0), 63) AS BIGINT) AS px FROM customer",
     "display_click_to_pixel_whole": """WITH sh AS (SELECT max(y) + 1 AS hh, max(x) + 1 AS ww FROM emb_raster)
 SELECT c_custkey, CAST(least(greatest(floor((c_custkey % 500) * (hh / CAST(400 AS DOUBLE))), 0), hh - 1) AS BIGINT) AS py, CAST(least(greatest(floor((c_custkey % 97) * (ww / CAST(90 AS DOUBLE))), 0), ww - 1) AS BIGINT) AS px FROM customer CROSS JOIN sh""",
-    "fk_grid_pivot": """WITH g AS (SELECT CAST(tile % 4 AS BIGINT) AS f, CAST(patch_id % 4 AS BIGINT) AS k, z AS s FROM p8 WHERE y = 0 AND x = 0)
-SELECT f, """ + ", ".join(f"{r(f'avg(CASE WHEN k = {k} THEN s END)')} AS k{k}" for k in range(4)) + " FROM g GROUP BY f",
     "gray_scott_step": f"""WITH b AS (SELECT patch_id, min(z) AS mn, max(z) AS mx FROM p8 GROUP BY patch_id),
 v AS (SELECT p.patch_id, p.y, p.x, (z - mn) / (mx - mn) / 2 AS v FROM p8 AS p JOIN b ON p.patch_id = b.patch_id),
 n AS (SELECT v.patch_id, v.y, v.x, v.v, 1 - v.v AS u, u1.v + d1.v + l1.v + r1.v - 4 * v.v AS lv FROM v

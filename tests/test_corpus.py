@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from orogen import cli, config
+from orogen.api import Service
 from orogen.operators import build, coords, evaluate
 from orogen.operators.index import Index
 from orogen.sources import dem
@@ -71,6 +72,20 @@ def test_command_line(spark, tiles, tmp_path, capsys):
     assert cli.main(["check-coords", str(meta)]) == 0
     assert cli.main(["check-coords", str(meta), "--lat", "10"]) == 1
     assert cli.main(["check-coords", str(tmp_path / "none.json")]) == 2
+    near = str(tmp_path / "near")
+    assert cli.main(["build", str(tiles), "--output", near, "--config", str(tmp_path / "c.yaml"), "--patch-size", "16", "--approximate", "--cells", "1", "--M", "24"]) == 0
+    assert Index.load(spark, f"{near}/index").m == 24
+    place = ["--corpus", out, "--metadata", str(meta), "-k", "2"]
+    capsys.readouterr()
+    for index in (f"{out}/index", f"{near}/index"):
+        assert cli.main(["query", index, "--x", "1979010", "--y", "739990", *place]) == 0
+        shown = [[c.strip() for c in line.split("|")] for line in capsys.readouterr().out.splitlines() if line.startswith("|")]
+        assert dict(zip(shown[0], shown[1], strict=True))["patch_id"] == "0" and "R00_C00" in shown[1]
+        assert cli.main(["query", index, "--x", "1", "--y", "2", *place]) == 1
+    assert cli.main(["query", f"{out}/index", "--lon", "-82.4590", "--lat", "40.0279"]) == 1
+    service = Service.saved(spark, f"{near}/index", near, str(meta))
+    assert service.health() == {"status": "ok", "index_loaded": True, "coords_available": True}
+    assert service.query_by_coords(x=1979010.0, y=739990.0, k=2).count() == 2
 
 
 def test_stream_reads_each_file_once(spark, tiles, tmp_path):
