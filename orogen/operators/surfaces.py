@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spectral
 from ..functions.registry import TERRAIN
 from . import running
 from .filters import Chain
@@ -171,3 +172,61 @@ def cooccurrence(patches: DataFrame, height: int, width: int, levels: int = 64,
     names = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm_value")
     mean = lambda i: f"({' + '.join([f'get({f}, {i})' for f in found] + [f'{float(missing if i == 4 else 0)}D'])}) / {many}"
     return c.df.select("patch_id", *[F.expr(mean(i)).alias(n) for i, n in enumerate(names)])
+
+
+def _spectrum(c: Chain, grid: str) -> str:
+    """Centred magnitude of a patch's spectrum: a row–column transform, each a product with cosines and with sines."""
+    turn = lambda n: 2 * np.pi * np.outer(np.arange(n) - n // 2, np.arange(n)) / n
+    by_y, by_x = turn(c.height), turn(c.width)
+    even, odd = c.rows(grid, np.cos(by_y)), c.rows(grid, np.sin(by_y))
+    real = c.minus(c.columns(even, np.cos(by_x)), c.columns(odd, np.sin(by_x)))
+    imaginary = c.both(c.columns(odd, np.cos(by_x)), c.columns(even, np.sin(by_x)), lambda a, b: a + b)
+    return c.both(real, imaginary, lambda a, b: F.sqrt(a * a + b * b))
+
+
+def band_energy(patches: DataFrame, height: int, width: int) -> DataFrame:
+    """``patch_id, low_freq_energy, mid_freq_energy, high_freq_energy, freq_ratio_high_low``: mean magnitude of three rings
+    around frequency 0 (0 for a ring without cells), and the outer over the inner."""
+    c = Chain(patches, height, width)
+    m = _spectrum(c, "z")
+    y, x = np.mgrid[:height, :width]
+    r, top = np.hypot(y - height // 2, x - width // 2).ravel(), min(height // 2, width // 2)
+    rings = [np.flatnonzero(ring).tolist() for ring in (r < top * 0.2, (r >= top * 0.2) & (r < top * 0.6), r >= top * 0.6)]
+    held = c.table(rings, "array<array<int>>")
+    total = lambda k: f"aggregate(get({held}, {k}), 0D, (a, i) -> a + get(g, i)) / {max(len(rings[k]), 1)}D"
+    c.df = c.df.select("patch_id", F.expr(running.bound(m, lambda g: f"array({', '.join(total(k) for k in range(3))})")).alias("e"))
+    low, mid, high = (F.get("e", F.lit(k)) for k in range(3))
+    return c.df.select(
+        "patch_id", low.alias("low_freq_energy"), mid.alias("mid_freq_energy"), high.alias("high_freq_energy"), (high / (low + 1e-10)).alias("freq_ratio_high_low")
+    )
+
+
+def directional(patches: DataFrame, height: int, width: int, angles=(0.0, 45.0, 90.0, 135.0)) -> DataFrame:
+    """``patch_id, angle, energy, low, high, peak, centroid, spread``: statistics of the magnitudes on a line through the
+    centre of the spectrum, under a Hann window (defined as in ``functions.spectral.directional``)."""
+    c = Chain(patches, height, width)
+    window = c.table(np.outer(np.hanning(height), np.hanning(width)).ravel().tolist(), "array<double>")
+    m = _spectrum(c, c.both("z", window, lambda a, b: a * b))
+    lines = []
+    for angle in angles:
+        y, x = spectral.slice_cells(height, width, angle)
+        lines.append((y * width + x).tolist())
+    held = c.table(lines, "array<array<int>>")
+    rows = c.step(F.expr(running.bound(m, lambda g: f"transform({held}, l -> transform(l, i -> get({g}, i)))")))
+    n = len(lines[0]) // 2
+    power = "aggregate(v, 0D, (a, w) -> a + w * w)"
+    centre = "aggregate(sequence(0, size(v) - 1), 0D, (a, i) -> a + i * get(v, i) * get(v, i))"
+    around = "aggregate(sequence(0, size(v) - 1), 0D, (a, i) -> a + (i - t.c / t.p) * (i - t.c / t.p) * get(v, i) * get(v, i))"
+    part = lambda text: f"aggregate({text}, 0D, (a, w) -> a + w)"
+    # Mirrored frequencies are equal but for rounding, and the first of them is the peak.
+    peak = "array_position(transform(v, w -> round(w, 9)), array_max(transform(v, w -> round(w, 9)))) - 1"
+    fields = {
+        "energy": "ln(1 + t.p)", "low": part(f"slice(v, 1, {n // 3})"), "high": part(f"slice(v, {2 * n // 3 + 1}, size(v))"), "peak": f"({peak}) / {max(n, 1)}D",
+        "centroid": f"if(t.p > 0, t.c / t.p / {max(n, 1)}D, 0D)", "spread": f"if(t.p > 0, sqrt(greatest({around} / t.p, 0D)) / {max(n, 1)}D, 0D)",
+    }
+    measured = f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())})"
+    totals = f"get(transform(array(named_struct('p', {power}, 'c', {centre})), t -> {measured}), 0)"
+    found = c.step(F.expr(f"transform({rows}, v -> {totals})"))
+    out = c.df.select("patch_id", *[F.struct(F.lit(float(a)).alias("angle"), F.get(found, F.lit(k)).alias("s")).alias(f"a{k}") for k, a in enumerate(angles)])
+    # A row for each angle of a patch, as that is the result; no cell becomes a row.
+    return out.select("patch_id", F.explode(F.array(*[f"a{k}" for k in range(len(angles))])).alias("r")).select("patch_id", "r.angle", "r.s.*")

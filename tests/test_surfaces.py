@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from orogen.functions import analysis, decomposition, terrain, texture  # noqa: F401  fills the registries
+from orogen.functions import analysis, decomposition, spectral, terrain, texture  # noqa: F401  fills the registries
 from orogen.functions.registry import DECOMPOSITIONS, TERRAIN, TEXTURE
 from orogen.operators import filters, surfaces
 
@@ -64,3 +64,15 @@ def test_wide_footprints(spark, name, params, offsets):
     trend = each(each(z, min, 1), max, -1) if name == "tophat" else each(each(z, max, -1), min, 1)
     assert all(abs(r["trend"] - trend[r["y"], r["x"]]) < 1e-9 for r in rows) and len(rows) == 750
     assert np.allclose(DECOMPOSITIONS.run(name, z[None], **params)[0][0], trend)
+
+
+def test_spectra(stack):
+    z, table = stack
+    expected = analysis.bands(z)
+    found = {r[0]: r[1:] for r in surfaces.band_energy(table, 12, 7).collect()}
+    assert all(np.allclose(found[i][:3], expected[i][:3], atol=1e-9) for i in range(3))
+    assert all(np.isclose(found[i][3], expected[i][3], rtol=1e-6) for i in range(2))
+    expected = spectral.directional(z).reshape(3, 4, 6)
+    rows = {(r["patch_id"], r["angle"]): r[2:] for r in surfaces.directional(table, 12, 7).collect()}
+    assert len(rows) == 12
+    assert all(np.allclose(rows[i, a], expected[i, k], atol=1e-6) for i in range(2) for k, a in enumerate((0.0, 45.0, 90.0, 135.0)))
