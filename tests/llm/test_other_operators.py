@@ -169,6 +169,19 @@ def test_estimates_from_packed_bits():
 # --- URL lists --------------------------------------------------------------------------------------------------
 
 
+def test_groups_of_a_domain(spark, monkeypatch):
+    """Pairs under one domain meet its changes in several groups, and the joins may be shuffles."""
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    entries = [("com", "add", day(40)), *[("hot.com", action, day(n)) for n in range(0, 60, 4) for action in ["add", "remove"][n // 4 % 2 : n // 4 % 2 + 1]]]
+    listed = spark.createDataFrame(entries, "pattern string, action string, effective date")
+    captures = spark.createDataFrame([(i, f"http://h{i % 7}.{'hot' if i % 3 else 'cold'}.com/{i}", day(i % 64)) for i in range(500)], "page_id long, url string, fetched date")
+    whole = Counter(map(tuple, url_lists.evaluate(captures, listed).collect()))
+    assert {k[4] for k in whole} == {None, "com", "hot.com"}
+    monkeypatch.setattr(url_lists, "GROUP", 9)
+    monkeypatch.setattr(url_lists, "FEW", 0)
+    assert Counter(map(tuple, url_lists.evaluate(captures, listed).collect())) == whole
+
+
 def test_temporal_lists(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
     entries = [("bad.example", "add", day(10)), ("bad.example", "remove", day(20)), ("bad.example", "add", day(30)), ("bad.example", "add", day(35)), ("Sub.bad.example", "add", day(15)), ("tie.example", "add", day(5)), ("tie.example", "remove", day(5)), (None, "add", day(1)), ("x", "odd", day(1)), ("y", "add", None), ("4.3", "add", day(1)), ("9.8.7.6", "add", day(1))]
@@ -177,6 +190,9 @@ def test_temporal_lists(spark):
     captures = spark.createDataFrame(asked, "page_id long, url string, fetched date").withColumn("pattern", F.lit("z")).withColumn("v", F.lit(1))
     found = Counter((r["page_id"], r["blocked"], r["pattern"], r["listed_since"]) for r in url_lists.evaluate(captures, listed).collect())
     assert found == Counter({(1, False, None, None): 1, (2, True, "bad.example", day(10)): 2, (3, True, "sub.bad.example", day(15)): 1, (4, False, None, None): 1, (5, False, None, None): 1, (6, True, "bad.example", day(30)): 1, (7, False, None, None): 1, (8, False, None, None): 1, (9, False, None, None): 1, (10, False, None, None): 1, (20, False, None, None): 1, (21, True, "9.8.7.6", day(1)): 1, (None, True, "bad.example", day(10)): 1})
+    dotted = spark.createDataFrame([(1, "http://bad.example./a", day(12)), (2, "//bad.example/x", day(12)), (3, "//u@Sub.bad.example.:1", day(16)), (4, "/bad.example", day(12)), (5, "http://./", day(12)), (6, "http://com./", day(12))], captures.select("page_id", "url", "fetched").schema)
+    again = listed.union(spark.createDataFrame([("Net.example.", "add", day(1)), ("http://com/", "add", day(1))], listed.schema))
+    assert {r["page_id"] for r in url_lists.evaluate(dotted, again).where("blocked").collect()} == {1, 2, 3}
     assert url_lists.evaluate(captures.limit(0), listed).count() == 0 and url_lists.evaluate(captures, listed.limit(0)).where("blocked").count() == 0
 
 
