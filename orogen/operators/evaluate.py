@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SignatureConfig, preset
+from ..sources.storage import stored
 from . import vectors
 from .embed import embed
 
@@ -31,10 +32,13 @@ VARIANTS = {"vanilla": {}, "bidirectional": {"bidirectional": True}, "turing": {
 
 
 def score(patches: DataFrame, config: SignatureConfig) -> DataFrame:
-    """Separability of z-scored signatures of ``patches`` (patch_id, tile, h, w, data), and their width."""
-    embedded = embed(patches, config).select("patch_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    joined = vectors.normalize(embedded).join(patches.select("patch_id", F.col("tile").alias("tile_group")), "patch_id")
-    return vectors.separability(joined).withColumn("dim", F.lit(config.total_dim()))
+    """Separability of z-scored signatures of ``patches`` (patch_id, tile, h, w, data), and their width.
+
+    Signatures carry their tile along and are kept, as normalisation and separability each read them again.
+    """
+    kept = stored(embed(patches, config, ("patch_id", "tile")).select(F.col("tile").alias("tile_group"), "embedding"))
+    embedded = kept.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return vectors.separability(vectors.normalize(embedded)).withColumn("dim", F.lit(config.total_dim()))
 
 
 def compare(named: dict[str, DataFrame]) -> DataFrame:
@@ -49,8 +53,8 @@ def with_gain(found: DataFrame, plain: str) -> DataFrame:
 
 
 def sweep(patches: DataFrame, configs: dict[str, SignatureConfig]) -> DataFrame:
-    """One row per named configuration, over one sample of patches."""
-    return reduce(DataFrame.unionByName, [score(patches, c).withColumn("variant", F.lit(n)) for n, c in configs.items()])
+    """One row per named configuration, over one sample of patches; rows are kept, as gains and costs read them again."""
+    return reduce(DataFrame.unionByName, [stored(score(patches, c).withColumn("variant", F.lit(n))) for n, c in configs.items()])
 
 
 def variants(patches: DataFrame, base: SignatureConfig | None = None) -> DataFrame:
