@@ -98,9 +98,14 @@ def signature(z: np.ndarray, config: SignatureConfig, note=lambda entry: None) -
 
 
 def spread(patches: DataFrame) -> DataFrame:
-    """Kernels are bound by the processor, so an input of fewer partitions than cores is dealt out; others stay put."""
-    cores = patches.sparkSession.sparkContext.defaultParallelism
-    return patches if patches.isStreaming or patches.rdd.getNumPartitions() >= cores else patches.repartition(cores)
+    """Kernels are bound by the processor, so patches are dealt out evenly, in three tasks a core or more.
+
+    The number of partitions tells nothing of where the rows are: a file of one row group is read by one task, however many
+    parts it is cut into.
+    """
+    if patches.isStreaming:
+        return patches
+    return patches.repartition(max(3 * patches.sparkSession.sparkContext.defaultParallelism, patches.rdd.getNumPartitions()))
 
 
 def embed(patches: DataFrame, config: SignatureConfig, keep: tuple[str, ...] = ("patch_id",)) -> DataFrame:
