@@ -143,12 +143,13 @@ def number(saved: DataFrame, described: DataFrame) -> DataFrame:
     return saved.join(starts, "tile_id").withColumn("patch_id", (F.col("start") + F.col("local_id")).cast("long")).drop("start")
 
 
-def tiles(known: DataFrame) -> DataFrame:
-    """One row per committed tile: shape (where known), patches, first global id, and patches and slots that failed.
+def tiles(known: DataFrame, order: tuple[str, ...] = ("tile_id",)) -> DataFrame:
+    """One row per committed tile: shape (where known), patches, first global id, and patches and slots that failed. Ids
+    follow the columns ``order``, which tell tiles apart.
 
     The window runs over the tiles, one number each.
     """
-    start = F.sum("n_patches").over(Window.orderBy("tile_id")) - F.col("n_patches")
+    start = F.sum("n_patches").over(Window.orderBy(*order)) - F.col("n_patches")
     return known.select("tile_id", "tile_h", "tile_w", "n_patches", start.alias("global_id_start"), "n_failed_patches", "n_failed_slots").where("n_patches > 0").select(
         "tile_id", F.col("tile_h").alias("h"), F.col("tile_w").alias("w"), "n_patches", "global_id_start", "n_failed_patches", "n_failed_slots"
     )

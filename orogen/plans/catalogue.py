@@ -732,8 +732,10 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tile_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = build.tiles(_records(spark, sf_dir))
-    return found.join(fx.corpus_tiles(spark, sf_dir).select("tile_id", "tile_row", "tile_col"), "tile_id").select("tile_id", "tile_row", "tile_col", "h", "w", "n_patches", "global_id_start")
+    """Tiles in the order of the grid, which that of their names is up to a hundred rows only."""
+    placed = fx.corpus_tiles(spark, sf_dir).select("tile_id", "tile_row", "tile_col")
+    found = build.tiles(_records(spark, sf_dir).join(placed, "tile_id"), ("tile_row", "tile_col"))
+    return found.join(placed, "tile_id").select("tile_id", "tile_row", "tile_col", "h", "w", "n_patches", "global_id_start")
 
 
 def _remaining(spark: SparkSession, sf_dir: str) -> DataFrame:

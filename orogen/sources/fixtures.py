@@ -69,7 +69,7 @@ def vec_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, local = F.floor(F.col("vec_id") / PER_TILE), F.col("vec_id") % PER_TILE
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    two = lambda c: F.format_string("%02d", c.cast("long"))  # noqa: E731  padded, never cut: a long grid has rows of three digits
     return read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("patch_id"),
         F.concat(F.lit("R"), two(F.floor(k / GRID_COLS)), F.lit("_C"), two(k % GRID_COLS)).alias("tile_id"),
