@@ -163,12 +163,10 @@ def _bilateral(c: Chain, d: int, sigma_color: float, sigma_space: float) -> str:
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
 
     def mean(listed, read, own):
-        def add(a, o):
-            near = read(o)
-            w = F.exp(o["number"] - 0.5 * (near - own) * (near - own) / float(sigma_color) ** 2)
-            return F.struct((a["total"] + w * near).alias("total"), (a["weight"] + w).alias("weight"))
-
-        return F.aggregate(listed, start, add, lambda a: a["total"] / a["weight"])
+        # Each value and weight is an element of its own, so it is worked out once, not wherever it is used.
+        near = F.transform(listed, lambda o: F.struct(read(o).alias("v"), o["number"].alias("number")))
+        weighed = F.transform(near, lambda n: F.struct(n["v"].alias("v"), F.exp(n["number"] - 0.5 * (n["v"] - own) * (n["v"] - own) / float(sigma_color) ** 2).alias("w")))
+        return F.aggregate(weighed, start, lambda a, n: F.struct((a["total"] + n["w"] * n["v"]).alias("total"), (a["weight"] + n["w"]).alias("weight")), lambda a: a["total"] / a["weight"])
 
     found = c.around(v, offsets, mean, "mirror", numbers=[-0.5 * (y * y + x * x) / sigma_space**2 for y, x in offsets])
     return c.unscaled(found, low, span, 255.0)
