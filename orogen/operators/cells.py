@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import shared_folder
 from . import blocks, vectors
+from .embed import spread
 
 #: Rows that centres are learned from at most, and numbers in the table of centres (which goes to every task).
 SAMPLE, CENTRE_NUMBERS = 50_000, 4_000_000
@@ -76,7 +77,7 @@ class Cells:
                 cells = pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*names, "__cells"])
 
-        return rows.mapInArrow(run, rows.withColumn("__cells", F.array(F.lit(0))).schema)
+        return spread(rows).mapInArrow(run, rows.withColumn("__cells", F.array(F.lit(0))).schema)
 
 
 def fit(rows: DataFrame, space: str = "cosinesimil", count: int | None = None, probes: int | None = None, k: int = 10, sample: int = SAMPLE) -> Cells:

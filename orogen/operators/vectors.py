@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import SPACES
+from .embed import spread
 
 #: Queries whose vectors may be sent to every task: at most this many numbers.
 BROADCAST_NUMBERS = 4_000_000
@@ -76,8 +77,8 @@ def distance(space: str, a, b):
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, space: str = "cosinesimil", exclude_self: bool = False) -> DataFrame:
     """``query_id, rank, patch_id, distance``: the ``k`` nearest vectors of each query (``query_id, embedding``).
 
-    Queries of at most BROADCAST_NUMBERS numbers in all are sent to the vectors, which are scanned once and not
-    shuffled; each batch returns only its own ``k`` best per query. More of them meet the vectors in blocks
+    Queries of at most BROADCAST_NUMBERS numbers in all are sent to the vectors, which are scanned once, and shuffled only
+    if the queries are more than a strip; each batch returns only its own ``k`` best per query. More of them meet the vectors in blocks
     (``blocks.knn_batch``). Ties go to the smaller id, and fewer than ``k`` vectors are all returned.
     """
     if space not in SPACES:
@@ -95,7 +96,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, space: str = "cosin
                 for found in blocks.best_of(space, k, ids, q, batch.column("patch_id").to_numpy(), x, exclude_self=exclude_self):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "patch_id", "distance"])
 
-    found = vectors.select("patch_id", "embedding").mapInArrow(best, "query_id long, patch_id long, distance double")
+    # With many queries the work is in the comparisons, so vectors are dealt out evenly, wherever their files have them.
+    rows = vectors.select("patch_id", "embedding")
+    found = (spread(rows) if len(ids) > blocks.STRIP else rows).mapInArrow(best, "query_id long, patch_id long, distance double")
     return blocks.ranked(found, k)
 
 
