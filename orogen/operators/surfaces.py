@@ -1,7 +1,7 @@
 """Terrain derivatives, statistics and co-occurrence of patches (``patch_id, data``) in the patch's own row.
 
 Everything is a chain of column expressions over arrays of rows (see ``running``): no shuffle, no explode, no Python, and
-a neighbourhood costs a few operations a cell whatever its size.
+a neighbourhood costs a few operations a cell whatever its size (but ``tri`` one difference for each of its cells).
 """
 
 from __future__ import annotations
@@ -67,10 +67,13 @@ def _tri(c: Chain, window_size: int) -> str:
 
     def rows(own: str, step) -> str:
         wide = step(padded(own, c.height, c.width, before, after, before, after))
-        terms = [(wide, before, before), *[(wide, y, x) for y in range(size) for x in range(size) if (y, x) != (before, before)]]
-        # The centre is read once a cell and bound, as every other cell is compared with it.
-        total = lambda cells: f"get(transform(array({cells[0]}), o -> {' + '.join([f'abs({n} - o)' for n in cells[1:]] or ['0D'])}), 0) / {float(size * size)}D"
-        return gathered(terms, c.height, c.width, total)
+        # A row's windows are cut once for all rows of cells that read them. A window is looped over: as a sum of a term for
+        # each of its cells, the expression would be as deep as the window is large.
+        cut = step(f"transform({wide}, r -> transform(sequence(1, {c.width}), x -> slice(r, x, {size})))")
+        total = "aggregate(l, 0D, (a, r) -> aggregate(get(r, x), a, (b, v) -> b + abs(v - o)))"
+        cell = f"get(transform(array(get(get(get(l, {before}), x), {before})), o -> {total} / {float(size * size)}D), 0)"
+        row = f"transform(sequence(0, {c.width - 1}), x -> {cell})"
+        return running.bound(cut, lambda g: f"transform(sequence(0, {c.height - 1}), y -> get(transform(array(slice({g}, y + 1, {size})), l -> {row}), 0))")
 
     return c.windowed("z", rows)
 
@@ -92,8 +95,10 @@ def surface(patches: DataFrame, name: str, height: int, width: int, **params) ->
 
 
 def cells(surfaces: DataFrame, width: int) -> DataFrame:
-    rows = surfaces.select("patch_id", F.posexplode("data").alias("i", "z"))
-    return rows.select("patch_id", F.floor(F.col("i") / width).cast("long").alias("y"), (F.col("i") % width).cast("long").alias("x"), "z")
+    # Of a bare column a filter on its size would be inferred, and pushed down to before the patches are dealt out: surfaces
+    # were worked out there too, in whatever tasks held the patches.
+    rows = surfaces.select("patch_id", F.posexplode(F.arrays_zip(F.col("data").alias("z"))).alias("i", "c"))
+    return rows.select("patch_id", F.floor(F.col("i") / width).cast("long").alias("y"), (F.col("i") % width).cast("long").alias("x"), "c.z")
 
 
 def _mean(array: str, of: str = "v") -> str:
